@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import linefreq, mixture, simhash
+from keytide.llm import blockdedup, linefreq, mixture, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,16 @@ def op5_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op6_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockdedup.remove_repeats(_docs(spark, sf_dir)).drop("spans")
+
+
 def op7_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_frequency, op5_simhash_segments, op7_water_filling)
+    f.__name__: f for f in (op3_line_frequency, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling)
 }
 
 ORACLE_SQL: dict[str, str] = {}
