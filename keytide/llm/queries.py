@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import blockdedup, linefreq, mixture, simhash
+from keytide.llm import blockdedup, idpack, linefreq, mixture, packing, simhash, tokcount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idpack.read_ids(*idpack.write_ids(_docs(spark, sf_dir)))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judge(_docs(spark, sf_dir))
 
@@ -29,8 +33,19 @@ def op7_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.token_counts(_docs(spark, sf_dir))
+
+
+def op9_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_frequency, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling)
+    f.__name__: f for f in (
+        op2_bit_packed_ids, op3_line_frequency, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling, op8_heap_token_counts,
+        op9_order_preserving_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
