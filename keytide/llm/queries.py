@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import blockdedup, idpack, linefreq, mixture, packing, simhash, tokcount
+from keytide.llm import blockdedup, idpack, licenses, linefreq, mixture, packing, simhash, tokcount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,14 @@ def op9_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), with_ids=False)
 
 
+def op10_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).drop("detections")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_bit_packed_ids, op3_line_frequency, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling, op8_heap_token_counts,
-        op9_order_preserving_packing,
+        op9_order_preserving_packing, op10_signature_rules,
     )
 }
 
