@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import blockdedup, idpack, licenses, linefreq, mixture, packing, simhash, tokcount
+from keytide.llm import blockdedup, idpack, interleave, licenses, linefreq, mixture, packing, simhash, tokcount, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read_files(*warc.write_files(warc.derivatives(warc.responses(pages))))
+
+
 def op2_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idpack.read_ids(*idpack.write_ids(_docs(spark, sf_dir)))
 
@@ -21,6 +26,10 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judge(_docs(spark, sf_dir))
 
 
+def op4_interleaved_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.of_documents(_docs(spark, sf_dir))
+
+
 def op5_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -47,7 +56,7 @@ def op10_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_bit_packed_ids, op3_line_frequency, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling, op8_heap_token_counts,
+        op1_warc_derivatives, op2_bit_packed_ids, op3_line_frequency, op4_interleaved_sequences, op5_simhash_segments, op6_fixed_block_anchors, op7_water_filling, op8_heap_token_counts,
         op9_order_preserving_packing, op10_signature_rules,
     )
 }
