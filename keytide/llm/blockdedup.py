@@ -186,13 +186,13 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and spans (first word and length of each removed run).
 
-    With keep_rows also the struct `row` with all columns of docs, and `clean_text`: the text without removed words.
+    With keep_rows also the struct `row` with all other columns of docs, and `clean_text`: the text without removed words.
     """
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
     buckets = min(buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 14)
-    row = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if keep_rows else []
+    row = [F.struct(F.lit(True).alias("__row"), *[docs[c] for c in docs.columns if c != text_col]).alias("row")] if keep_rows else []
     # `task` is a column of the stored table: it names the same rows in every later pass
     table, _ = stored(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.spark_partition_id().cast("long").alias("task"), *row), "documents")
     narrow = table.select("task", "text")
