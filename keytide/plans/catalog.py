@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from keytide.plans import clients, cluster, logs, state
+from keytide.plans.views import Query
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (state, cluster, clients, logs):
+    QUERIES |= _part.R.queries
+    ORACLE_SQL |= _part.R.sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
