@@ -62,8 +62,8 @@ class Waiters(StatefulProcessor):
             elif ref in waiting:
                 waiting.remove(int(ref))
                 out.append((key[0], int(ref), int(idx), None))
-        self.waiting.put([(w,) for w in waiting])
-        self.items.put(items)
+        for state, left in ((self.waiting, [(w,) for w in waiting]), (self.items, items)):
+            state.put(left) if left else state.clear()
         yield pd.DataFrame(out, columns=["key", "waiter", "served_by", "value"])
 
     def close(self) -> None:
