@@ -70,17 +70,17 @@ LICENSES = (
     ("odbl", r"open (database|data commons)( open database)? LICENSE( 1 0)?", "open"),
     ("ofl-1.1", r"(sil )?open font LICENSE( version)?( 1 1)?", "font"),
 )
-#: Wording around a name N, and the score of what it finds.
+#: Wording around a name @, and the score of what it finds.
 WORDINGS = (
-    (r"LICENSE identifier N", 1.0),
-    (r"spdx (LICENSE )?(identifier )?N", 1.0),
-    (r"LICENSE(d)? under( the)?( terms)?( and conditions)?( of)?( the)? N", 0.95),
-    (r"(released|distributed|published|available|provided|made available) under( the)?( terms)?( of)?( the)? N( LICENSE)?", 0.9),
-    (r"(subject|according) to( the)?( terms)?( and conditions)?( of)?( the)? N( LICENSE)?", 0.85),
-    (r"(see|read|copy of|refer to)( the)? N( LICENSE)?( file)?( for)?( more)?( details)?", 0.8),
-    (r"LICENSE (is|type|name)?( the)? ?N", 0.75),
-    (r"N LICENSE(d)?( version [0-9]( [0-9])?)?", 0.7),
-    (r"N", 0.6),
+    (r"LICENSE identifier @", 1.0),
+    (r"spdx (LICENSE )?(identifier )?@", 1.0),
+    (r"LICENSE(d)? under( the)?( terms)?( and conditions)?( of)?( the)? @", 0.95),
+    (r"(released|distributed|published|available|provided|made available) under( the)?( terms)?( of)?( the)? @( LICENSE)?", 0.9),
+    (r"(subject|according) to( the)?( terms)?( and conditions)?( of)?( the)? @( LICENSE)?", 0.85),
+    (r"(see|read|copy of|refer to)( the)? @( LICENSE)?( file)?( for)?( more)?( details)?", 0.8),
+    (r"LICENSE (is|type|name)?( the)? ?@", 0.75),
+    (r"@ LICENSE(d)?( version [0-9]( [0-9])?)?", 0.7),
+    (r"@", 0.6),
 )
 
 
@@ -90,7 +90,7 @@ def rules() -> list[tuple[str, str, str, float]]:
     out = []
     for wording, score in WORDINGS:
         for label, name, keyword in LICENSES:
-            pattern = wording.replace("N", f"(?:{name})").replace("LICENSE(d)?", r"#?(?:licensed|license|licence)").replace("LICENSE", anchor).replace("spdx", "#?spdx")
+            pattern = wording.replace("@", f"(?:{name})").replace("LICENSE(d)?", r"#?(?:licensed|license|licence)").replace("LICENSE", anchor).replace("spdx", "#?spdx")
             out.append((label, f"(?<= )(?:{pattern})(?= )", keyword, score))
     return out
 
