@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import blockdedup, idpack, interleave, licenses, linefreq, mixture, packing, simhash, tokcount, warc
+from keytide.llm import blockdedup, idpack, interleave, licenses, linefreq, mixture, oracle, packing, simhash, tokcount, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are beyond SQL (tokenizers, PNG, XXH64, ordered patterns); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_frequency": oracle.OP3_LINE_FREQUENCY, "op6_fixed_block_anchors": oracle.OP6_FIXED_BLOCK_ANCHORS, "op7_water_filling": oracle.OP7_WATER_FILLING,
+}
