@@ -19,20 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from keytide.llm.tokens import pieces_spaces, vocabulary
+from keytide.llm.tokens import byte_letters, pieces_spaces, vocabulary
 
 CACHE = 600_000
 #: Longest piece that is kept.
 SHORT = 64
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 class Counter:
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -80,18 +73,20 @@ class Counter:
     def plain(self, text: str) -> int:
         return sum(self.merged(x.encode()) for x in self.split.findall(text))
 
-    def piece(self, text: str) -> int:
-        if self.special is None:
-            return self.plain(text)
-        found = self.special.findall(text)
-        return len(found) + sum(map(self.plain, self.special.split(text))) if found else self.plain(text)
-
     def count(self, text: str) -> int:
+        if self.special is not None and "<" in text:
+            found = self.special.findall(text)
+            if found:
+                return len(found) + sum(map(self.segment, self.special.split(text)))
+        return self.segment(text)
+
+    def segment(self, text: str) -> int:
+        """Tokens of a text without special strings."""
         total, known = 0, self.known
         for x in pieces_spaces(text):
             n = known.get(x)
             if n is None:
-                n = self.piece(x)
+                n = self.plain(x)
                 if len(x) <= SHORT:
                     if len(known) >= CACHE:
                         known.clear()

@@ -1,22 +1,29 @@
 """Token ids by the tokenizers library, one call for each distinct piece of text.
 
 A tokenizer that never merges across certain places may be called on the pieces between them, and pieces repeat.
-Two kinds of places are used. For a vocabulary that drops white space: every ASCII white space. For a byte-level
-vocabulary with the usual split pattern: before a single space between two characters that aren't white space, since
-every pattern piece that holds such a space begins with it. Special strings hold no white space, so they stay whole.
-A worker keeps the ids of the pieces it has seen, at most CACHE of them, and then begins anew.
+For a vocabulary that drops white space, pieces lie between ASCII white spaces. For a byte-level vocabulary with the usual
+split pattern, they are that pattern's own white-space rule with all other characters as one class: a run without white
+space with the one space before it, a run of white space less its last character, and that character. Special strings
+are cut out first, for white space before them is split in another way. A piece that is one word of Latin letters goes to
+the library's model directly, past its normalizer and splitter, which would not change it. A worker keeps the ids
+of the pieces it has seen, at most CACHE of them, and then begins anew.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
-CACHE = 400_000
-_GAP = re.compile(r"(?<=\S)(?= \S)")
+CACHE = 700_000
+#: Fixed value: Unicode's white space.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+_LOWERED = re.compile("()([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -34,11 +41,14 @@ def pieces_words(text: str) -> list[bytes]:
 
 
 def pieces_spaces(text: str) -> list[str]:
-    """Pieces that each begin at a space between non-spaces; Python's white space holds all of Unicode's, so no cut is wrong."""
-    found = text.split(" ")
-    if "" in found or len(text.split()) != len(found):
-        return _GAP.split(text)  # white space of other kinds, or several in a row
-    return found[:1] + [" " + x for x in found[1:]]
+    return _PIECES.findall(text)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -51,18 +61,44 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary(name))
         self.library.no_truncation()
         self.library.no_padding()
+        self.kind = pieces
         self.pieces: Callable[[str], list] = {"words": pieces_words, "spaces": pieces_spaces}[pieces]
+        self.model, self.letters = self.library.model, byte_letters()
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
         self.known: dict[bytes | str, bytes] = {}
 
     def learn(self, new: Iterable) -> None:
-        new = list(new)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-        texts = [x.decode() if isinstance(x, bytes) else x for x in new]
-        for piece, got in zip(new, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+        known, tokenize, letters, marks = self.known, self.model.tokenize, self.letters, self.marks
+        lower, simple = self.kind == "words", (_LOWERED if self.kind == "words" else _LATIN).fullmatch
+        rest, texts = [], []
+        for piece in new:
+            text = piece.decode() if lower else piece
+            m = simple(text)
+            if m is None:
+                rest.append(piece)
+                texts.append(text)
+                continue
+            space, word, mark = m.groups()
+            if lower:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            ids = array("I", [t.id for t in tokenize("Ġ" + word if space else word)]).tobytes()
+            known[piece] = ids + marks[mark] if mark else ids
+        for piece, got in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            known[piece] = array("I", got.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.kind == "spaces" and self.cut is not None and "<" in text:
+            parts = self.cut.split(text)
+            if len(parts) > 1:
+                return b"".join(self.special.get(x) or self.plain(x) for x in parts if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         found = self.pieces(text)
         known = self.known
         try:
@@ -70,8 +106,8 @@ class Encoder:
         except KeyError:
             pass
         out = []
-        for at in range(0, len(found), CACHE // 4):
-            part = found[at : at + CACHE // 4]
+        for at in range(0, len(found), CACHE):
+            part = found[at : at + CACHE]
             new = {x for x in part if x not in self.known}
             if len(self.known) + len(new) > CACHE:
                 self.known, new = {}, set(part)
