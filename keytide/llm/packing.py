@@ -5,8 +5,8 @@ Documents, each ended by its end id, follow each other in the order of their par
 the price of the cut at its end: nothing at the end of a document, `sentence_price` at the end of a sentence,
 `cut_price` elsewhere. Cut places are document ends, sentence ends, and, in runs without either, every `stride`
 ids. The least cost up to a place i is min over places j in [i - length, i) of cost(j) + j, plus length - i, plus the price at
-i; places leave and enter the window in order, so a monotone queue yields each minimum in constant time. Power-of-two
-lengths are ten more candidates.
+i; places leave and enter the window in order, so a monotone queue yields each minimum in constant time. Lengths that
+are a power of two are tried where they matter, for sequences that end in the last `length` ids of a block.
 
 The stream is packed in blocks of about `block` ids, so memory is bounded whatever a partition or document holds; a
 document may go on in the next block. No shuffle: a partition packs its own rows, and sequence_id is
@@ -35,8 +35,8 @@ def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024) -> list[int]
     """Cut places of least cost. places: ascending, from 0 to the end, gaps at most length; prices: of a cut there."""
     where, price = places.tolist(), prices.tolist()
     n = len(where)
-    number = dict(zip(where, range(n)))
-    powers = [1 << k for k in range(length.bit_length())]
+    number = {p: k for k, p in enumerate(where) if p >= where[-1] - 2 * length}
+    powers, last = [1 << k for k in range(length.bit_length())], where[-1] - length
     best, came = [0.0] * n, [0] * n
     keys, queue, head = [0.0] * n, [0] * n, 0
     tail = 1  # queue[head:tail]: numbers of places with ascending cost + place; the first is the window's minimum
@@ -46,10 +46,11 @@ def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024) -> list[int]
             head += 1
         j = queue[head]
         low = keys[j] + length - at
-        for p in powers:
-            k = number.get(at - p)
-            if k is not None and best[k] < low:
-                low, j = best[k], k
+        if at > last:
+            for p in powers:
+                k = number.get(at - p)
+                if k is not None and best[k] < low:
+                    low, j = best[k], k
         low += price[i]
         best[i], came[i], key = low, j, low + at
         keys[i] = key

@@ -80,7 +80,7 @@ def least_cost(places, prices, length):
         for j in range(i):
             n = places[i] - places[j]
             if n <= length:
-                best[i] = min(best[i], best[j] + (0 if n & (n - 1) == 0 else length - n) + prices[i])
+                best[i] = min(best[i], best[j] + (0 if n & (n - 1) == 0 and places[i] > places[-1] - length else length - n) + prices[i])
     return best[-1]
 
 
@@ -95,7 +95,7 @@ def test_cuts_cost_least():
         price, cost = dict(zip(places.tolist(), prices.tolist())), 0.0
         for a, b in zip(cuts, cuts[1:]):
             assert 0 < b - a <= 16
-            cost += (0 if (b - a) & (b - a - 1) == 0 else 16 - (b - a)) + price[b]
+            cost += (0 if (b - a) & (b - a - 1) == 0 and b > cuts[-1] - 16 else 16 - (b - a)) + price[b]
         assert cost == pytest.approx(least_cost(places.tolist(), prices.tolist(), 16))
 
 
