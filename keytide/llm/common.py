@@ -65,3 +65,27 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, s
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def named_rows(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs, and a column that names each of its rows, the same in every later reading.
+
+    Rows of a file scan, with nothing but deterministic filters and projections above it, are named by file and place in
+    the file, so nothing is copied. Any other DataFrame may give its rows in another order when it is computed
+    again; it is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while True:
+        kind = plan.getClass().getSimpleName()
+        if kind not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") or not plan.deterministic():
+            break
+        if kind == "LogicalRelation":
+            if plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet":
+                at = docs.metadataColumn("_metadata")
+                return docs, F.struct(F.xxhash64(at["file_path"]).alias("file"), F.crc32(at["file_path"]).alias("more"), at["row_index"].alias("row"))
+            break
+        plan = plan.children().head()
+    table, _ = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rows")
+    at = table.metadataColumn("_metadata")
+    name = F.struct(F.xxhash64(at["file_path"]).alias("file"), F.crc32(at["file_path"]).alias("more"), at["row_index"].alias("row"))
+    return table.select("row.*"), name

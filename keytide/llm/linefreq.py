@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import WORD, let, stored, words
+from keytide.llm.common import WORD, let, named_rows, stored, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -87,9 +87,8 @@ def judge(
     With keep_rows, each result also has the struct `row` (all columns of docs, whatever their names) and
     `clean_text`, the text without its frequent lines.
     """
-    keep = [F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), docs[host_col].alias("host")]
-    if keep_rows:
-        keep += [docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")]
+    docs, name = named_rows(docs)
+    keep = [name.alias("rid"), docs[id_col].alias("doc_id"), docs[host_col].alias("host")]
     table, _ = stored(base_counts(docs, docs[text_col], keep), "lines")
     hosts = table.groupBy("host").agg(F.count_distinct("text_key").alias("host_docs"))
     held = table.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
@@ -99,7 +98,7 @@ def judge(
         .where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs")))
         .select(F.col("c.host").alias("host"), "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    dealt = table.select("rid", "host", F.pmod("rid", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("x")).select("rid", "host", "salt", "x.h", "x.n")
+    dealt = table.select("rid", "host", F.pmod("rid.row", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("x")).select("rid", "host", "salt", "x.h", "x.n")
     cut = (
         dealt.alias("d")
         .join(frequent.alias("f"), (F.col("d.h") == F.col("f.h")) & (F.col("d.salt") == F.col("f.salt")) & F.col("d.host").eqNullSafe(F.col("f.host")))
@@ -118,10 +117,12 @@ def judge(
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "n_words_left"]
     if not keep_rows:
         return out.select(*columns)
-    keys = line_keys(F.col("text"))
-    raw = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    text = F.col("row").getField(text_col)
+    keys = line_keys(text)
+    raw = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    out = out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rid")
     clean = let(
         F.struct(keys.alias("k"), F.col("cut_lines").alias("cut")),
         lambda s: F.array_join(F.filter(raw, lambda x, i: ~F.array_contains(s["cut"], F.xxhash64(F.get(s["k"], i)))), "\n"),
     )
-    return out.withColumn("clean_text", F.when(F.col("n_frequent_lines") > 0, clean).otherwise(F.col("text"))).select(*columns, "clean_text", "row")
+    return out.withColumn("clean_text", F.when(F.col("n_frequent_lines") > 0, clean).otherwise(text)).select(*columns, "clean_text", "row")

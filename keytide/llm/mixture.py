@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.llm.common import SPACE, WORD, stored
+from keytide.llm.common import SPACE, WORD, named_rows, stored
 
 
 def size_of(text: Column) -> Column:
@@ -56,10 +56,10 @@ def mix(
 
     With keep_rows, the struct `row` has all columns of docs, and `copies` says how often the mix holds the row.
     """
+    docs, name = named_rows(docs)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[source_col], F.lit(""))))
-    keep = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_rows else []
     sized, _ = stored(
-        docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(docs[text_col]).alias("size"), key.alias("k"), *keep), "sizes",
+        docs.select(name.alias("rid"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(docs[text_col]).alias("size"), key.alias("k")), "sizes",
     )
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -83,4 +83,5 @@ def mix(
     out = joined.select(
         "rid", "d.doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
-    return out.join(sized.select("rid", "row"), "rid").drop("rid") if keep_rows else out.drop("rid")
+    rows = docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return out.join(rows, "rid").drop("rid") if keep_rows else out.drop("rid")

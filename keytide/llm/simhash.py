@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import delete, stored
+from keytide.llm.common import delete, named_rows, stored
 
 BITS = 64
 
@@ -164,7 +164,8 @@ def near_duplicates(
     With keep_rows the struct `row` has all columns of docs, and `first` marks one row of each component: the
     smallest doc_id, and of rows that repeat it, one.
     """
-    keep = [F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id")]
+    docs, name = named_rows(docs)
+    keep = [name.alias("rid"), docs[id_col].alias("doc_id")]
     marked, _ = stored(with_fingerprints(docs, keep, docs[text_col], shingle, seed), "fingerprints")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid"))).alias("least")
     classes, _ = stored(marked.groupBy("fp").agg(smallest), "classes")
@@ -178,5 +179,4 @@ def near_duplicates(
     )
     if not keep_rows:
         return out.drop("rid", "first")
-    rows, _ = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rows")
-    return out.join(rows, "rid")
+    return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rid")
