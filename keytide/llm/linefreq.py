@@ -120,7 +120,7 @@ def judge(
     text = F.col("row").getField(text_col)
     keys = line_keys(text)
     raw = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    out = out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rid")
+    out = out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).hint("merge"), "rid")
     clean = let(
         F.struct(keys.alias("k"), F.col("cut_lines").alias("cut")),
         lambda s: F.array_join(F.filter(raw, lambda x, i: ~F.array_contains(s["cut"], F.xxhash64(F.get(s["k"], i)))), "\n"),

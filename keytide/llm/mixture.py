@@ -84,4 +84,4 @@ def mix(
         "rid", "d.doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
     rows = docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return out.join(rows, "rid").drop("rid") if keep_rows else out.drop("rid")
+    return out.join(rows.hint("merge"), "rid").drop("rid") if keep_rows else out.drop("rid")

@@ -179,4 +179,4 @@ def near_duplicates(
     )
     if not keep_rows:
         return out.drop("rid", "first")
-    return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rid")
+    return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).hint("merge"), "rid")
