@@ -6,7 +6,7 @@ the price of the cut at its end: nothing at the end of a document, `sentence_pri
 `cut_price` elsewhere. Cut places are document ends, sentence ends, and, in runs without either, every `stride`
 ids. The least cost up to a place i is min over places j in [i - length, i) of cost(j) + j, plus length - i, plus the price at
 i; places leave and enter the window in order, so a monotone queue yields each minimum in constant time. Lengths that
-are a power of two are tried where they matter, for sequences that end in the last `length` ids of a block.
+are a power of two are tried at every place, from pairs of places found by array lookups before.
 
 The stream is packed in blocks of about `block` ids, so memory is bounded whatever a partition or document holds; a
 document may go on in the next block. No shuffle: a partition packs its own rows, and sequence_id is
@@ -31,33 +31,57 @@ from keytide.llm.tokens import encoder
 BLOCK = 1 << 19
 
 
-def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024) -> list[int]:
-    """Cut places of least cost. places: ascending, from 0 to the end, gaps at most length; prices: of a cut there."""
+def _by_powers(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Numbers of the places that lie a power of two below length before each place, nearest first; where each place's end."""
+    number = np.full(int(places[-1]) + 1, -1, np.int32)
+    number[places] = np.arange(len(places), dtype=np.int32)
+    later, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for p in [1 << k for k in range((length - 1).bit_length())]:
+        first = int(np.searchsorted(places, p))
+        k = number[places[first:] - p]
+        held = np.flatnonzero(k >= 0)
+        later.append(held + first)
+        before.append(k[held])
+    at = np.concatenate(later)
+    return np.concatenate(before)[np.argsort(at, kind="stable")].tolist(), np.cumsum(np.bincount(at, minlength=len(places))).tolist()
+
+
+def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024, everywhere: bool = False) -> list[int]:
+    """Cut places of least cost. places: ascending, from 0 to the end, gaps at most length; prices: of a cut there.
+
+    Lengths that are a power of two need no padding everywhere, or only in sequences that end in the last `length` ids.
+    """
+    before, stops = _by_powers(places, length)
     where, price = places.tolist(), prices.tolist()
     n = len(where)
-    number = {p: k for k, p in enumerate(where) if p >= where[-1] - 2 * length}
-    powers, last = [1 << k for k in range(length.bit_length())], where[-1] - length
+    last = -1 if everywhere else where[-1] - length
     best, came = [0.0] * n, [0] * n
-    keys, queue, head = [0.0] * n, [0] * n, 0
-    tail = 1  # queue[head:tail]: numbers of places with ascending cost + place; the first is the window's minimum
+    # numbers of places in the window with ascending cost + place, and that sum; the first is the window's minimum
+    queue, keys, head = [0], [0.0], 0
+    j, low_key, leaves = 0, 0.0, length
+    c = stops[0]
     for i in range(1, n):
         at = where[i]
-        while where[queue[head]] < at - length:
+        while leaves < at:
             head += 1
-        j = queue[head]
-        low = keys[j] + length - at
+            j, low_key = queue[head], keys[head]
+            leaves = where[j] + length
+        low, source, stop = low_key + length - at, j, stops[i]
         if at > last:
-            for p in powers:
-                k = number.get(at - p)
-                if k is not None and best[k] < low:
-                    low, j = best[k], k
+            for k in before[c:stop]:
+                if best[k] < low:
+                    low, source = best[k], k
+        c = stop
         low += price[i]
-        best[i], came[i], key = low, j, low + at
-        keys[i] = key
-        while tail > head and keys[queue[tail - 1]] >= key:
-            tail -= 1
-        queue[tail] = i
-        tail += 1
+        best[i], came[i], key = low, source, low + at
+        while keys[-1] >= key:
+            queue.pop()
+            keys.pop()
+            if len(keys) == head:
+                j, low_key, leaves = i, key, at + length
+                break
+        queue.append(i)
+        keys.append(key)
     out, i = [], n - 1
     while i > 0:
         out.append(where[i])
@@ -65,14 +89,22 @@ def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024) -> list[int]
     return [0, *out[::-1]]
 
 
+def _merged(*places: np.ndarray | list[int]) -> np.ndarray:
+    """All places once, ascending."""
+    held = np.zeros(max(int(p[-1]) for p in places if len(p)) + 1, bool)
+    for p in places:
+        held[np.asarray(p, np.int64)] = True
+    return np.flatnonzero(held)
+
+
 def candidates(ends: np.ndarray, sentences: np.ndarray, stride: int, sentence_price: float, cut_price: float) -> tuple[np.ndarray, np.ndarray]:
     """Cut places and prices from document ends (the last is the stream's) and sentence ends."""
-    known = np.union1d(np.union1d(ends, sentences), [0])
+    known = _merged(ends, sentences, [0])
     gaps = np.diff(known)
     inner = (gaps - 1) // stride
     base = np.repeat(known[:-1], inner)
     rank = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
-    places = np.union1d(known, base + (rank + 1) * stride)
+    places = _merged(known, base + (rank + 1) * stride)
     prices = np.full(len(places), float(cut_price))
     prices[np.searchsorted(places, sentences)] = sentence_price
     prices[np.searchsorted(places, ends)] = 0.0
@@ -105,8 +137,8 @@ def _packer(name: str, end: int, length: int, stride: int, sentence_price: float
             stream = np.frombuffer(b"".join(x[2] for x in held), "<u4")
             edges = np.cumsum([len(x[2]) // 4 for x in held])
             places, prices = candidates(edges, np.flatnonzero(ends_sentence[stream]) + 1, stride, sentence_price, cut_price)
-            cuts = np.array(cut(places, prices, length))
-            marks = np.union1d(cuts, np.concatenate([[0], edges]))
+            cuts = np.array(cut(places, prices, length, everywhere=True))
+            marks = _merged(cuts, [0], edges)
             a, b = marks[:-1], marks[1:]
             doc, seq = np.searchsorted(edges, a, "right"), np.searchsorted(cuts, a, "right") - 1
             firsts = np.concatenate([[0], edges[:-1]])

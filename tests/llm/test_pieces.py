@@ -99,6 +99,39 @@ def test_cuts_cost_least():
         assert cost == pytest.approx(least_cost(places.tolist(), prices.tolist(), 16))
 
 
+def test_cuts_cost_least_with_powers_everywhere():
+    def need(n):
+        return 0 if n & (n - 1) == 0 else 16 - n
+
+    r = random.Random(5)
+    for _ in range(200):
+        n = r.randint(1, 200)
+        ends = np.unique([*(r.randint(1, n) for _ in range(r.randint(1, 8))), n])
+        sentences = np.unique(np.array([r.randint(1, n) for _ in range(r.randint(0, 20))], int))
+        places, prices = (x.tolist() for x in packing.candidates(ends, sentences, 4, 2.0, 5.0))
+        best = [0.0]
+        for i in range(1, len(places)):
+            best.append(prices[i] + min(best[j] + need(places[i] - places[j]) for j in range(i) if places[i] - places[j] <= 16))
+        cuts = packing.cut(np.array(places), np.array(prices), 16, everywhere=True)
+        assert sum(need(b - a) + prices[places.index(b)] for a, b in zip(cuts, cuts[1:])) == pytest.approx(best[-1])
+
+
+def test_packed_sequences_cost_least():
+    ids = np.random.default_rng(6).integers(100, 40_000, 6000)
+    texts = [" ".join(f"w{x}" + "." * int(x % 7 == 0) for x in part) for part in np.array_split(ids, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = packing._packer("byte_bpe_50k.json", 0, 64, 16, 2.0, 12.0, False)
+    lengths = {}
+    for piece in next(run(iter([batch]))).to_pylist():
+        lengths[piece["sequence_id"]] = lengths.get(piece["sequence_id"], 0) + piece["length"]
+    stream = np.concatenate([np.append(np.frombuffer(packing.encoder("byte_bpe_50k.json", "spaces").encode(t), "<u4"), 0) for t in texts])
+    ends = np.flatnonzero(stream == 0) + 1
+    sentences = np.flatnonzero(packing._sentence_ids("byte_bpe_50k.json")[stream]) + 1
+    places, prices = packing.candidates(ends, sentences, 16, 2.0, 12.0)
+    cuts = packing.cut(places, prices, 64, everywhere=True)
+    assert [lengths[k] for k in sorted(lengths)] == np.diff(cuts).tolist()
+
+
 def test_hash_sets_come_back():
     r = np.random.default_rng(1)
     for width in (5, 8):
