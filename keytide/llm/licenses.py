@@ -1,8 +1,9 @@
 """License scan by ordered signature rules, in DataFrame functions only; no shuffle.
 
-Texts are gated by a keyword pattern. Of a gated text, the lower-case words are taken, and each key word (license,
-licence, licensed, spdx) is an anchor with REACH words on both sides. A rule applies at an anchor when its own
-keyword is in that stretch and its pattern has a match that holds the anchor. Rules are ordered: a detection
+Texts are gated by the key words. Of a gated text, the lower-case words are taken, and each key word is an anchor with
+REACH words on both sides. Every match of a rule holds a key word, for each license name has one, and is shorter than
+REACH, so nothing that a rule matches in the words is lost. A rule applies at an anchor when its name is in that
+stretch and its pattern has a match that holds the anchor. Rules are ordered: a detection
 is dropped when the interval of an earlier rule's detection contains its own. All detections whose intervals can contain each other
 share an anchor, so dropping is settled stretch by stretch, and a text with many anchors costs in proportion to them.
 
@@ -10,11 +11,14 @@ The rules come from a list of licenses (label, words of its name, keyword) and a
 of priority: the wording first, then the license.
 
 Defined results: a null text has no words; labels of a text without detections are empty strings, first_word and
-last_word are null and score is 0. The base phrases are found beside the rules and always count.
+last_word are null and score is 0. The base phrases are found beside the rules and always count. A bare name counts
+wherever its words are, so the German word "mit" has the label mit.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,11 @@ from keytide.llm.common import let
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-ANCHORS = ("license", "licence", "licensed", "spdx")
-REACH = 20
+#: Each name below holds one of these words whichever way it is written; those of GLUED may have a version's first digit at their end.
+GLUED = ("license", "licence", "gpl", "lgpl", "agpl", "apache", "mpl", "epl")
+PLAIN = ("licensed", "spdx", "mit", "expat", "x11", "bsd", "cddl", "eupl", "isc", "zlib", "wtfpl", "cc0", "creative", "cc")
+ANCHORS = (*(word + digit for word in GLUED for digit in ("", "1", "2", "3")), *PLAIN)
+REACH = 30
 
 #: Label, name in words (a pattern), keyword. More exact names come first.
 LICENSES = (
@@ -42,7 +49,7 @@ LICENSES = (
     ("apache-2.0", r"apache( software)?( LICENSE)?( version| v)? ?2( 0)?", "apache"),
     ("apache", r"apache( software)?( LICENSE)?", "apache"),
     ("mit-0", r"mit no attribution( LICENSE)?", "attribution"),
-    ("mit", r"(mit|expat|x11)( LICENSE)?", "t"),
+    ("mit", r"(mit|expat|x11)( LICENSE)?", ""),
     ("bsd-0-clause", r"(bsd 0 clause|0 clause bsd|zero clause bsd)( LICENSE)?", "bsd"),
     ("bsd-2-clause", r"(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)( LICENSE)?", "bsd"),
     ("bsd-3-clause", r"(bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)( LICENSE)?", "bsd"),
@@ -84,15 +91,27 @@ WORDINGS = (
 )
 
 
+def _marked(pattern: str) -> str:
+    """The pattern over words in which an anchor may have a leading #."""
+    pattern = pattern.replace("[a-z ]", "(?:#?[a-z ])")
+    pattern = pattern.replace("LICENSE(d)?", r"#?(?:licensed|license|licence)").replace("LICENSE", r"#?(?:license|licence)")
+    names = [w for w in (*GLUED, *PLAIN) if not w.startswith("licen")]
+    return re.sub(rf"\b({'|'.join(names)})\b", r"#?\1", pattern)
+
+
 def rules() -> list[tuple[str, str, str, float]]:
     """(label, pattern over words, keyword, score) in order of priority. An anchor in a stretch is marked by a leading #."""
-    anchor = r"#?(?:license|licence)"
-    out = []
-    for wording, score in WORDINGS:
-        for label, name, keyword in LICENSES:
-            pattern = wording.replace("@", f"(?:{name})").replace("LICENSE(d)?", r"#?(?:licensed|license|licence)").replace("LICENSE", anchor).replace("spdx", "#?spdx")
-            out.append((label, f"(?<= )(?:{pattern})(?= )", keyword, score))
-    return out
+    return [(label, f"(?<= )(?:{_marked(wording.replace('@', f'(?:{name})'))})(?= )", keyword, score) for wording, score in WORDINGS for label, name, keyword in LICENSES]
+
+
+def _table() -> Column:
+    """For each license its name's pattern, its keyword and its rules."""
+    ordered = list(enumerate(rules()))
+    groups = []
+    for n, (_, name, keyword) in enumerate(LICENSES):
+        own = [F.struct(F.lit(i).alias("order"), F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(s).alias("score")) for i, (a, p, _, s) in ordered[n :: len(LICENSES)]]
+        groups.append(F.struct(F.lit(_marked(name)).alias("name"), F.lit(keyword).alias("keyword"), F.array(*own).alias("rules")))
+    return F.array(*groups)
 
 
 def lower(text: Column) -> Column:
@@ -141,7 +160,8 @@ def _detect(stretch: Column, table: Column) -> Column:
             ),
         )
 
-    gated = F.filter(table, lambda r: F.contains(stretch["text"], r["keyword"]) & F.rlike(stretch["text"], r["pattern"]))
+    named = F.filter(table, lambda g: F.contains(stretch["text"], g["keyword"]) & F.rlike(stretch["text"], g["name"]))
+    gated = F.flatten(F.transform(named, lambda g: g["rules"]))
     found = F.filter(F.transform(gated, one), lambda d: d.isNotNull())
     clear = lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: (e["order"] < d["order"]) & (e["start"] <= d["start"]) & (e["end"] >= d["end"])))
     return let(found, clear)
@@ -149,9 +169,9 @@ def _detect(stretch: Column, table: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections (label, start, end, score)."""
-    table = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(k).alias("keyword"), F.lit(s).alias("score")) for i, (a, p, k, s) in enumerate(rules())])
+    table = _table()
     text = F.coalesce(docs[text_col], F.lit(""))
-    gated = text.rlike(r"(?i)licen[sc]e|spdx")
+    gated = text.rlike(rf"(?i)(?<!{WORD})(?:(?:{'|'.join(GLUED)})[1-3]?|{'|'.join(PLAIN)})(?!{WORD})")
     words = F.array_remove(F.split(lower(text), SEPARATORS), "")
     phrases = [(p.split(" "), label) for p, label in BASE]
 
@@ -174,7 +194,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         gated,
         let(
             words,
-            lambda w: F.struct(base(w).alias("base"), F.flatten(F.transform(_stretches(w), lambda s: _detect(s, table))).alias("rules")),
+            lambda w: F.struct(base(w).alias("base"), F.array_distinct(F.flatten(F.transform(_stretches(w), lambda s: _detect(s, table)))).alias("rules")),
         ),
     )
     parts = docs.select(docs[id_col].alias("doc_id"), _count(docs[text_col]).alias("n_words"), found.alias("__f")).select("doc_id", "n_words", F.col("__f.base").alias("__b"), F.col("__f.rules").alias("__r"))

@@ -327,3 +327,30 @@ def test_license_rules(spark, docs_schema):
     labels = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(df).collect()}
     assert "apache-2.0" in labels[0] and "mit" in labels[1] and "lgpl-3.0" in labels[2] and "gpl-3.0" not in labels[2] and "bsd-3-clause" in labels[3] and "mpl-2.0" in labels[4] and labels[6] == {""} and {"bsl-1.0", "mit"} <= labels[8]
     assert len(licenses.rules()) > 200
+
+
+def whole_detections(text):
+    """Every rule run over the whole sequence of words, without anchors; those inside an earlier rule's dropped."""
+    words = " " + " ".join(SPLIT.findall(text.translate(LOWER))) + " "
+    found = []
+    for n, (label, pattern, _, score) in enumerate(licenses.rules()):
+        for m in re.finditer(pattern.replace("#?", ""), words):
+            a = words[: m.start()].count(" ") - 1
+            found.append((n, label, a, a + m[0].count(" ") + 1, score))
+    return {f[1:] for f in found if not any(e[0] < f[0] and e[2] <= f[2] and e[3] >= f[3] for e in found)}
+
+
+def test_license_rules_need_no_anchor(spark, docs_schema):
+    import random
+
+    texts = [
+        "distributed under the GNU GPL version 2 or later", "released under MIT", "available under Apache 2.0", "Creative Commons Attribution ShareAlike 4.0", "CC0 1.0", "WTFPL", "x11", "LGPL2.1 or GPLv3, GPL3 or apache2",
+        "licensed under the terms and conditions of the Creative Commons Attribution Non Commercial a b c d e f g h i license 4 0", "see zlib libpng, MPL2 and cc by nc mit gpl 3 0", "according to general public license2 0", "subject to the terms of the EUPL 1.2", "no words of that kind",
+    ]
+    r, known = random.Random(3), sorted({w for _, name, _ in licenses.LICENSES for w in re.findall(r"[a-z0-9]+", name.replace("LICENSE", "license"))} | set("under see the to of released license licensed spdx is copy v2 gpl2 subject".split()))
+    texts += [" ".join(r.choice(known) if r.random() < 0.8 else r.choice("abcxyz") for _ in range(r.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], docs_schema)
+    got = {x.doc_id: x for x in licenses.scan(df).collect()}
+    for k, t in enumerate(texts):
+        assert {tuple(d) for d in got[k].detections or ()} == whole_detections(t), t
+    assert [got[k].labels for k in range(7)] == ["gpl-2.0", "mit", "apache-2.0", "cc-by-sa", "cc0", "wtfpl", "mit"]
