@@ -77,10 +77,11 @@ def test_random_access(tmp_path):
 def least_cost(places, prices, length):
     best = [0.0] + [1e18] * (len(places) - 1)
     for i in range(1, len(places)):
-        for j in range(i):
+        for j in range(i - 1, -1, -1):
             n = places[i] - places[j]
-            if n <= length:
-                best[i] = min(best[i], best[j] + (0 if n & (n - 1) == 0 and places[i] > places[-1] - length else length - n) + prices[i])
+            if n > length:
+                break
+            best[i] = min(best[i], best[j] + (0 if n & (n - 1) == 0 else length - n) + prices[i])
     return best[-1]
 
 
@@ -95,27 +96,10 @@ def test_cuts_cost_least():
         price, cost = dict(zip(places.tolist(), prices.tolist())), 0.0
         for a, b in zip(cuts, cuts[1:]):
             assert 0 < b - a <= 16
-            cost += (0 if (b - a) & (b - a - 1) == 0 and b > cuts[-1] - 16 else 16 - (b - a)) + price[b]
+            cost += (0 if (b - a) & (b - a - 1) == 0 else 16 - (b - a)) + price[b]
         assert cost == pytest.approx(least_cost(places.tolist(), prices.tolist(), 16))
 
 
-def test_cuts_cost_least_with_powers_everywhere():
-    def need(n):
-        return 0 if n & (n - 1) == 0 else 16 - n
-
-    r = random.Random(5)
-    for _ in range(200):
-        n = r.randint(1, 200)
-        ends = np.unique([*(r.randint(1, n) for _ in range(r.randint(1, 8))), n])
-        sentences = np.unique(np.array([r.randint(1, n) for _ in range(r.randint(0, 20))], int))
-        places, prices = (x.tolist() for x in packing.candidates(ends, sentences, 4, 2.0, 5.0))
-        best = [0.0]
-        for i in range(1, len(places)):
-            best.append(prices[i] + min(best[j] + need(places[i] - places[j]) for j in range(i) if places[i] - places[j] <= 16))
-        cuts = packing.cut(np.array(places), np.array(prices), 16, everywhere=True)
-        assert sum(need(b - a) + prices[places.index(b)] for a, b in zip(cuts, cuts[1:])) == pytest.approx(best[-1])
-
-
 def test_packed_sequences_cost_least():
     ids = np.random.default_rng(6).integers(100, 40_000, 6000)
     texts = [" ".join(f"w{x}" + "." * int(x % 7 == 0) for x in part) for part in np.array_split(ids, 60)]
@@ -128,8 +112,12 @@ def test_packed_sequences_cost_least():
     ends = np.flatnonzero(stream == 0) + 1
     sentences = np.flatnonzero(packing._sentence_ids("byte_bpe_50k.json")[stream]) + 1
     places, prices = packing.candidates(ends, sentences, 16, 2.0, 12.0)
-    cuts = packing.cut(places, prices, 64, everywhere=True)
-    assert [lengths[k] for k in sorted(lengths)] == np.diff(cuts).tolist()
+    cuts = packing.cut(places, prices, 64)
+    sizes = [lengths[k] for k in sorted(lengths)]
+    assert sizes == np.diff(cuts).tolist()
+    price, ends_at = dict(zip(places.tolist(), prices.tolist())), np.cumsum(sizes).tolist()
+    cost = sum((0 if n & (n - 1) == 0 else 64 - n) + price[e] for n, e in zip(sizes, ends_at))
+    assert cost == pytest.approx(least_cost(places.tolist(), prices.tolist(), 64))
 
 
 def test_hash_sets_come_back():
