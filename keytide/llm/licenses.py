@@ -1,117 +1,68 @@
 """License scan by ordered signature rules, in DataFrame functions only; no shuffle.
 
-Texts are gated by the key words. Of a gated text, the lower-case words are taken, and each key word is an anchor with
-REACH words on both sides. Every match of a rule holds a key word, for each license name has one, and is shorter than
-REACH, so nothing that a rule matches in the words is lost. A rule applies at an anchor when its name is in that
-stretch and its pattern has a match that holds the anchor. Rules are ordered: a detection
-is dropped when the interval of an earlier rule's detection contains its own. All detections whose intervals can contain each other
-share an anchor, so dropping is settled stretch by stretch, and a text with many anchors costs in proportion to them.
+The rules (llm.signatures) are hand-written patterns over lower-case words joined by single spaces, in order of
+priority. Two prefilters, both implied by the rules, so that they lose nothing: a text is scanned where it holds a gate of some
+rule, and a rule is tried in a block of words where the block holds the rule's keyword. A rule detects at every
+word at which its pattern matches, its longest-first alternatives tried in the order written. A detection is dropped
+when the interval of words of a detection by an earlier rule contains its own.
 
-The rules come from a list of licenses (label, words of its name, keyword) and a list of wordings, both below, in order
-of priority: the wording first, then the license.
+Words are scanned in blocks of BLOCK with REACH words around them; no match with its context is longer than REACH / 2, so
+blocks give what the whole text would, and a text costs in proportion to its length.
 
 Defined results: a null text has no words; labels of a text without detections are empty strings, first_word and
-last_word are null and score is 0. The base phrases are found beside the rules and always count. A bare name counts
-wherever its words are, so the German word "mit" has the label mit.
+last_word are null and score is 0. The base phrases are found beside the rules and always count. Names that are words of
+other languages (mit, isc) count only after wording of a license.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.llm import signatures
 from keytide.llm.common import let
 
 #: What separates words, with upper-case letters still in words, and the three base phrases.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Each name below holds one of these words whichever way it is written; those of GLUED may have a version's first digit at their end.
-GLUED = ("license", "licence", "gpl", "lgpl", "agpl", "apache", "mpl", "epl")
-PLAIN = ("licensed", "spdx", "mit", "expat", "x11", "bsd", "cddl", "eupl", "isc", "zlib", "wtfpl", "cc0", "creative", "cc")
-ANCHORS = (*(word + digit for word in GLUED for digit in ("", "1", "2", "3")), *PLAIN)
-REACH = 30
-
-#: Label, name in words (a pattern), keyword. More exact names come first.
-LICENSES = (
-    ("agpl-3.0", r"(gnu )?(affero general public LICENSE|agpl)( version| v)? ?3( 0)?( only| or later)?", "3"),
-    ("agpl", r"(gnu )?(affero general public LICENSE|agpl)", "a"),
-    ("lgpl-2.1", r"(gnu )?(lesser general public LICENSE|lgpl)( version| v)? ?2 1( only| or later)?", "2"),
-    ("lgpl-3.0", r"(gnu )?(lesser general public LICENSE|lgpl)( version| v)? ?3( 0)?( only| or later)?", "3"),
-    ("lgpl", r"(gnu )?((lesser|library) general public LICENSE|lgpl)", "l"),
-    ("gpl-2.0", r"(gnu )?(general public LICENSE|gpl)( version| v)? ?2( 0)?( only| or later)?", "2"),
-    ("gpl-3.0", r"(gnu )?(general public LICENSE|gpl)( version| v)? ?3( 0)?( only| or later)?", "3"),
-    ("gpl", r"(gnu )?(general public LICENSE|gpl)", "g"),
-    ("gfdl", r"(gnu )?free documentation LICENSE", "documentation"),
-    ("apache-1.1", r"apache( software)?( LICENSE)?( version| v)? ?1 1", "apache"),
-    ("apache-2.0", r"apache( software)?( LICENSE)?( version| v)? ?2( 0)?", "apache"),
-    ("apache", r"apache( software)?( LICENSE)?", "apache"),
-    ("mit-0", r"mit no attribution( LICENSE)?", "attribution"),
-    ("mit", r"(mit|expat|x11)( LICENSE)?", ""),
-    ("bsd-0-clause", r"(bsd 0 clause|0 clause bsd|zero clause bsd)( LICENSE)?", "bsd"),
-    ("bsd-2-clause", r"(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)( LICENSE)?", "bsd"),
-    ("bsd-3-clause", r"(bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)( LICENSE)?", "bsd"),
-    ("bsd-4-clause", r"(bsd 4 clause|4 clause bsd|four clause bsd|original bsd)( LICENSE)?", "bsd"),
-    ("bsd", r"bsd( LICENSE)?", "bsd"),
-    ("mpl-1.1", r"(mozilla public LICENSE|mpl)( version| v)? ?1 1", "1"),
-    ("mpl-2.0", r"(mozilla public LICENSE|mpl)( version| v)? ?2( 0)?", "2"),
-    ("mpl", r"(mozilla public LICENSE|mpl)", "m"),
-    ("epl-1.0", r"(eclipse public LICENSE|epl)( version| v)? ?1( 0)?", "1"),
-    ("epl-2.0", r"(eclipse public LICENSE|epl)( version| v)? ?2( 0)?", "2"),
-    ("epl", r"(eclipse public LICENSE|epl)", "e"),
-    ("cddl", r"(common development and distribution LICENSE|cddl)( version)?( 1( [01])?)?", "d"),
-    ("eupl", r"(european union public LICENSE|eupl)( version| v)?( 1 [0-9])?", "eu"),
-    ("isc", r"isc( LICENSE)?", "isc"),
-    ("zlib", r"zlib( libpng)?( LICENSE)?", "zlib"),
-    ("bsl-1.0", r"boost( software)? LICENSE( version)?( 1 0)?", "boost"),
-    ("artistic", r"artistic LICENSE( version)?( [12] 0)?", "artistic"),
-    ("wtfpl", r"(do what the fuck you want to public LICENSE|wtfpl)", "w"),
-    ("unlicense", r"(the )?unlicense LICENSE", "unlicense"),
-    ("cc0", r"(cc0|creative commons zero)( LICENSE)?( 1 0)?", "c"),
-    ("cc-by-nc", r"(creative commons|cc)( attribution| by) (non ?commercial|nc)[a-z ]{0,20}?( LICENSE)?( [1-4] 0)?", "c"),
-    ("cc-by-sa", r"(creative commons|cc)( attribution| by) (share ?alike|sa)( LICENSE)?( [1-4] 0)?", "c"),
-    ("cc-by", r"(creative commons|cc)( attribution| by)( LICENSE)?( [1-4] 0)?", "c"),
-    ("python-2.0", r"(python( software foundation)?|psf) LICENSE( version)?( 2( 0)?)?", "p"),
-    ("odbl", r"open (database|data commons)( open database)? LICENSE( 1 0)?", "open"),
-    ("ofl-1.1", r"(sil )?open font LICENSE( version)?( 1 1)?", "font"),
-)
-#: Wording around a name @, and the score of what it finds.
-WORDINGS = (
-    (r"LICENSE identifier @", 1.0),
-    (r"spdx (LICENSE )?(identifier )?@", 1.0),
-    (r"LICENSE(d)? under( the)?( terms)?( and conditions)?( of)?( the)? @", 0.95),
-    (r"(released|distributed|published|available|provided|made available) under( the)?( terms)?( of)?( the)? @( LICENSE)?", 0.9),
-    (r"(subject|according) to( the)?( terms)?( and conditions)?( of)?( the)? @( LICENSE)?", 0.85),
-    (r"(see|read|copy of|refer to)( the)? @( LICENSE)?( file)?( for)?( more)?( details)?", 0.8),
-    (r"LICENSE (is|type|name)?( the)? ?@", 0.75),
-    (r"@ LICENSE(d)?( version [0-9]( [0-9])?)?", 0.7),
-    (r"@", 0.6),
-)
-
-
-def _marked(pattern: str) -> str:
-    """The pattern over words in which an anchor may have a leading #."""
-    pattern = pattern.replace("[a-z ]", "(?:#?[a-z ])")
-    pattern = pattern.replace("LICENSE(d)?", r"#?(?:licensed|license|licence)").replace("LICENSE", r"#?(?:license|licence)")
-    names = [w for w in (*GLUED, *PLAIN) if not w.startswith("licen")]
-    return re.sub(rf"\b({'|'.join(names)})\b", r"#?\1", pattern)
-
-
-def rules() -> list[tuple[str, str, str, float]]:
-    """(label, pattern over words, keyword, score) in order of priority. An anchor in a stretch is marked by a leading #."""
-    return [(label, f"(?<= )(?:{_marked(wording.replace('@', f'(?:{name})'))})(?= )", keyword, score) for wording, score in WORDINGS for label, name, keyword in LICENSES]
-
-
-def _table() -> Column:
-    """For each license its name's pattern, its keyword and its rules."""
-    ordered = list(enumerate(rules()))
-    groups = []
-    for n, (_, name, keyword) in enumerate(LICENSES):
-        own = [F.struct(F.lit(i).alias("order"), F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(s).alias("score")) for i, (a, p, _, s) in ordered[n :: len(LICENSES)]]
-        groups.append(F.struct(F.lit(_marked(name)).alias("name"), F.lit(keyword).alias("keyword"), F.array(*own).alias("rules")))
-    return F.array(*groups)
+BLOCK = 1024
+REACH = 256
+
+
+def anywhere(rule: tuple) -> str:
+    """The rule's pattern as a place in words, before each word at which it matches; group 1 is the match."""
+    context = f"(?<=(?: |^){signatures.expanded(rule[4])})" if len(rule) > 4 else ""
+    return f"(?<= )(?=((?:{signatures.expanded(rule[3])})(?= ))){context}"
+
+
+def _gate(text: Column) -> Column:
+    """Whether a text, in any case, holds a gate of some rule or of a base phrase; gates of two words and short ones from the start of a word."""
+    gates = sorted({g for r in signatures.RULES for g in signatures.gates(r)} | {"licen"})
+    apart = [g for g in gates if " " in g or len(g) < 4 and g not in ("gpl", "bsd", "cc0")]
+    held = F.lit(False)
+    for g in gates:
+        if g not in apart:
+            held = held | F.contains(text, F.lit(g))
+    return held | text.rlike(f"(?<![a-z0-9])(?:{'|'.join(g.replace(' ', '[^a-z0-9]+') for g in apart)})")
+
+
+def _detections() -> str:
+    """SQL for the detections in block b (from, low, high, text): those that start in low..high, the ones inside an earlier rule's dropped."""
+    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    by_word: dict[str, list[str]] = {}
+    for order, rule in enumerate(signatures.RULES):
+        label, score, keyword = rule[:3]
+        place = anywhere(rule)
+        before = f"concat_ws('', slice(split(b.text, r'{place.replace('((?:', '(?:(?:')}', -1), 1, k + 1))"
+        start = f"b.from + {spaces(before)} - 1"
+        one = f"transform(regexp_extract_all(b.text, r'{place}', 1), (m, k) -> named_struct('order', {order}, 'label', '{label}', 'score', {score}D, 'start', int({start}), 'n', int({spaces('m')}) + 1))"
+        # rules that share the first word of their keyword are skipped together
+        by_word.setdefault(keyword.split()[0], []).append(f"CASE WHEN contains(b.text, '{keyword}') THEN {one} END")
+    groups = ", ".join(f"CASE WHEN contains(b.text, '{word}') THEN flatten(filter(array({', '.join(rules)}), r -> r IS NOT NULL)) END" for word, rules in by_word.items())
+    clear = "filter(x, d -> d.start >= b.low AND d.start < b.high AND NOT exists(x, e -> e.order < d.order AND e.start <= d.start AND e.start + e.n >= d.start + d.n))"
+    found = f"transform(array(flatten(filter(array({groups}), g -> g IS NOT NULL))), x -> {clear})[0]"
+    return f"transform({found}, d -> named_struct('order', d.order, 'label', d.label, 'score', d.score, 'start', d.start, 'end', d.start + d.n))"
 
 
 def lower(text: Column) -> Column:
@@ -126,53 +77,20 @@ def _count(text: Column) -> Column:
     return F.when(~whole.rlike(WORD), F.lit(0)).otherwise(F.size(F.split(whole, SEPARATORS, -1)) - ends).cast("long")
 
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-
-
-def _stretches(words: Column) -> Column:
-    """(k, from, text) of each anchor k of the words; the text has the anchor marked."""
-
-    def stretch(k: Column) -> Column:
-        start = F.greatest(F.lit(0), k - REACH)
-        left = F.array_join(F.slice(words, start + 1, k - start), " ")
-        right = F.array_join(F.slice(words, k + 2, F.lit(REACH)), " ")
-        return F.struct(k.alias("k"), F.concat(F.lit(" "), left, F.when(k > start, " ").otherwise(""), F.lit("#"), F.get(words, k), F.lit(" "), right, F.lit(" ")).alias("text"))
-
-    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*ANCHORS), i)), lambda i: i.isNotNull())
-    return F.transform(places, stretch)
-
+def _blocks(words: Column) -> Column:
+    """(from, low, high, text) of each block of words: words low..high are its own, text starts at word `from`."""
 
-def _detect(stretch: Column, table: Column) -> Column:
-    """Detections (order, label, score, start, end) that hold the anchor, those inside an earlier rule's dropped."""
+    def block(k: Column) -> Column:
+        low = k * BLOCK
+        start = F.greatest(F.lit(0), low - REACH)
+        joined = F.array_join(F.slice(words, start + 1, low - start + F.lit(BLOCK + REACH)), " ")
+        return F.struct(start.alias("from"), low.alias("low"), (low + BLOCK).alias("high"), F.concat(F.lit(" "), joined, F.lit(" ")).alias("text"))
 
-    def one(rule: Column) -> Column:
-        held = F.filter(F.regexp_extract_all(stretch["text"], rule["pattern"], F.lit(0)), lambda m: F.contains(m, F.lit("#")))
-        return let(
-            F.get(held, 0),
-            lambda m: F.when(
-                m.isNotNull(),
-                F.struct(
-                    rule["order"].alias("order"), rule["label"].alias("label"), rule["score"].alias("score"),
-                    (stretch["k"] - _spaces(F.substring_index(m, "#", 1))).alias("start"),
-                    (stretch["k"] + _spaces(F.substring_index(m, "#", -1)) + 1).alias("end"),
-                ),
-            ),
-        )
-
-    named = F.filter(table, lambda g: F.contains(stretch["text"], g["keyword"]) & F.rlike(stretch["text"], g["name"]))
-    gated = F.flatten(F.transform(named, lambda g: g["rules"]))
-    found = F.filter(F.transform(gated, one), lambda d: d.isNotNull())
-    clear = lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: (e["order"] < d["order"]) & (e["start"] <= d["start"]) & (e["end"] >= d["end"])))
-    return let(found, clear)
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), block)).otherwise(F.array().cast("array<struct<from:int,low:int,high:int,text:string>>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections (label, start, end, score)."""
-    table = _table()
-    text = F.coalesce(docs[text_col], F.lit(""))
-    gated = text.rlike(rf"(?i)(?<!{WORD})(?:(?:{'|'.join(GLUED)})[1-3]?|{'|'.join(PLAIN)})(?!{WORD})")
-    words = F.array_remove(F.split(lower(text), SEPARATORS), "")
     phrases = [(p.split(" "), label) for p, label in BASE]
 
     def base(w: Column) -> Column:
@@ -190,14 +108,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return F.filter(F.transform(w, at), lambda x: x.isNotNull())
 
-    found = F.when(
-        gated,
-        let(
-            words,
-            lambda w: F.struct(base(w).alias("base"), F.array_distinct(F.flatten(F.transform(_stretches(w), lambda s: _detect(s, table)))).alias("rules")),
-        ),
-    )
-    parts = docs.select(docs[id_col].alias("doc_id"), _count(docs[text_col]).alias("n_words"), found.alias("__f")).select("doc_id", "n_words", F.col("__f.base").alias("__b"), F.col("__f.rules").alias("__r"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    words = F.array_remove(F.split(lower(text), SEPARATORS), "")
+    narrowed = F.when(_gate(F.lower(text)), let(words, lambda w: F.struct(base(w).alias("base"), _blocks(w).alias("blocks"))))
+    parts = docs.select(docs[id_col].alias("doc_id"), _count(docs[text_col]).alias("n_words"), narrowed.alias("__f"))
+    rules = F.expr(f"flatten(transform(__f.blocks, b -> {_detections()}))")
+    parts = parts.select("doc_id", "n_words", F.col("__f.base").alias("__b"), F.when(F.col("__f").isNotNull(), rules).alias("__r"))
     none = F.array().cast("array<string>")
     base_labels = F.array_sort(F.array_distinct(F.coalesce(F.transform("__b", lambda x: x["label"]), none)))
     all_labels = F.array_sort(F.array_union(F.coalesce(F.transform("__b", lambda x: x["label"]), none), F.coalesce(F.transform("__r", lambda x: x["label"]), none)))
