@@ -10,8 +10,10 @@ exact repeats. Their words are removed, at every place.
 
 Groups of copies are never paired: hashes are made distinct by task before they are dealt to buckets, counted
 there, and sent back (see sideload), so the work is linear in the words, whatever a passage's frequency. The
-documents' text isn't shuffled. Anchor hashes have `anchor_bytes` bytes, 5 by default: a false hit costs one more
-candidate and changes nothing; use 6 from about 1 TB on. Buckets follow spark.sql.shuffle.partitions.
+documents' text isn't shuffled. Windows have 16-byte hashes of words that have 16-byte hashes themselves: among
+10^14 windows two differing ones agree with a chance of about 10^-11. Anchor hashes are shorter, for a false hit costs one more candidate and
+changes nothing: as many bytes as make false hits rarer than 1 in 64 for the bytes of text counted while the documents are
+stored. A bucket stands for BUCKET bytes of text, and there are at least two for each of spark.sql.shuffle.partitions.
 
 Defined results: a null text has no words; documents under `window` words keep all; repeated rows are documents
 of their own, so their windows repeat.
@@ -28,16 +30,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from keytide.llm.common import delete, stored
-from keytide.llm.sideload import BLOB, answers, blobs, deal, member, read_answer
+from keytide.llm.sideload import BLOB, Values, answers, read_answer, send
 
 #: Characters of text worked on at once.
 SLICE = 6 << 20
-WINDOW_BYTES = 8
+BUCKET = 256 << 20
+WINDOW_BYTES = 16
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -62,21 +65,22 @@ class Words:
         self.ends = running[offsets[1:]]
         self.starts = running[offsets[:-1]]
         coded = flat.filter(full).dictionary_encode()
-        own = np.fromiter((xxhash.xxh64_intdigest(x) for x in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-        self.hashes = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
+        digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.cast(pa.large_binary()).to_pylist()))
+        own = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+        self.hashes, self.others = (own[:, k][coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64) for k in (0, 1))
         n = self.ends - self.starts
         self.into = np.arange(len(self.hashes)) - np.repeat(self.starts, n)
         self.left = np.repeat(n, n) - self.into
 
-    def rolling(self, width: int) -> np.ndarray:
-        """A hash of `width` words from each place on, by doubling; places too near an end hold anything."""
-        h, size = self.hashes, 1
+    def rolling(self, width: int, other: bool = False) -> np.ndarray:
+        """A hash of `width` words from each place on, by doubling, or its other half; places too near an end hold anything."""
+        h, size = self.others if other else self.hashes, 1
         with np.errstate(over="ignore"):
             while size < width:
                 step = min(size, width - size)
-                other = np.zeros_like(h)
-                other[: max(0, len(h) - step)] = h[step:]
-                h, size = _mix(h, other), size + step
+                later = np.zeros_like(h)
+                later[: max(0, len(h) - step)] = h[step:]
+                h, size = _mix(h, later), size + step
         return h
 
 
@@ -94,24 +98,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield part.slice(c, d - c)
 
 
-def _distinct(values: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values; flags or-ed, and 2 added where a value comes twice or more."""
-    order = np.argsort(values, kind="stable")
-    values, flags = values[order], flags[order]
-    if not len(values):
-        return values, flags
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    many = (np.diff(starts, append=len(values)) > 1).astype(np.uint8) * 2
-    return values[starts], np.bitwise_or.reduceat(flags, starts) | many
-
-
 class _Answers:
     """Answers of the task at hand; one is held at a time."""
 
     def __init__(self, path: str, width: int) -> None:
         self.path, self.width, self.task, self.values = path, width, None, None
 
-    def of(self, task: int) -> np.ndarray:
+    def of(self, task: int) -> Values:
         if task != self.task:
             self.task, self.values = task, read_answer(self.path, task, self.width)
         return self.values
@@ -120,15 +113,13 @@ class _Answers:
 def _probe(block: int, width: int, buckets: int):
     """Every rolling window of `block` words; flag 1 marks the non-overlapping blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            w = Words(part.column("text"))
-            ok = w.left >= block
-            values = w.rolling(block)[ok] >> np.uint64(64 - 8 * width)
-            flags = (w.into[ok] % block == 0).astype(np.uint8)
-            yield blobs(part.column("task")[0].as_py(), deal(*_distinct(values, flags), width, buckets))
+    def found(part: pa.RecordBatch) -> tuple[int, Values]:
+        w = Words(part.column("text"))
+        ok = w.left >= block
+        values = Values(w.rolling(block)[ok] >> np.uint64(64 - 8 * width), None, (w.into[ok] % block == 0).astype(np.uint8))
+        return part.column("task")[0].as_py(), values.distinct()
 
-    return run
+    return lambda batches: send(map(found, _slices(batches)), width, buckets)
 
 
 def _extend(anchors: str, block: int, width: int, window: int, buckets: int):
@@ -136,15 +127,18 @@ def _extend(anchors: str, block: int, width: int, window: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Answers(anchors, width)
-        for part in _slices(batches):
+
+        def found(part: pa.RecordBatch) -> tuple[int, Values]:
             task = part.column("task")[0].as_py()
             w = Words(part.column("text"))
-            hit = member(hits.of(task), w.rolling(block) >> np.uint64(64 - 8 * width)) & (w.left >= block)
+            hit = hits.of(task).member(w.rolling(block) >> np.uint64(64 - 8 * width)) & (w.left >= block)
             before = np.concatenate([[0], np.cumsum(hit)])
             n, reach = len(hit), window - block + 1
             near = before[np.minimum(np.arange(n) + reach, n)] > before[:n]
-            values = w.rolling(window)[near & (w.left >= window)]
-            yield blobs(task, deal(*_distinct(values, np.zeros(len(values), np.uint8)), WINDOW_BYTES, buckets))
+            at = np.flatnonzero(near & (w.left >= window))
+            return task, Values(w.rolling(window)[at], w.rolling(window, True)[at] if len(at) else np.zeros(0, np.uint64)).distinct()
+
+        return send(map(found, _slices(batches)), WINDOW_BYTES, buckets)
 
     return run
 
@@ -154,7 +148,8 @@ def _remove(repeats: str, window: int, names: list[str], with_text: bool):
         found = _Answers(repeats, WINDOW_BYTES)
         for part in _slices(batches):
             w = Words(part.column("text"))
-            at = np.flatnonzero(member(found.of(part.column("task")[0].as_py()), w.rolling(window)) & (w.left >= window))
+            repeated = found.of(part.column("task")[0].as_py())
+            at = np.flatnonzero(repeated.member(w.rolling(window), w.rolling(window, True)) & (w.left >= window)) if len(repeated) else np.zeros(0, np.int64)
             cover = np.zeros(len(w.hashes) + 1, np.int32)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
@@ -180,9 +175,13 @@ def _remove(repeats: str, window: int, names: list[str], with_text: bool):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
+def anchor_width(size: int, block: int) -> int:
+    """Bytes of an anchor hash for so many bytes of text, with 6 a word: 64 times as many hashes as blocks, 5 at least."""
+    return next((w for w in range(5, 8) if 256**w >= 64 * size // (6 * block)), 8)
+
+
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, block: int = 16, anchor_bytes: int = 5,
-    buckets: int | None = None, keep_rows: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, block: int = 16, buckets: int | None = None, keep_rows: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and spans (first word and length of each removed run).
 
@@ -191,10 +190,14 @@ def remove_repeats(
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
-    buckets = min(buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 14)
     row = [F.struct(F.lit(True).alias("__row"), *[docs[c] for c in docs.columns if c != text_col]).alias("row")] if keep_rows else []
     # `task` is a column of the stored table: it names the same rows in every later pass
-    table, _ = stored(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.spark_partition_id().cast("long").alias("task"), *row), "documents")
+    counted = Observation()
+    whole = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.spark_partition_id().cast("long").alias("task"), *row)
+    table, _ = stored(whole.observe(counted, F.sum(F.octet_length("text")).alias("bytes")), "documents")
+    size = counted.get["bytes"] or 0
+    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    anchor_bytes = anchor_width(size, block)
     narrow = table.select("task", "text")
     anchors = answers(narrow.mapInArrow(_probe(block, anchor_bytes, buckets), BLOB), anchor_bytes, 1, buckets, "anchors")
     repeats = answers(narrow.mapInArrow(_extend(anchors, block, anchor_bytes, window, buckets), BLOB), WINDOW_BYTES, 0, buckets, "repeats")

@@ -120,15 +120,61 @@ def test_packed_sequences_cost_least():
     assert cost == pytest.approx(least_cost(places.tolist(), prices.tolist(), 64))
 
 
-def test_hash_sets_come_back():
+def drawn(r, n, width, spread=1 << 63):
+    high = r.integers(0, 1 << 8 * width if width < 8 else 1 << 63, n, dtype=np.uint64) % np.uint64(spread)
+    low = r.integers(0, 5, n, dtype=np.uint64) if width > 8 else None
+    return sideload.Values(high, low, r.integers(0, 4, n).astype(np.uint8) * (r.random(n) < 0.1))
+
+
+def listed(v):
+    return list(zip(v.high.tolist(), [None] * len(v) if v.low is None else v.low.tolist(), v.flags.tolist()))
+
+
+@pytest.mark.parametrize("width", [5, 6, 8, 16])
+def test_hash_sets_come_back(width):
     r = np.random.default_rng(1)
-    for width in (5, 8):
-        values = np.unique(r.integers(0, 1 << 8 * width, 5000, dtype=np.uint64) if width < 8 else r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
-        flags = r.integers(0, 4, len(values)).astype(np.uint8) * (r.random(len(values)) < 0.1)
-        got = [sideload.unpack(b, width) for _, b in sideload.deal(values, flags.astype(np.uint8), width, 13)]
-        assert (np.concatenate([v for v, _ in got]) == values).all() and (np.concatenate([f for _, f in got]) == flags).all()
-        v, f = sideload.unpack(sideload.pack(values[:0], flags[:0].astype(np.uint8), width), width)
-        assert len(v) == len(f) == 0
+    values = drawn(r, 5000, width).distinct()
+    for buckets in (13, 70_000, 1 << 20):
+        dealt = list(sideload.deal(values, width, buckets))
+        assert [x for _, blob in dealt for x in listed(sideload.Packed(blob, width).values())] == listed(values)
+        assert len({b for b, _ in dealt}) > (5 if buckets == 13 else 4000)
+    whole = sideload.Packed(sideload.pack(values, width), width)
+    assert [x for a in range(0, 1 << 16, 1 << 12) for x in listed(whole.values(a, a + (1 << 12)))] == listed(values)
+    assert len(sideload.Packed(sideload.pack(values[:0], width), width).values()) == 0
+
+
+@pytest.mark.parametrize("width", [5, 16])
+def test_hash_sets_with_forced_collisions(width):
+    """High halves take 40 values, so that the other halves decide; against plain dictionaries."""
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 700):
+        values = drawn(r, n, width, 40)
+        want = {}
+        for h, low, f in listed(values):
+            want.setdefault((h, low), []).append(f)
+        assert listed(values.distinct()) == sorted((*k, int(np.bitwise_or.reduce(f)) | 2 * (len(f) > 1)) for k, f in want.items())
+        other = drawn(r, 300, width, 60)
+        got = values.distinct().member(other.high, other.low)
+        assert got.tolist() == [(h, low) in want for h, low, _ in listed(other)]
+
+
+def test_buckets_answer_in_chunks(monkeypatch):
+    monkeypatch.setattr(sideload, "CHUNK", 50)
+    r = np.random.default_rng(3)
+    sent = {t: drawn(r, 400, 16).distinct() for t in range(4)}
+    sent[4] = sideload.Values.joined([sent[0][::3], sent[2][::5]]).distinct()
+    held = [(t, sideload.Packed(sideload.pack(v, 16), 16)) for t, v in sent.items()]
+    assert len(list(sideload._spans([b for _, b in held]))) > 10
+    got = {}
+    for t, _, blob in sideload._answer(0, held, 16, 0):
+        got.setdefault(t, []).extend(x[:2] for x in listed(sideload.Packed(blob, 16).values()))
+    keys = {t: [x[:2] for x in listed(v)] for t, v in sent.items()}
+    many = {x for v, k in ((v, keys[t]) for t, v in sent.items()) for x, f in zip(k, v.flags) if f & 2 or sum(x in keys[u] for u in keys) > 1}
+    assert got == {t: [x for x in k if x in many] for t, k in keys.items() if set(k) & many}
+
+
+def test_anchors_widen_with_the_data():
+    assert [blockdedup.anchor_width(x, 16) for x in (0, 10**9, 10**12, 10**14, 10**19)] == [5, 5, 5, 6, 8]
 
 
 def test_rolling_hashes_tell_windows_apart():
@@ -136,6 +182,8 @@ def test_rolling_hashes_tell_windows_apart():
     assert w.ends.tolist() == [10, 10, 10, 13]
     h = w.rolling(3)
     assert h[0] == h[5] and h[1] == h[10] and h[0] != h[1] and h[2] != h[1]
+    other = w.rolling(3, True)
+    assert other[0] == other[5] and other[1] == other[10] and other[0] != other[1] and (other != h).all()
 
 
 def test_html_items():
