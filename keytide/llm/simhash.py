@@ -1,16 +1,20 @@
 """SimHash near-dedup: segment-popcount embedding, grid range-join under Manhattan distance, exact check.
 
 A fingerprint of 64 bits is cut into `segments` pieces; the bit counts of the pieces are a point of a small
-integer grid. Two fingerprints that differ in r bits have points at Manhattan distance r at most, so links within
+integer grid, kept in one long. Two fingerprints that differ in r bits have points at Manhattan distance r at most, so links within
 2 bits lie between grid cells at distance 2 at most. Two cells that near share a cell at distance 1 or 0 from
-both, hence each distinct fingerprint is put into its own cell and the 2 * segments cells next to it, and an
+both, hence each distinct fingerprint is put into its own cell and the cells next to it, and an
 equality join on the cell finds every candidate; Hamming distance then decides. The rows grow with the number
-of distinct fingerprints only.
+of distinct fingerprints only: 49 each on average with 32 segments, whose fullest cell holds 2048 random fingerprints only
+from about 2.7 * 10^11 distinct ones on (6 * 10^8 with 16 segments, 5 * 10^6 with 8).
 
-A cell with more than `heavy` fingerprints is not joined with itself. Each fingerprint of such a cell is instead
+So a cell with more than `heavy` fingerprints is a crowd of near copies, at every size of the corpus, and not joined with itself, for
+its pairs would grow with the square of the crowd. Each fingerprint of such a cell is instead
 tied to the values at Hamming distance 1 or 0 (65 rows); two fingerprints share such a value exactly when they
 differ in at most 2 bits, so the components stay exact and the rows linear, whatever a cell holds. Components
-come from rounds of hooking to the smallest neighbour and pointer jumping, each round a table in the shared folder.
+come from rounds of hooking to the smallest neighbour and pointer jumping, each round a table in the shared folder. Joins are
+sort-merge joins by hint, so nothing is broadcast; a fingerprint or root that many rows share is split by adaptive execution
+(spark.sql.adaptive.skewJoin), which such joins admit.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a text under
 `shingle` words gives its whole word sequence as its only shingle; repeated shingles count as often as they
@@ -72,72 +76,83 @@ def with_fingerprints(docs: DataFrame, keep: list[Column], text: Column, shingle
     return narrow.mapInArrow(_fingerprints(shingle, seed), schema)
 
 
-def _cells(fps: DataFrame, segments: int) -> DataFrame:
-    """(cell, move, fp): the own cell (move 0) and those one step away. A cell is its coordinates, one byte each, as two longs."""
-    width = BITS // segments
-    mask = (1 << width) - 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask))) for k in range(segments)]
-    half = (segments + 1) // 2
+def _long(bits: int) -> Column:
+    """A 64-bit pattern as a signed literal."""
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
 
-    def packed(moved: int, by: int) -> list[Column]:
-        parts = [counts[k] + (by if k == moved else 0) for k in range(segments)]
-        total = [F.lit(0).cast("long"), F.lit(0).cast("long")]
-        for k, p in enumerate(parts):
-            at = 0 if k < half else 1
-            total[at] = total[at] * 256 + (p + 1).cast("long")
-        return total
+def point(fp: Column, segments: int) -> Column:
+    """The bit counts of the segments, side by side in one long, each in the bits of its segment; no step overflows."""
+    c, width = fp, 1
+    while width < BITS // segments:
+        mask = _long(sum(((1 << width) - 1) << k for k in range(0, BITS, 2 * width)))
+        low, high = c.bitwiseAND(mask), F.shiftrightunsigned(c, width).bitwiseAND(mask)
+        # single bits are added by hand, for their sum may reach the sign
+        c = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1)) if width == 1 else low + high
+        width *= 2
+    return c
 
-    steps = [(0, 0)] + [(k, by) for k in range(segments) for by in (-1, 1)]
-    entries = F.array(*[F.struct(F.lit(m).alias("move"), *[c.alias(n) for c, n in zip(packed(k, by), ("c0", "c1"))]) for m, (k, by) in enumerate(steps)])
-    return fps.select("fp", F.explode(entries).alias("e")).select("fp", "e.move", "e.c0", "e.c1")
+
+def _cells(fps: DataFrame, segments: int) -> DataFrame:
+    """(cell, move, fp): the own cell (move 0) and those one step away, where every count stays between 0 and the segment's bits."""
+    width = BITS // segments
+    mask, at = (1 << width) - 1, F.expr(f"cast((move - 1) div 2 * {width} as int)")
+    by = F.when(F.col("move") % 2 == 1, 1).otherwise(-1)
+    moved = fps.select("fp", point(F.col("fp"), segments).alias("own")).select("fp", "own", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("move"))
+    count = F.call_function("shiftrightunsigned", F.col("own"), at).bitwiseAND(_long(mask))
+    there = moved.withColumn("n", (count + by).cast("long")).where((F.col("move") == 0) | F.col("n").between(0, width))
+    cleared = F.col("own").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", _long(mask), at)))
+    cell = F.when(F.col("move") == 0, F.col("own")).otherwise(cleared.bitwiseOR(F.call_function("shiftleft", F.col("n"), at)))
+    return there.select(cell.alias("cell"), "move", "fp")
 
 
-def links(fps: DataFrame, segments: int = 8, distance: int = 2, heavy: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """Links between distinct fingerprints: pairs (a, b) within distance, and ties (a, point) standing for the pairs of heavy cells.
+def links(fps: DataFrame, segments: int = 32, distance: int = 2, heavy: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Links between distinct fingerprints: pairs (a, b) within distance, and ties (a, b) to values b that stand for the pairs of heavy cells.
 
     distance may be 0, 1 or 2: beyond, one step from both cells is not enough.
     """
-    if distance > 2 or 64 % segments or segments > 14:
-        raise ValueError("distance is at most 2; segments divides 64 and is at most 14")
+    if not 0 <= distance <= 2 or segments not in (4, 8, 16, 32):
+        raise ValueError("distance is at most 2; segments is 4, 8, 16 or 32")
     cells = _cells(fps, segments)
-    sizes = cells.groupBy("c0", "c1").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("c0", "c1")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("cell")
     big, _ = stored(sizes, "heavy")
-    light = cells if big.isEmpty() else cells.join(big, ["c0", "c1"], "left_anti")
-    a, b = light.alias("a"), light.alias("b")
-    same = (F.col("a.c0") == F.col("b.c0")) & (F.col("a.c1") == F.col("b.c1"))
+    crowds = not big.isEmpty()
+    light = cells.join(big.hint("merge"), "cell", "left_anti") if crowds else cells
+    a, b = light.alias("a"), light.alias("b").hint("merge")
     # Same move on both sides: the own cells agree, and the pair is found there.
     once = (F.col("a.move") != F.col("b.move")) | (F.col("a.move") == 0)
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    pairs = a.join(b, same & once & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    if big.isEmpty():
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & once & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    if not crowds:
         return pairs, pairs.limit(0)
-    crowded = cells.join(big, ["c0", "c1"], "left_semi").select("fp").distinct()
-    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(BITS)])
-    ties = crowded.select(F.col("fp").alias("a"), F.explode(ball if distance == 2 else F.array("fp")).alias("b"))
+    crowded = cells.join(big.hint("merge"), "cell", "left_semi").select("fp").distinct()
     if distance == 1:
-        raise ValueError("heavy cells need distance 2 or 0")
-    return pairs, ties
+        # two values differ in bit k alone exactly when they agree once it is cleared
+        shared = [F.struct(F.lit(k).alias("bit"), F.col("fp").bitwiseAND(_long((1 << 64) - 1 - (1 << k))).alias("rest")) for k in range(BITS)]
+    else:
+        shared = [F.col("fp"), *[F.col("fp").bitwiseXOR(_long(1 << k)) for k in range(BITS if distance else 0)]]
+    return pairs, crowded.select(F.col("fp").alias("a"), F.explode(F.array(*shared)).alias("b"))
 
 
 def components(pairs: DataFrame, ties: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node of an edge list of longs; root names the component.
 
     ties are (node, hub) edges whose hubs aren't nodes. Each is turned into node-node edges by linking every node
-    of a hub to the smallest one: as many edges as ties. Then rounds of large-star and small-star steps, which
-    keep the number of edges at most and end when nothing changes; the hubs of either step are pre-aggregated
-    minima, so no task gathers a neighbourhood.
+    of a hub to the smallest one: as many edges as ties. Then, in rounds, each root is hooked to the smallest root beyond
+    one of its edges (an aggregated minimum, so no task gathers a neighbourhood), hooks are followed to their ends by
+    pointer jumping, and nodes take the new roots, until no edge joins two roots.
     """
     edges = pairs.select("a", "b")
     if ties is not None and not ties.isEmpty():
         low = ties.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("n")).where("n > 1")
-        edges = edges.unionByName(ties.join(low, "b").where("a <> low").select("low", F.col("a").alias("x")).select(F.col("low").alias("a"), F.col("x").alias("b")))
+        edges = edges.unionByName(ties.join(low.hint("merge"), "b").where("a <> low").select("low", F.col("a").alias("x")).select(F.col("low").alias("a"), F.col("x").alias("b")))
     edges, path = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    labels, _ = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "labels")
+    labels, label_path = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "labels")
     while True:
         # hook: the smallest root seen over the edges, for the root of each node; jump: the root's root
         seen = (
-            edges.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+            edges.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")).hint("merge"), "a")
+            .join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge"), "b")
             .where("ra <> rb").select(F.greatest("ra", "rb").alias("high"), F.least("ra", "rb").alias("low"))
         )
         hooks, hook_path = stored(seen.groupBy("high").agg(F.min("low").alias("low")), "hooks")
@@ -145,18 +160,20 @@ def components(pairs: DataFrame, ties: DataFrame | None = None) -> DataFrame:
             delete(edges.sparkSession, path)
             return labels
         while True:
-            far = hooks.alias("x").join(hooks.alias("y"), F.col("x.low") == F.col("y.high"), "left").select("x.high", F.coalesce("y.low", "x.low").alias("low"), F.col("y.low").isNotNull().alias("moved"))
+            far = hooks.alias("x").join(hooks.alias("y").hint("merge"), F.col("x.low") == F.col("y.high"), "left").select("x.high", F.coalesce("y.low", "x.low").alias("low"), F.col("y.low").isNotNull().alias("moved"))
             jumped, new_path = stored(far, "hooks")
             delete(edges.sparkSession, hook_path)
             hooks, hook_path = jumped.select("high", "low"), new_path
             if jumped.where("moved").isEmpty():
                 break
-        moved = labels.join(hooks.withColumnRenamed("high", "root"), "root", "left").select("node", F.coalesce("low", "root").alias("root"))
-        labels, _ = stored(moved, "labels")
+        moved = labels.join(hooks.withColumnRenamed("high", "root").hint("merge"), "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+        old, (labels, label_path) = label_path, stored(moved, "labels")
+        delete(edges.sparkSession, old)
+        delete(edges.sparkSession, hook_path)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, segments: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, segments: int = 32,
     distance: int = 2, heavy: int = 2048, keep_rows: bool = False,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), and `rid` with keep_rows.
@@ -171,10 +188,10 @@ def near_duplicates(
     classes, _ = stored(marked.groupBy("fp").agg(smallest), "classes")
     pairs, ties = links(classes.select("fp"), segments, distance, heavy)
     found = components(pairs, ties)
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    named = rooted.join(best, "root").select("fp", "best")
-    out = marked.join(named, "fp").select(
+    named = rooted.join(best.hint("merge"), "root").select("fp", "best")
+    out = marked.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), "rid", (F.col("rid") == F.col("best.rid")).alias("first"),
     )
     if not keep_rows:

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
 
-from keytide.llm import blockdedup, idpack, interleave, licenses, linefreq, mixture, packing, signatures, simhash, tokcount
+from keytide.llm import blockdedup, idpack, interleave, licenses, linefreq, mixture, packing, sideload, signatures, simhash, tokcount
 from keytide.llm.tokens import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,8 +133,23 @@ def test_near_duplicates(odd):
     assert bag(got, ["doc_id", "fingerprint", "component_id"]) == Counter(want)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
 @pytest.mark.parametrize("heavy", [2048, 3])
-def test_links_are_all_found(spark, heavy):
+def test_links_within_each_distance(spark, heavy, distance):
+    r = np.random.default_rng(8)
+    fps = sorted({0x0F0F1234 ^ (1 << int(i)) ^ (1 << int(j)) for i, j in r.integers(0, 64, (60, 2))})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    found = {x.node: x.root for x in simhash.components(*simhash.links(df, 16, distance, heavy)).collect()}
+    root = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            root[a] = min([root[b] for b in fps if (a ^ b).bit_count() <= distance])
+    own = [found.get(s, s) for s in (int(np.uint64(f).view(np.int64)) for f in fps)]
+    assert all((own[i] == own[j]) == (root[a] == root[b]) for i, a in enumerate(fps) for j, b in enumerate(fps))
+
+
+@pytest.mark.parametrize(("segments", "heavy"), [(32, 2048), (32, 3), (8, 2048), (4, 50)])
+def test_links_are_all_found(spark, segments, heavy):
     """Random fingerprints, dense balls and long chains; with heavy cells as well."""
     r = np.random.default_rng(3)
     fps = {int(x) for x in r.integers(0, 1 << 64, 300, dtype=np.uint64)} | {0, 1, 3, (1 << 64) - 1, 1 << 63}
@@ -145,7 +161,7 @@ def test_links_are_all_found(spark, heavy):
         fps.add(chain)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    found = {x.node: x.root for x in simhash.components(*simhash.links(df, heavy=heavy)).collect()}
+    found = {x.node: x.root for x in simhash.components(*simhash.links(df, segments, heavy=heavy)).collect()}
     groups = defaultdict(set)
     for f, s in zip(fps, signed):
         groups[found.get(s, s)].add(f)
@@ -155,6 +171,18 @@ def test_links_are_all_found(spark, heavy):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_points_are_bit_counts(spark):
+    from pyspark.sql import functions as F
+
+    fps = [0, -1, 1 << 62, -(1 << 63), 0x123456789ABCDEF, -0x123456789ABCDEF]
+    for segments in (4, 8, 16, 32):
+        width = 64 // segments
+        got = spark.createDataFrame([(f,) for f in fps], "fp long").select("fp", simhash.point(F.col("fp"), segments).alias("p")).collect()
+        for x in got:
+            bits = [(x.fp >> width * k & (1 << width) - 1).bit_count() for k in range(segments)]
+            assert [x.p >> width * k & (1 << width) - 1 for k in range(segments)] == bits
+
+
 def test_one_of_each_group_is_first(odd):
     got = rows_of(simhash.near_duplicates(odd, keep_rows=True))
     assert all(n == 1 for n in Counter(r["component_id"] for r in got if r["first"]).values())
@@ -197,6 +225,28 @@ def test_substring_dedup_over_many_slices(spark, docs_schema, monkeypatch):
     assert got == dict(enumerate(cut_repeats(texts)))
 
 
+def test_windows_that_share_half_a_hash(spark, docs_schema, monkeypatch):
+    """The first half of every word's hash takes 4 values: the other half keeps windows apart."""
+    import random
+
+    plain = blockdedup.Words.__init__
+
+    def weak(self, texts):
+        plain(self, texts)
+        self.hashes = self.hashes & np.uint64(3)
+
+    monkeypatch.setattr(blockdedup.Words, "__init__", weak)
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randint(0, 50)}" for _ in range(r.randint(30, 200))) for _ in range(40)]
+    texts += [t[9:] + " z " + t for t in texts[:10]]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(texts)], ["task", "text"])
+    w = blockdedup.Words(batch.column("text"))
+    both = sideload.Values(w.rolling(35), w.rolling(35, True))[w.left >= 35]
+    values, starts = both.runs()
+    windows = Counter(tuple(x[i : i + 35]) for x in map(WORD.findall, texts) for i in range(len(x) - 34))
+    assert len(starts) == len(windows) > len(np.unique(both.high)) and sorted(np.diff(starts, append=len(values))) == sorted(windows.values())
+
+
 def test_mix(odd):
     rows = rows_of(mixture.mix(odd))
     sizes = defaultdict(int)
