@@ -8,8 +8,9 @@ caption and gains the facts of its payload.
 `of_documents` applies the three to texts: each text gives a page of its first lines, a figure that refers to the
 text's own payload (UTF-8, with spaces to a positive multiple of 192 bytes, 64 pixels of 3 samples), and its other lines.
 Payloads are written by the task that reads the row and decoded once; a task keeps no payload twice. Only digests,
-captions and numbers are shuffled; the media side is made distinct before the join, and references to a hot digest
-are the side that Spark can split.
+captions and numbers are shuffled. References are dealt to `salts` shares; each share asks once for each of its digests, the
+facts are joined to those questions, and the answers to the references of the share, so a digest that a third of all
+references hold is spread over all shares.
 
 Defined results: a null text is empty: no text items, a payload of 192 spaces; equal texts give equal values; rows
 that repeat are rows of their own; a reference without stored media keeps its item, with null facts.
@@ -208,12 +209,15 @@ def media_facts(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, FACTS).groupBy("digest").agg(*[F.first(c).alias(c) for c in names])
 
 
-def resolve(items: DataFrame, facts: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, facts: DataFrame, salts: int = 64) -> DataFrame:
     """A row per media reference of items (key columns and `items`): the keys, position, caption, n_items and the payload's facts."""
     keys = [c for c in items.columns if c != "items"]
     media = F.filter("items", lambda x: x["kind"] == "media")
     refs = items.select(*keys, F.size("items").alias("n_items"), F.explode(media).alias("m")).select(*keys, "n_items", "m.position", "m.caption", "m.digest")
-    return refs.join(facts, "digest", "left")
+    share = F.pmod(F.xxhash64(*keys, "position"), F.lit(salts)).cast("int")
+    refs, _ = stored(refs.withColumn("__share", share), "references")
+    known = refs.select("digest", "__share").distinct().join(facts.hint("merge"), "digest")
+    return refs.join(known.hint("merge"), ["digest", "__share"], "left").drop("__share")
 
 
 def of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
