@@ -1,13 +1,13 @@
 """Quality rules from cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space as one space, trimmed) and hashed. For each host (the
-source), the distinct texts that hold a line are counted. A line is too frequent when more than
-max(min_docs, share * distinct texts of the host) texts of its host hold it; such lines are removed. A document
+source), the documents that hold a line are counted, each once however often it holds it. A line is too frequent when more than
+max(min_docs, share * documents of the host) documents of its host hold it; such lines are removed. A document
 is rejected when a base rule fails, or when what is left is under min_words words or under min_left of its words.
+With copies_once, documents of one text count as one: for a step that removes copies afterwards, and must not lose the last.
 
 Defined results: a null text has no words and fails the base rules; null hosts form one host; rows are
-documents, repeated rows each get the result of their text; exact copies count as one text, so a text is
-not held against itself. A document without frequent lines is never depleted.
+documents of their own, and each gets the result of its text. A document without frequent lines is never depleted.
 
 The text is parsed once, into a narrow table (counts and line hashes) in the shared folder. Counting shuffles
 8-byte hashes, combined before the shuffle; the join back is salted, so a line that a third of all documents
@@ -80,7 +80,7 @@ def base_counts(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
 
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-    min_docs: int = 5, share: float = 0.05, min_words: int = 10, min_left: float = 0.3, salts: int = 32, keep_rows: bool = False,
+    min_docs: int = 5, share: float = 0.05, min_words: int = 10, min_left: float = 0.3, salts: int = 32, copies_once: bool = False, keep_rows: bool = False,
 ) -> DataFrame:
     """The counts and the verdict for each row of docs.
 
@@ -90,9 +90,10 @@ def judge(
     docs, name = named_rows(docs)
     keep = [name.alias("rid"), docs[id_col].alias("doc_id"), docs[host_col].alias("host")]
     table, _ = stored(base_counts(docs, docs[text_col], keep), "lines")
-    hosts = table.groupBy("host").agg(F.count_distinct("text_key").alias("host_docs"))
+    many = F.count_distinct("text_key") if copies_once else F.count("*")
+    hosts = table.groupBy("host").agg(many.alias("host_docs"))
     held = table.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = held.groupBy("host", "h").agg(F.count_distinct("text_key").alias("n")).where(F.col("n") > min_docs)
+    counts = held.groupBy("host", "h").agg(many.alias("n")).where(F.col("n") > min_docs)
     frequent = (
         counts.alias("c").join(hosts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
         .where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs")))

@@ -10,8 +10,8 @@ a AS (SELECT rid, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n_repea
 l AS (SELECT rid, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS norm FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 q AS (SELECT * FROM l WHERE norm <> ''),
 u AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM q GROUP BY rid),
-h AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-b AS (SELECT q.source, norm FROM q JOIN h ON q.source IS NOT DISTINCT FROM h.source GROUP BY q.source, norm, texts HAVING count(DISTINCT text) > greatest(5, 0.05 * texts)),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+b AS (SELECT q.source, norm FROM q JOIN h ON q.source IS NOT DISTINCT FROM h.source GROUP BY q.source, norm, docs HAVING count(DISTINCT rid) > greatest(5, 0.05 * docs)),
 x AS (SELECT rid, count(*) AS n_frequent_lines, CAST(sum(length(q.norm) - length(replace(q.norm, ' ', '')) + 1) AS BIGINT) AS cut FROM q JOIN b ON q.norm = b.norm AND q.source IS NOT DISTINCT FROM b.source GROUP BY rid),
 j AS (SELECT d.doc_id, n_words, word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   coalesce(n_frequent_lines, 0) AS n_frequent_lines, n_words - coalesce(cut, 0) AS n_words_left FROM d JOIN n USING (rid) LEFT JOIN u USING (rid) LEFT JOIN a USING (rid) LEFT JOIN x USING (rid)),

@@ -73,18 +73,20 @@ def test_quality_counts(odd):
     assert bag(got, names) == Counter((r["doc_id"], *counts(r["text"])) for r in rows_of(odd))
 
 
-def test_frequent_lines(odd):
+@pytest.mark.parametrize("copies_once", [True, False])
+def test_frequent_lines(odd, copies_once):
     texts = {r["doc_id"]: r["text"] for r in rows_of(odd)}
     hosts = {r["doc_id"]: r["source"] for r in rows_of(odd)}
     norm = lambda x: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x.lower()).strip(" ")
     held, total = defaultdict(set), defaultdict(set)
-    for r in rows_of(odd):
-        total[r["source"]].add(r["text"] or "")
+    for k, r in enumerate(rows_of(odd)):
+        document = (r["text"] or "") if copies_once else k
+        total[r["source"]].add(document)
         for line in map(norm, (r["text"] or "").split("\n")):
             if line:
-                held[r["source"], line].add(r["text"])
+                held[r["source"], line].add(document)
     cut = lambda d, x: len(held.get((hosts[d], norm(x)), ())) > max(5, 0.05 * len(total[hosts[d]]))
-    for r in rows_of(linefreq.judge(odd, keep_rows=True)):
+    for r in rows_of(linefreq.judge(odd, copies_once=copies_once, keep_rows=True)):
         d = r["doc_id"]
         if d is None:
             continue
@@ -95,7 +97,7 @@ def test_frequent_lines(odd):
         assert r["kept"] == (not r["base_failed"] and not (gone and (left < 10 or left < 0.3 * r["n_words"])))
         assert r["clean_text"] == (texts[d] if not gone else "\n".join(x for x in lines if x not in gone))
         assert r["row"]["doc_id"] == d
-    assert sum(r["n_frequent_lines"] for r in rows_of(linefreq.judge(odd))) >= 12
+    assert sum(r["n_frequent_lines"] for r in rows_of(linefreq.judge(odd, copies_once=copies_once))) >= 12
 
 
 def fingerprint(text):
@@ -321,7 +323,22 @@ def test_media(odd):
     got = rows_of(interleave.of_documents(odd))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"]
     assert bag(got, names) == Counter((r["doc_id"], *want(r["text"])) for r in rows_of(odd))
-    assert all(r["position"] < r["n_items"] and r["caption"].startswith("Payload of ") for r in got)
+    lines = {r["doc_id"]: [x for x in (r["text"] or "").split("\n") if x.strip()] for r in rows_of(odd) if r["doc_id"] is not None}
+    for r in got:
+        if r["doc_id"] is None:
+            continue
+        shown = [" ".join(x.split()) for x in lines[r["doc_id"]]]
+        digest = f"{r['payload_sha256']}-{r['n_bytes']}"
+        assert r["caption"] == f"Payload of {len(shown)} lines" and r["position"] == min(3, len(shown)) and r["n_items"] == len(shown) + 1
+        assert r["sequence_sha256"] == hashlib.sha256("\n".join([*shown[:3], digest, *shown[3:]]).encode()).hexdigest()
+    for r in rows_of(odd):
+        payload = (r["text"] or "").encode()
+        payload += b" " * (-len(payload) % 192 or 192 * (not payload))
+        means = ",".join(str(sum(payload[c::3]) * 1000 // (len(payload) // 3)) for c in range(3))
+        counts = Counter(payload)
+        top = min(counts, key=lambda b: (-counts[b], b))
+        want_feature = f"rgb8 64x{len(payload) // 192} mean {means} top {top}:{counts[top]} used {len(counts)}"
+        assert {x["feature"] for x in got if x["doc_id"] == r["doc_id"] and x["payload_sha256"] == hashlib.sha256(payload).hexdigest()} == {want_feature}
     by_text = defaultdict(set)
     for r in got:
         by_text[r["payload_sha256"], r["n_bytes"]].add((r["media_sha256"], r["media_bytes"], r["feature"]))

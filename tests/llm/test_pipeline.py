@@ -65,7 +65,7 @@ def plain_pipeline(rows, judged):
 def test_pipeline(spark, odd, tmp_path):
     docs = odd.where("doc_id is not null").coalesce(2)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    judged = {(r["row"]["doc_id"], r["row"]["text"]): (r["kept"], r["clean_text"]) for r in rows_of(linefreq.judge(docs, keep_rows=True))}
+    judged = {(r["row"]["doc_id"], r["row"]["text"]): (r["kept"], r["clean_text"]) for r in rows_of(linefreq.judge(docs, copies_once=True, keep_rows=True))}
     want = plain_pipeline(rows_of(docs), judged)
     parts = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     sequences = defaultdict(list)
