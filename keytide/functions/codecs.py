@@ -1,8 +1,8 @@
 """Wire codecs of log payloads. Bad input gives None, never a part of a row.
 
 Fixed values, formats: an integer is a prefix letter, decimal digits and a line feed; a string is $, its length, a line
-feed, its bytes and a line feed; $-1 is no string. A command array is *2, then *3 with asking, flags and access
-list, then its commands, each a count of strings. Numbers of columns apply these through Arrow batches.
+feed, its bytes and a line feed. A command array is *2, then *3 with asking, flags and access
+list (empty: none), then its commands, each a count of strings. Functions of columns apply these through Arrow batches.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ def put_int(prefix: bytes, value: int) -> bytes:
 
 
 def put_str(value: bytes | None) -> bytes:
-    return b"$-1\n" if value is None else b"$%d\n%s\n" % (len(value), value)
+    """A string; none is written as the empty one."""
+    return b"$%d\n%s\n" % (len(value or b""), value or b"")
 
 
 class Cursor:
@@ -43,10 +44,8 @@ class Cursor:
             raise Bad(f"not a number: {digits!r}")
         return int(digits)
 
-    def str(self) -> bytes | None:
+    def word(self) -> bytes:
         digits = self.line(b"$")
-        if digits == b"-1":
-            return None
         if not digits.isdigit():
             raise Bad(f"not a length: {digits!r}")
         n = int(digits)
@@ -56,12 +55,6 @@ class Cursor:
         self.at += n + 1
         return found
 
-    def word(self) -> bytes:
-        found = self.str()
-        if found is None:
-            raise Bad("a string is missing")
-        return found
-
     def end(self) -> None:
         if self.at != len(self.data):
             raise Bad("bytes are left over")
@@ -77,7 +70,7 @@ def decode_commands(data: bytes) -> dict:
     c = Cursor(data)
     if c.int(b"*") != 2 or c.int(b"*") != 3:
         raise Bad("not a command array")
-    asking, flags, acl = c.int(b":"), c.int(b":"), c.str()
+    asking, flags, acl = c.int(b":"), c.int(b":"), c.word()
     n = c.int(b"*")
     if not n:
         raise Bad("no commands")
@@ -88,7 +81,7 @@ def decode_commands(data: bytes) -> dict:
             raise Bad("an empty command")
         commands.append([c.word() for _ in range(size)])
     c.end()
-    return {"asking": bool(asking), "cmd_flags": flags, "acl": None if acl is None else acl.decode("utf-8", "replace"), "commands": commands}
+    return {"asking": bool(asking), "cmd_flags": flags, "acl": acl.decode("utf-8", "replace") if acl else None, "commands": commands}
 
 
 def encode_import(term: int, session_key: int, entries: Iterable[tuple[bytes, bytes]]) -> bytes:
@@ -181,10 +174,41 @@ def decode_commands_column(data: Column) -> Column:
 
 
 def encode_commands_column(commands: Column) -> Column:
-    """Bytes of an array<array<binary>> column, without flags."""
+    """Bytes of an array<array<binary>> column, without flags or access list."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else encode_commands([[bytes(a) for a in c] for c in x]) for x in s], dtype=object)
 
     return run(commands)
+
+
+def _text(value: Column) -> Column:
+    """A string with its length, as bytes."""
+    raw = F.encode(value, "UTF-8")
+    return F.concat(F.encode(F.concat(F.lit("$"), F.octet_length(raw), F.lit("\n")), "UTF-8"), raw, F.lit(b"\n"))
+
+
+def import_column(term: Column, session_key: Column, entries: Column) -> Column:
+    """Bytes of an import payload from an array of (key, payload), inside the JVM."""
+    head = F.encode(F.concat(F.lit("*"), term, F.lit("\n*"), session_key, F.lit("\n*"), F.size(entries), F.lit("\n")), "UTF-8")
+    return F.aggregate(entries, head, lambda a, e: F.concat(a, _text(e["key"]), _text(e["payload"])))
+
+
+def timeout_column(idx: Column, error: Column) -> Column:
+    """Bytes of a timeout payload, inside the JVM."""
+    return F.encode(F.concat(F.lit("*"), idx, F.lit("\n*"), error.cast("int"), F.lit("\n")), "UTF-8")
+
+
+def lock_keys_column(keys: Column) -> Column:
+    """Bytes of a lock-key list, inside the JVM: distinct, in byte order, each ended by a zero byte."""
+    found = F.array_sort(F.array_distinct(keys))
+    return F.concat(F.encode(F.concat(F.lit("*"), F.size(found), F.lit("\n")), "UTF-8"), F.encode(F.array_join(F.transform(found, lambda k: F.concat(k, F.lit("\0"))), ""), "UTF-8"))
+
+
+def shard_group_column(group: Column) -> Column:
+    """Text of a shard group (id, slot_ranges, nodes), inside the JVM: a line a value."""
+    ranges = F.transform(group["slot_ranges"], lambda r: F.concat_ws("\n", r["start"], r["end"], r["type"], r["session_key"]))
+    nodes = F.transform(group["nodes"], lambda n: F.concat(n["node_id"], F.lit("\n"), n["host"], F.lit(":"), n["port"]))
+    lines = F.concat(F.array(group["id"], F.size(group["slot_ranges"]).cast("string"), F.size(group["nodes"]).cast("string")), ranges, nodes)
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))

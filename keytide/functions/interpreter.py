@@ -6,6 +6,7 @@ of a slot. Keys, fields and values are text; replies are None, integers, text or
 
 from __future__ import annotations
 
+import inspect
 import math
 import random
 import re
@@ -24,12 +25,14 @@ class Failure(Exception):
 
 EMPTY = {"string": str, "hash": dict, "list": list, "set": set, "zset": dict, "geo": dict, "distinct": set}
 _ACTIONS: dict[str, Callable] = {}
+_SHAPES: dict[str, inspect.Signature] = {}
 
 
 def command(*names: str) -> Callable:
     def add(f: Callable) -> Callable:
         for n in names:
             _ACTIONS[n] = f
+            _SHAPES[n] = inspect.signature(f)
         return f
 
     return add
@@ -42,6 +45,21 @@ def number(text: str) -> int:
         raise Failure("ERR value is not an integer or out of range") from None
 
 
+def real(text: str) -> float:
+    try:
+        value = float(text)
+    except ValueError:
+        raise Failure("ERR value is not a valid float") from None
+    if math.isnan(value):
+        raise Failure("ERR value is not a valid float")
+    return value
+
+
+def syntax(good: bool) -> None:
+    if not good:
+        raise Failure("ERR syntax error")
+
+
 def span(n: int, start: int, stop: int) -> slice:
     """The slice of start..stop, both in, negative from the end."""
     start = max(0, start + n if start < 0 else start)
@@ -50,16 +68,18 @@ def span(n: int, start: int, stop: int) -> slice:
 
 
 def render(score: float) -> str:
+    if math.isinf(score):
+        return "inf" if score > 0 else "-inf"
     return str(int(score)) if score == int(score) and abs(score) < 1e17 else repr(score)
 
 
 class Store:
-    """One keyspace. data: key -> (type, value); expire: key -> milliseconds."""
+    """One keyspace. data: key -> (type, value); expire: key -> milliseconds; now: the time of the entry at hand, in milliseconds."""
 
     def __init__(self) -> None:
         self.data: dict[str, tuple[str, object]] = {}
         self.expire: dict[str, int] = {}
-        self.idx = 0
+        self.idx = self.now = 0
 
     def of(self, key: str, kind: str, create: bool = False):
         found = self.data.get(key)
@@ -84,20 +104,25 @@ class Store:
         if found is not None and found[0] != "string" and not found[1]:
             self.drop(key)
 
-    def apply(self, idx: int, argv: list[str]):
+    def apply(self, idx: int, argv: list[str], now: int = 0):
         """The reply of a command; errors are text that begins with ERR or WRONGTYPE."""
-        self.idx = idx
-        action = _ACTIONS.get(argv[0].upper())
+        self.idx, self.now = idx, now
+        name = argv[0].upper() if argv else ""
+        action = _ACTIONS.get(name)
         if action is None:
             return "ERR unknown command"
+        try:
+            _SHAPES[name].bind(self, *argv[1:])
+        except TypeError:
+            return "ERR wrong number of arguments"
         try:
             return action(self, *argv[1:])
         except WrongType:
             return "WRONGTYPE Operation against a key holding the wrong kind of value"
         except Failure as e:
             return str(e)
-        except (TypeError, IndexError):
-            return "ERR wrong number of arguments"
+        except (IndexError, ValueError, OverflowError):
+            return "ERR syntax error"
 
     def rows(self) -> list[tuple[str, str, str | None, str | None]]:
         """(key, type, field or position, value) of everything, in byte order of keys."""
@@ -127,14 +152,34 @@ def _get(s: Store, key):
     return s.of(key, "string") if key in s.data else None
 
 
+#: What a time option counts, in milliseconds, and whether it counts from now.
+TIMES = {"EX": (1000, True), "PX": (1, True), "EXAT": (1000, False), "PXAT": (1, False)}
+
+
+def when(s: Store, option: str, text: str) -> int:
+    unit, from_now = TIMES[option]
+    return number(text) * unit + (s.now if from_now else 0)
+
+
 @command("SET")
 def _set(s: Store, key, value, *options):
-    flags = {o.upper() for o in options}
+    flags, due, left = set(), None, list(options)
+    while left:
+        word = left.pop(0).upper()
+        syntax(word in ("NX", "XX", "GET", "KEEPTTL") or (word in TIMES and bool(left) and due is None))
+        if word in TIMES:
+            due = when(s, word, left.pop(0))
+        flags.add(word)
+    syntax(not {"NX", "XX"} <= flags and not ("KEEPTTL" in flags and due is not None))
+    old = _get(s, key) if "GET" in flags else None
     if ("NX" in flags and key in s.data) or ("XX" in flags and key not in s.data):
-        return None
+        return old
+    kept = s.expire.get(key)
     s.drop(key)
     s.put(key, "string", value)
-    return "OK"
+    if due is not None or ("KEEPTTL" in flags and kept is not None):
+        s.expire[key] = due if due is not None else kept
+    return old if "GET" in flags else "OK"
 
 
 @command("SETNX")
@@ -145,11 +190,8 @@ def _setnx(s: Store, key, value):
     return 1
 
 
-@command("SETEX", "PSETEX")
-def _setex(s: Store, key, time, value):
-    _set(s, key, value)
-    s.expire[key] = number(time)
-    return "OK"
+command("SETEX")(lambda s, key, time, value: _set(s, key, value, "EX", time))
+command("PSETEX")(lambda s, key, time, value: _set(s, key, value, "PX", time))
 
 
 @command("GETSET")
@@ -166,6 +208,8 @@ def _mget(s: Store, *keys):
 
 @command("MSET")
 def _mset(s: Store, *pairs):
+    if not pairs or len(pairs) % 2:
+        raise Failure("ERR wrong number of arguments")
     for k, v in zip(pairs[::2], pairs[1::2]):
         _set(s, k, v)
     return "OK"
@@ -173,6 +217,8 @@ def _mset(s: Store, *pairs):
 
 @command("MSETNX")
 def _msetnx(s: Store, *pairs):
+    if not pairs or len(pairs) % 2:
+        raise Failure("ERR wrong number of arguments")
     if any(k in s.data for k in pairs[::2]):
         return 0
     _mset(s, *pairs)
@@ -219,7 +265,7 @@ command("DECRBY")(lambda s, k, n: _add(s, k, -number(n)))
 
 @command("INCRBYFLOAT")
 def _incrbyfloat(s: Store, key, by):
-    value = render(float(s.of(key, "string") or "0") + float(by))
+    value = render(real(s.of(key, "string") or "0") + real(by))
     s.put(key, "string", value)
     return value
 
@@ -312,22 +358,42 @@ def _keys(s: Store, pattern):
     return sorted((k for k in s.data if fits(k)), key=str.encode)
 
 
-@command("EXPIREAT", "PEXPIREAT", "EXPIRE", "PEXPIRE")
-def _expire(s: Store, key, when):
+def _expire(s: Store, key, due: int):
     if key not in s.data:
         return 0
-    s.expire[key] = number(when)
+    s.expire[key] = due
     return 1
 
 
+command("EXPIRE")(lambda s, key, time: _expire(s, key, when(s, "EX", time)))
+command("PEXPIRE")(lambda s, key, time: _expire(s, key, when(s, "PX", time)))
+command("EXPIREAT")(lambda s, key, time: _expire(s, key, when(s, "EXAT", time)))
+command("PEXPIREAT")(lambda s, key, time: _expire(s, key, when(s, "PXAT", time)))
+
+
 @command("PERSIST")
 def _persist(s: Store, key):
     return int(s.expire.pop(key, None) is not None)
 
 
-@command("TTL", "PTTL")
-def _ttl(s: Store, key, as_of="0"):
-    return -2 if key not in s.data else s.expire[key] - number(as_of) if key in s.expire else -1
+def _left(s: Store, key, now: int) -> int:
+    """Milliseconds that a key has left: -1 without expiry, -2 where it isn't there or its time has come."""
+    if key not in s.data or s.expire.get(key, now + 1) <= now:
+        return -2
+    return s.expire[key] - now if key in s.expire else -1
+
+
+@command("PTTL")
+def _pttl(s: Store, key, as_of=None):
+    """As of the entry's time, or of a time given in milliseconds."""
+    return _left(s, key, s.now if as_of is None else number(as_of))
+
+
+@command("TTL")
+def _ttl(s: Store, key, as_of=None):
+    """As of the entry's time, or of a time given in seconds."""
+    left = _left(s, key, s.now if as_of is None else number(as_of) * 1000)
+    return left if left < 0 else (left + 500) // 1000
 
 
 @command("RANDOMKEY")
@@ -340,6 +406,8 @@ def _randomkey(s: Store):
 
 @command("HSET", "HMSET")
 def _hset(s: Store, key, *pairs):
+    if not pairs or len(pairs) % 2:
+        raise Failure("ERR wrong number of arguments")
     h = s.of(key, "hash", True)
     new = len(set(pairs[::2]) - h.keys())
     h.update(zip(pairs[::2], pairs[1::2]))
@@ -364,16 +432,16 @@ def _hdel(s: Store, key, *fields):
 
 @command("HINCRBY")
 def _hincrby(s: Store, key, field, by):
-    h = s.of(key, "hash", True)
-    h[field] = str(number(h.get(field, "0")) + number(by))
-    return int(h[field])
+    value = number(s.of(key, "hash").get(field, "0")) + number(by)
+    s.of(key, "hash", True)[field] = str(value)
+    return value
 
 
 @command("HINCRBYFLOAT")
 def _hincrbyfloat(s: Store, key, field, by):
-    h = s.of(key, "hash", True)
-    h[field] = render(float(h.get(field, "0")) + float(by))
-    return h[field]
+    value = render(real(s.of(key, "hash").get(field, "0")) + real(by))
+    s.of(key, "hash", True)[field] = value
+    return value
 
 
 command("HGET")(lambda s, k, f: s.of(k, "hash").get(f))
@@ -390,6 +458,8 @@ command("HSTRLEN")(lambda s, k, f: len(s.of(k, "hash").get(f, "").encode()))
 
 
 def _push(s: Store, key, values, left: bool, create: bool = True):
+    if not values:
+        raise Failure("ERR wrong number of arguments")
     if not create and key not in s.data:
         return 0
     items = s.of(key, "list", True)
@@ -413,10 +483,28 @@ def _pop(s: Store, key, left: bool):
     return value
 
 
-command("LPOP")(lambda s, k: _pop(s, k, True))
-command("RPOP")(lambda s, k: _pop(s, k, False))
-command("BLPOP")(lambda s, k, *_: _pop(s, k, True))
-command("BRPOP")(lambda s, k, *_: _pop(s, k, False))
+def _pops(s: Store, key, count: str | None, pop: Callable, size: int):
+    """One value, or with a count a list of as many as there are; none without the key."""
+    if count is None:
+        return pop()
+    n = number(count)
+    if n < 0:
+        raise Failure("ERR value is out of range, must be positive")
+    return [pop() for _ in range(min(n, size))] if size else None
+
+
+command("LPOP")(lambda s, k, n=None: _pops(s, k, n, lambda: _pop(s, k, True), len(s.of(k, "list"))))
+command("RPOP")(lambda s, k, n=None: _pops(s, k, n, lambda: _pop(s, k, False), len(s.of(k, "list"))))
+
+
+def _bpop(s: Store, keys, left: bool):
+    """The first of several lists that isn't empty gives one value; the last argument is the timeout. Nothing waits here: none is the reply at once."""
+    key = next((k for k in keys[:-1] if s.of(k, "list")), None)
+    return None if key is None else [key, _pop(s, key, left)]
+
+
+command("BLPOP")(lambda s, *keys: _bpop(s, keys, True))
+command("BRPOP")(lambda s, *keys: _bpop(s, keys, False))
 
 
 @command("LMOVE", "BLMOVE")
@@ -514,17 +602,29 @@ def _smove(s: Store, key, target, member):
     return 1
 
 
+def _pick(s: Store, key, n: int) -> list[str]:
+    """n distinct members, chosen by the entry's index."""
+    members = sorted(s.of(key, "set"))
+    return random.Random(s.idx).sample(members, min(n, len(members)))
+
+
 @command("SPOP")
-def _spop(s: Store, key):
-    m = s.of(key, "set")
-    if not m:
-        return None
-    value = random.Random(s.idx).choice(sorted(m))
-    _srem(s, key, value)
-    return value
+def _spop(s: Store, key, count=None):
+    found = _pick(s, key, 1 if count is None else number(count))
+    if found:
+        _srem(s, key, *found)
+    return found if count is not None else found[0] if found else None
+
+
+@command("SRANDMEMBER")
+def _srandmember(s: Store, key, count=None):
+    """With a count below 0 members may repeat."""
+    n = 1 if count is None else number(count)
+    members = sorted(s.of(key, "set"))
+    found = _pick(s, key, n) if n >= 0 else random.Random(s.idx).choices(members, k=-n if members else 0)
+    return found if count is not None else found[0] if found else None
 
 
-command("SRANDMEMBER")(lambda s, k: random.Random(s.idx).choice(sorted(s.of(k, "set"))) if s.of(k, "set") else None)
 command("SCARD")(lambda s, k: len(s.of(k, "set")))
 command("SISMEMBER")(lambda s, k, m: int(m in s.of(k, "set")))
 command("SMEMBERS")(lambda s, k: sorted(s.of(k, "set")))
@@ -555,18 +655,31 @@ def _ordered(s: Store, key, reverse: bool = False) -> list[tuple[str, float]]:
 
 
 @command("ZADD")
-def _zadd(s: Store, key, *pairs):
-    z = s.of(key, "zset", True)
-    n = len(set(pairs[1::2]) - z.keys())
-    z.update((m, float(v)) for v, m in zip(pairs[::2], pairs[1::2]))
-    return n
+def _zadd(s: Store, key, *rest):
+    """Options NX XX GT LT CH INCR stand before the pairs; with INCR the reply is the new score, or none."""
+    left, flags = list(rest), set()
+    while left and left[0].upper() in ("NX", "XX", "GT", "LT", "CH", "INCR"):
+        flags.add(left.pop(0).upper())
+    syntax(bool(left) and len(left) % 2 == 0 and not ("INCR" in flags and len(left) != 2))
+    syntax(not ("NX" in flags and flags & {"XX", "GT", "LT"}) and not {"GT", "LT"} <= flags)
+    pairs = [(m, real(v)) for v, m in zip(left[::2], left[1::2])]
+    z, new, changed, reply = s.of(key, "zset", True), 0, 0, None
+    for m, v in pairs:
+        old = z.get(m)
+        v = v + (old or 0.0) if "INCR" in flags else v
+        if (old is None and "XX" in flags) or (old is not None and ("NX" in flags or ("GT" in flags and v <= old) or ("LT" in flags and v >= old))):
+            continue
+        new, changed = new + (old is None), changed + (old != v)
+        z[m], reply = v, render(v)
+    s.tidy(key)
+    return reply if "INCR" in flags else changed if "CH" in flags else new
 
 
 @command("ZINCRBY")
 def _zincrby(s: Store, key, by, member):
-    z = s.of(key, "zset", True)
-    z[member] = z.get(member, 0.0) + float(by)
-    return render(z[member])
+    value = s.of(key, "zset").get(member, 0.0) + real(by)
+    s.of(key, "zset", True)[member] = value
+    return render(value)
 
 
 @command("ZREM")
@@ -577,15 +690,25 @@ def _zrem(s: Store, key, *members):
     return n
 
 
-def _zpop(s: Store, key, reverse: bool):
-    found = _ordered(s, key, reverse)[:1]
+def _zpop(s: Store, key, reverse: bool, n: int = 1):
+    found = _ordered(s, key, reverse)[:n]
     for m, _ in found:
         _zrem(s, key, m)
     return [x for m, v in found for x in (m, render(v))]
 
 
-command("ZPOPMIN", "BZPOPMIN")(lambda s, k, *_: _zpop(s, k, False))
-command("ZPOPMAX", "BZPOPMAX")(lambda s, k, *_: _zpop(s, k, True))
+command("ZPOPMIN")(lambda s, k, n="1": _zpop(s, k, False, number(n)))
+command("ZPOPMAX")(lambda s, k, n="1": _zpop(s, k, True, number(n)))
+
+
+def _bzpop(s: Store, keys, reverse: bool):
+    """The first of several sorted sets that isn't empty gives one member; the last argument is the timeout."""
+    key = next((k for k in keys[:-1] if s.of(k, "zset")), None)
+    return None if key is None else [key, *_zpop(s, key, reverse)]
+
+
+command("BZPOPMIN")(lambda s, *keys: _bzpop(s, keys, False))
+command("BZPOPMAX")(lambda s, *keys: _bzpop(s, keys, True))
 command("ZCARD")(lambda s, k: len(s.of(k, "zset")))
 command("ZSCORE")(lambda s, k, m: render(s.of(k, "zset")[m]) if m in s.of(k, "zset") else None)
 
@@ -601,7 +724,7 @@ def _zrank(s: Store, key, member, reverse: bool):
 
 
 def _between(text: str, value: float, low: bool) -> bool:
-    edge = float(text.lstrip("("))
+    edge = real(text.lstrip("("))
     return (value > edge if low else value < edge) if text.startswith("(") else (value >= edge if low else value <= edge)
 
 
@@ -630,18 +753,33 @@ command("ZREMRANGEBYLEX")(lambda s, k, a, b: _zrem(s, k, *_by_lex(s, k, a, b)))
 command("ZREMRANGEBYRANK")(lambda s, k, a, b: _zrem(s, k, *_zrange(s, k, a, b, False)))
 
 
-def _zstore(s: Store, target, keys, inter: bool):
-    sources = [s.of(k, "zset") for k in keys]
+def _zstore(s: Store, target, count, rest, inter: bool):
+    """Sources, then WEIGHTS and AGGREGATE SUM, MIN or MAX; a set counts 1 a member."""
+    n = number(count)
+    keys, left = rest[:n], list(rest[n:])
+    weights, act = [1.0] * n, sum
+    while left:
+        word = left.pop(0).upper()
+        if word == "WEIGHTS":
+            weights, left = [real(x) for x in left[:n]], left[n:]
+            syntax(len(weights) == n)
+        else:
+            syntax(word == "AGGREGATE" and bool(left) and left[0].upper() in ("SUM", "MIN", "MAX"))
+            act = {"SUM": sum, "MIN": min, "MAX": max}[left.pop(0).upper()]
+    sources = [dict.fromkeys(s.data[k][1], 1.0) if s.data.get(k, ("", 0))[0] == "set" else s.of(k, "zset") for k in keys]
+    syntax(0 < n == len(sources))
     names = set.intersection(*map(set, sources)) if inter else set().union(*sources)
-    out = {m: sum(z.get(m, 0.0) for z in sources) for m in names}
+    out = {m: float(act([z[m] * w for z, w in zip(sources, weights) if m in z])) for m in names}
     s.drop(target)
     if out:
         s.put(target, "zset", out)
     return len(out)
 
 
-command("ZUNIONSTORE")(lambda s, t, n, *ks: _zstore(s, t, ks[: number(n)], False))
-command("ZINTERSTORE")(lambda s, t, n, *ks: _zstore(s, t, ks[: number(n)], True))
+command("ZUNIONSTORE")(lambda s, t, n, *rest: _zstore(s, t, n, rest, False))
+command("ZINTERSTORE")(lambda s, t, n, *rest: _zstore(s, t, n, rest, True))
+
+
 # pops from the first of several keys that isn't empty
 
 
@@ -649,16 +787,29 @@ def _first(s: Store, count, rest, kind: str) -> str | None:
     return next((k for k in rest[: number(count)] if s.of(k, kind)), None)
 
 
-@command("BLMPOP", "LMPOP")
-def _blmpop(s: Store, _timeout, count, *rest):
+def _many(count, rest, side: str) -> tuple[bool, int]:
+    """Whether the side is the one named, and the number after COUNT."""
+    words = [x.upper() for x in rest[number(count) :]]
+    syntax(bool(words) and len(words) in (1, 3) and (len(words) == 1 or words[1] == "COUNT"))
+    return words[0] == side, number(words[2]) if len(words) == 3 else 1
+
+
+def _lmpop(s: Store, count, rest):
     key = _first(s, count, rest, "list")
-    return None if key is None else [key, _pop(s, key, rest[number(count)].upper() == "LEFT")]
+    left, n = _many(count, rest, "LEFT")
+    return None if key is None else [key, *[_pop(s, key, left) for _ in range(min(n, len(s.of(key, "list"))))]]
 
 
-@command("BZMPOP", "ZMPOP")
-def _bzmpop(s: Store, _timeout, count, *rest):
+def _zmpop(s: Store, count, rest):
     key = _first(s, count, rest, "zset")
-    return None if key is None else [key, *_zpop(s, key, rest[number(count)].upper() == "MAX")]
+    largest, n = _many(count, rest, "MAX")
+    return None if key is None else [key, *_zpop(s, key, largest, n)]
+
+
+command("LMPOP")(lambda s, n, *rest: _lmpop(s, n, rest))
+command("BLMPOP")(lambda s, _timeout, n, *rest: _lmpop(s, n, rest))
+command("ZMPOP")(lambda s, n, *rest: _zmpop(s, n, rest))
+command("BZMPOP")(lambda s, _timeout, n, *rest: _zmpop(s, n, rest))
 
 
 # places on the globe
@@ -671,15 +822,17 @@ def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
 
 @command("GEOADD")
 def _geoadd(s: Store, key, *triples):
+    syntax(bool(triples) and len(triples) % 3 == 0)
+    places = {m: (real(x), real(y)) for x, y, m in zip(triples[::3], triples[1::3], triples[2::3])}
     g = s.of(key, "geo", True)
-    new = len(set(triples[2::3]) - g.keys())
-    g.update((m, (float(x), float(y))) for x, y, m in zip(triples[::3], triples[1::3], triples[2::3]))
+    new = len(places.keys() - g.keys())
+    g.update(places)
     return new
 
 
 def _near(s: Store, key, centre, radius) -> list[str]:
     found = sorted((metres(centre, p), m) for m, p in s.of(key, "geo").items())
-    return [m for d, m in found if d <= float(radius)]
+    return [m for d, m in found if d <= real(radius)]
 
 
 @command("GEODIST")
@@ -715,7 +868,7 @@ def geohash(lon: float, lat: float, length: int = 11) -> str:
 
 
 command("GEOPOS")(lambda s, k, *ms: [f"{s.of(k, 'geo')[m][0]!r},{s.of(k, 'geo')[m][1]!r}" if m in s.of(k, "geo") else None for m in ms])
-command("GEORADIUS")(lambda s, k, x, y, r: _near(s, k, (float(x), float(y)), r))
+command("GEORADIUS")(lambda s, k, x, y, r: _near(s, k, (real(x), real(y)), r))
 
 
 # distinct counts, exact
@@ -741,20 +894,50 @@ command("PFCOUNT")(lambda s, *ks: len(set().union(*(s.of(k, "distinct") for k in
 # sorting and cursors
 
 
+def _named(s: Store, pattern: str, item: str) -> str | None:
+    """What a BY or GET pattern names for an item: a string, or with -> a field of a hash; # is the item."""
+    if pattern == "#":
+        return item
+    key, _, field = pattern.partition("->")
+    key = key.replace("*", item, 1)
+    kind, value = s.data.get(key, ("", None))
+    return value.get(field) if field and kind == "hash" else value if not field and kind == "string" else None
+
+
 @command("SORT")
 def _sort(s: Store, key, *options):
-    words = [o.upper() for o in options]
+    left, by, gets, desc, alpha, first, n, target = list(options), None, [], False, False, 0, -1, None
+    while left:
+        word = left.pop(0).upper()
+        syntax(word in ("ASC", "DESC", "ALPHA") or len(left) >= (2 if word == "LIMIT" else 1))
+        if word == "LIMIT":
+            first, n = number(left.pop(0)), number(left.pop(0))
+        elif word == "BY":
+            by = left.pop(0)
+        elif word == "GET":
+            gets.append(left.pop(0))
+        elif word == "STORE":
+            target = left.pop(0)
+        else:
+            syntax(word in ("ASC", "DESC", "ALPHA"))
+            desc, alpha = (word == "DESC") if word != "ALPHA" else desc, alpha or word == "ALPHA"
     kind = s.data[key][0] if key in s.data else "list"
     items = list(s.of(key, kind)) if kind in ("list", "set", "zset") else s.of(key, "list")
-    try:
-        items.sort(key=str.encode if "ALPHA" in words else float, reverse="DESC" in words)
-    except ValueError:
-        raise Failure("ERR One or more scores can't be converted into double") from None
-    if "LIMIT" in words:
-        at = words.index("LIMIT")
-        first, n = number(options[at + 1]), number(options[at + 2])
-        items = items[first : first + n] if n >= 0 else items[first:]
-    return items
+    if by is None or "*" in by:
+        weight = {x: x if by is None else _named(s, by, x) for x in items}
+        try:
+            rank = (lambda x: (weight[x] or "").encode()) if alpha else (lambda x: float(weight[x] or 0))
+            items = sorted(items, key=lambda x: (rank(x), x.encode()), reverse=desc)
+        except ValueError:
+            raise Failure("ERR One or more scores can't be converted into double") from None
+    items = items[max(first, 0) : max(first, 0) + n] if n >= 0 else items[max(first, 0) :]
+    out = [_named(s, g, x) for x in items for g in gets] if gets else items
+    if target is None:
+        return out
+    s.drop(target)
+    if out:
+        s.put(target, "list", [x or "" for x in out])
+    return len(out)
 
 
 def _scan(names, cursor: str, options) -> list[str]:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.functions.slots import glob_column
+from keytide.functions.slots import glob_column, glob_to_regex
 from keytide.operators.commands import DONT_INTERCEPT, UNSUPPORTED, flags_of
+from keytide.operators.logops import running_sum
 
 
 def transactions(log: DataFrame, client: str = "client", order: str = "arrival") -> DataFrame:
@@ -110,7 +111,7 @@ def settle_timeouts(waits: DataFrame, events: DataFrame, served: DataFrame) -> D
     return rows.select("idx", F.when(first, F.col("value").cast("string")).when(F.col("at").isNull(), "WAITING").when(F.col("error"), "UNBLOCKED").otherwise("NIL").alias("reply"))
 
 
-def pattern_matches(channels: DataFrame, patterns: DataFrame, limit: int = 1 << 14) -> DataFrame:
+def pattern_matches(channels: DataFrame, patterns: DataFrame) -> DataFrame:
     """channels (channel) with each pattern (pattern) that fits.
 
     Patterns without wild cards meet by equality. The others are grouped by their literal head, up to eight letters,
@@ -122,9 +123,82 @@ def pattern_matches(channels: DataFrame, patterns: DataFrame, limit: int = 1 <<
     return c.join(p, ["n", "h"]).where(F.rlike("channel", F.col("re"))).select("channel", "pattern")
 
 
-def subscriptions(events: DataFrame) -> DataFrame:
-    """(channel, n): subscribers of each channel after all (idx, client, event, channel); role changes (DROP) end all of them."""
+def subscribers(events: DataFrame, kind: str = "SUBSCRIBE") -> DataFrame:
+    """(client, channel) after all (idx, client, event, channel): kind is SUBSCRIBE, PSUBSCRIBE (channel is a pattern) or SSUBSCRIBE.
+
+    Role changes (DROP) end all of them.
+    """
+    ends = {"SUBSCRIBE": "UNSUBSCRIBE", "PSUBSCRIBE": "PUNSUBSCRIBE", "SSUBSCRIBE": "SUNSUBSCRIBE"}[kind]
     dropped = events.where("event = 'DROP'").agg(F.max("idx").alias("d"))
-    live = events.where(F.col("event").isin("SUBSCRIBE", "UNSUBSCRIBE")).crossJoin(F.broadcast(dropped)).where("d is null or idx > d")
+    live = events.where(F.col("event").isin(kind, ends)).crossJoin(F.broadcast(dropped)).where("d is null or idx > d")
     last = live.groupBy("client", "channel").agg(F.max_by("event", "idx").alias("e"))
-    return last.where("e = 'SUBSCRIBE'").groupBy("channel").agg(F.count("*").alias("n"))
+    return last.where(F.col("e") == kind).select("client", "channel")
+
+
+def subscriptions(events: DataFrame, kind: str = "SUBSCRIBE") -> DataFrame:
+    """(channel, n): subscribers of each channel after all events, as NUMSUB and SHARDNUMSUB answer."""
+    return subscribers(events, kind).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+def numpat(events: DataFrame) -> DataFrame:
+    """(n): distinct patterns that someone is subscribed to."""
+    return subscribers(events, "PSUBSCRIBE").agg(F.count_distinct("channel").alias("n"))
+
+
+def channels(events: DataFrame, pattern: str, kind: str = "SUBSCRIBE") -> DataFrame:
+    """(channel) with a subscriber that fits a glob, as CHANNELS and SHARDCHANNELS answer."""
+    return subscribers(events, kind).select("channel").distinct().where(F.col("channel").rlike(glob_to_regex(pattern)))
+
+
+def publish(messages: DataFrame, events: DataFrame, shard: bool = False) -> DataFrame:
+    """messages (channel, ...) with `receivers`: subscribers of the channel and, for each of its patterns, of that pattern; a shard message has no patterns."""
+    if shard:
+        counts = subscriptions(events, "SSUBSCRIBE").select("channel", F.col("n").alias("receivers"))
+    else:
+        exact = subscriptions(events).select("channel", F.col("n"))
+        by_pattern = subscriptions(events, "PSUBSCRIBE").select(F.col("channel").alias("pattern"), "n")
+        fits = pattern_matches(messages.select("channel").distinct(), by_pattern.select("pattern"))
+        counts = exact.unionByName(fits.join(by_pattern, "pattern").select("channel", "n")).groupBy("channel").agg(F.sum("n").alias("receivers"))
+    return messages.join(counts, "channel", "left").select(*messages.columns, F.coalesce("receivers", F.lit(0)).cast("long").alias("receivers"))
+
+
+def subscription_counts(events: DataFrame) -> DataFrame:
+    """events (idx, client, event, channel) of SUBSCRIBE and UNSUBSCRIBE with `count`: how many channels the client has after each, as its replies say."""
+    by = W.partitionBy("client", "channel").orderBy("idx")
+    change = F.when(F.col("event") == F.coalesce(F.lag("event").over(by), F.lit("UNSUBSCRIBE")), 0).when(F.col("event") == "SUBSCRIBE", 1).otherwise(-1)
+    return running_sum(events.withColumn("__d", change), F.col("__d"), "count", keys=("client",)).drop("__d")
+
+
+def open_sessions(intervals: DataFrame, at: int) -> DataFrame:
+    """(n): distinct clients with a session (client, opened, closed) that is open after an entry."""
+    return intervals.where((F.col("opened") <= at) & (F.col("closed").isNull() | (F.col("closed") > at))).agg(F.count_distinct("client").alias("n"))
+
+
+def unwatched(log: DataFrame) -> DataFrame:
+    """(client, watches): keys that each client still watches at the end; UNWATCH, EXEC and DISCARD forget them all."""
+    rows = log.where(F.col("cmd").isin("WATCH", "UNWATCH", "EXEC", "DISCARD"))
+    last = rows.groupBy("client").agg(F.max(F.when(F.col("cmd") != "WATCH", F.col("idx"))).alias("__l"))
+    left = rows.where("cmd = 'WATCH'").join(last, "client").where("__l is null or idx > __l")
+    return left.groupBy("client").agg(F.count_distinct("key").alias("watches"))
+
+
+def serve_sorted(waits: DataFrame, members: DataFrame, largest: bool = False) -> DataFrame:
+    """(key, waiter, member, score): clients that wait (key, idx) for a sorted set that comes at once (key, member, score) get its members from one end.
+
+    The k-th waiter of a key gets the k-th smallest or largest member, ties by the member's bytes; others wait on.
+    """
+    order = [F.desc("score"), F.desc("member")] if largest else ["score", "member"]
+    a = waits.select("key", F.col("idx").alias("waiter"), F.row_number().over(W.partitionBy("key").orderBy("idx")).alias("__r"))
+    b = members.select("key", "member", "score", F.row_number().over(W.partitionBy("key").orderBy(*order)).alias("__r"))
+    return a.join(b, ["key", "__r"], "left").select("key", "waiter", "member", "score")
+
+
+def cancel(waits: DataFrame, terms: DataFrame, served: DataFrame) -> DataFrame:
+    """waits (idx) with `reply`: CANCELLED where a new term (terms: idx) begins before the waiter is served (served: waiter, served_by, value)."""
+    from keytide.operators.topology import as_of
+
+    later = as_of(waits.select((-F.col("idx")).alias("idx")), terms.select((-F.col("idx")).alias("idx"), F.col("idx").alias("config")))
+    next_term = later.select((-F.col("idx")).alias("idx"), F.col("config").alias("__t"))
+    rows = waits.select("idx").join(next_term, "idx").join(served.select(F.col("waiter").alias("idx"), "served_by", "value"), "idx", "left")
+    ended = F.col("__t").isNotNull() & (F.col("served_by").isNull() | (F.col("served_by") > F.col("__t")))
+    return rows.select("idx", F.when(ended, "CANCELLED").when(F.col("served_by").isNull(), "WAITING").otherwise(F.col("value").cast("string")).alias("reply"))

@@ -88,3 +88,40 @@ def sorted_reply(values: Column) -> Column:
 def sorted_map_reply(reply: Column) -> Column:
     """A map reply as pairs in byte order of their keys."""
     return F.array_sort(F.map_entries(reply))
+
+
+def checked_sort(cmd: Column, reply: Column) -> Column:
+    """Struct (reply, error): an array reply of a command whose replies are sorted, in byte order; an error for other commands."""
+    may = flags_of(cmd).bitwiseAND(F.lit(SORT_REPLY)) > 0
+    return F.struct(F.when(may, sorted_reply(reply)).alias("reply"), F.when(~may, "ERR reply isn't sorted").alias("error"))
+
+
+def moved_array(into: Column, taken: Column) -> Column:
+    """A command array (asking, cmd_flags, acl, commands) with the commands of another at its end: flags and asking are or-ed, the access list is the other's."""
+    return F.struct(
+        (into["asking"] | taken["asking"]).alias("asking"), into["cmd_flags"].bitwiseOR(taken["cmd_flags"]).alias("cmd_flags"), taken["acl"].alias("acl"), F.concat(into["commands"], taken["commands"]).alias("commands"),
+    )
+
+
+def resp(reply: Column, kind) -> Column:
+    """A nested reply as protocol text: * arrays, : integers, $ strings, $-1 for none; kind is the column's type."""
+    from pyspark.sql import types as T
+
+    end = F.lit("\r\n")
+    if isinstance(kind, T.ArrayType):
+        items = F.array_join(F.transform(reply, lambda x: resp(x, kind.elementType)), "")
+        out = F.concat(F.lit("*"), F.size(reply).cast("string"), end, items)
+    elif isinstance(kind, T.StructType):
+        out = F.concat(F.lit(f"*{len(kind.fields)}\r\n"), *[resp(reply[f.name], f.dataType) for f in kind.fields])
+    elif isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
+        out = F.concat(F.lit(":"), reply.cast("string"), end)
+    else:
+        text = reply.cast("string")
+        out = F.concat(F.lit("$"), F.octet_length(text).cast("string"), end, text, end)
+    return F.coalesce(out, F.lit("$-1\r\n"))
+
+
+def reloaded(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """A catalogue (cmd, flags) after modules came and went: changes (idx, cmd, flags; null flags: removed); the last change of a command counts."""
+    last = changes.groupBy(F.lower("cmd").alias("cmd")).agg(F.max_by(F.struct("flags"), "idx").alias("c"))
+    return base.join(last, "cmd", "left_anti").select("cmd", "flags").unionByName(last.where("c.flags is not null").select("cmd", "c.flags"))

@@ -29,12 +29,12 @@ def _run(kind: str):
 
         for part in parts:
             replies = []
-            for g, idx, argv in zip(part["group"], part["idx"], part["argv"]):
+            for g, idx, argv, now in zip(part["group"], part["idx"], part["argv"], part["now"]):
                 if g != group:
                     if kind == "state" and group is not None:
                         yield state()
                     group, store = g, Store()
-                reply = store.apply(int(idx), [str(x) for x in argv])
+                reply = store.apply(int(idx), [str(x) for x in argv], int(now))
                 if kind == "replies":
                     replies.append((g, idx, text_of(reply)))
             if kind == "replies":
@@ -46,11 +46,12 @@ def _run(kind: str):
 
 
 def _dealt(log: DataFrame, group: str) -> DataFrame:
-    return log.select(F.col(group).cast("string").alias("group"), "idx", "argv").repartition("group").sortWithinPartitions("group", "idx")
+    now = F.col("now") if "now" in log.columns else F.lit(0).cast("long")
+    return log.select(F.col(group).cast("string").alias("group"), "idx", "argv", now.alias("now")).repartition("group").sortWithinPartitions("group", "idx")
 
 
 def fold(log: DataFrame, group: str = "slot") -> DataFrame:
-    """(group, key, type, field, value): the state after all commands (group, idx, argv array<string>)."""
+    """(group, key, type, field, value): the state after all commands (group, idx, argv array<string>, and now, milliseconds, for expiry)."""
     return _dealt(log, group).mapInPandas(_run("state"), "group string, key string, type string, field string, value string")
 
 
