@@ -51,13 +51,13 @@ def append_concat(spark: SparkSession, sf: str) -> DataFrame:
     return Keyspace.from_log(log(spark, sf, _APPEND)).strings()
 
 
-@R.add(f"WITH {LOG} SELECT idx, key, value, lag(value) OVER (PARTITION BY key ORDER BY idx) AS previous FROM log WHERE cmd = 'SET'")
+@R.add(f"""WITH {LOG}, h AS (SELECT idx, key, cmd, value, lag(CASE WHEN cmd = 'SET' THEN value END) OVER (PARTITION BY key ORDER BY idx) AS previous FROM log WHERE cmd IN ('SET', 'DEL')) SELECT idx, key, value, previous FROM h WHERE cmd = 'SET'""")
 def getset_history(spark: SparkSession, sf: str) -> DataFrame:
     return keyspace.history(log(spark, sf))
 
 
-@R.add(f"""WITH {LOG}, e AS (SELECT *, sum(CASE WHEN cmd = 'DEL' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY idx) AS ep FROM log WHERE cmd IN ('INCRBY', 'DEL'))
-SELECT idx, key, CAST(sum(num) OVER (PARTITION BY key, ep ORDER BY idx) AS BIGINT) AS reply FROM e WHERE cmd = 'INCRBY'""")
+@R.add(f"""WITH {LOG}, e AS (SELECT *, sum(CASE WHEN cmd IN ('SET', 'DEL') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY idx) AS ep FROM log WHERE cmd IN ('SET', 'INCRBY', 'DEL'))
+SELECT idx, key, reply FROM (SELECT idx, key, cmd, CAST(sum(CASE WHEN cmd = 'DEL' THEN 0 ELSE num END) OVER (PARTITION BY key, ep ORDER BY idx) AS BIGINT) AS reply FROM e) WHERE cmd = 'INCRBY'""")
 def incr_running_reply(spark: SparkSession, sf: str) -> DataFrame:
     return keyspace.running_counter(log(spark, sf))
 
@@ -186,11 +186,12 @@ def srem_scard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _two_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "events").select(F.col("user_id").alias("member"), "event_type", "value")
-    return e.where("event_type = 'view' AND value > 50").select("member"), e.where("event_type = 'purchase' AND value > 50").select("member")
+    """Users and the last digit of their events: views are one set, purchases another."""
+    e = table(spark, sf, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("member"), "event_type")
+    return e.where("event_type = 'view'").select("member"), e.where("event_type = 'purchase'").select("member")
 
 
-_A, _B = "SELECT user_id AS member FROM events WHERE event_type = 'view' AND value > 50", "SELECT user_id AS member FROM events WHERE event_type = 'purchase' AND value > 50"
+_A, _B = "SELECT user_id * 10 + event_id % 10 AS member FROM events WHERE event_type = 'view'", "SELECT user_id * 10 + event_id % 10 AS member FROM events WHERE event_type = 'purchase'"
 
 
 @R.add(f"{_A} UNION {_B}")
@@ -332,7 +333,13 @@ def georadius(spark: SparkSession, sf: str) -> DataFrame:
     return p.where(F.col("lat").between(40 - 18.1, 40 + 18.1)).where(bits.haversine_m(F.lit(10.0), F.lit(40.0), F.col("lon"), F.col("lat")) <= 2000000).select("k")
 
 
-@R.add()
+#: Bits of longitude and latitude by turns, five a letter.
+_GEOHASH_SQL = """WITH p AS (SELECT c_custkey AS k, CAST(floor((c_custkey % 360) / 360.0 * power(2, 28)) AS BIGINT) AS x, CAST(floor((c_custkey % 170 - 85.0 + 90) / 180.0 * power(2, 27)) AS BIGINT) AS y FROM customer),
+b AS (SELECT k, i, sum(((CASE WHEN (i * 5 + j) % 2 = 0 THEN x >> (27 - (i * 5 + j) // 2) ELSE y >> (26 - (i * 5 + j) // 2) END) & 1) << (4 - j)) AS v FROM p, range(0, 11) r(i), range(0, 5) q(j) GROUP BY k, i)
+SELECT k, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(v AS INT) + 1, 1), '' ORDER BY i) AS hash FROM b GROUP BY k"""
+
+
+@R.add(_GEOHASH_SQL)
 def geohash(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(k.alias("k"), bits.geohash(k % 360 - 180.0, k % 170 - 85.0).alias("hash"))
@@ -363,17 +370,15 @@ def type_of_key(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-_EXP = _map(signup="EXPIREAT", click="EXPIREAT", view="PERSIST", error="DEL")
+_EXP = _map(signup="SET", click="EXPIREAT", view="PERSIST", error="DEL")
 
 
-@R.add(f"""WITH {log_sql(_EXP)}, {_AFTER}, w AS (SELECT key, arg_max(cmd, idx) AS c, arg_max(num, idx) AS due FROM live WHERE cmd IN ('EXPIREAT', 'PERSIST') GROUP BY key), k AS (SELECT DISTINCT key FROM log)
-SELECT k.key, CASE WHEN c = 'EXPIREAT' AND due > 5000 THEN due - 5000 WHEN c = 'EXPIREAT' THEN -2 ELSE -1 END AS ttl FROM k LEFT JOIN w USING (key)""")
+@R.add(f"""WITH {log_sql(_EXP)}, {_AFTER}, f AS (SELECT key, min(idx) AS since FROM live WHERE cmd = 'SET' GROUP BY key),
+w AS (SELECT l.key, arg_max(l.cmd, l.idx) AS c, arg_max(num, l.idx) AS due FROM live l JOIN f ON f.key = l.key AND l.idx >= since WHERE l.cmd IN ('SET', 'EXPIREAT', 'PERSIST') GROUP BY l.key)
+SELECT k.key, CASE WHEN c IS NULL THEN -2 WHEN c <> 'EXPIREAT' THEN -1 WHEN due > 5000 THEN due - 5000 ELSE -2 END AS ttl FROM (SELECT DISTINCT key FROM log) k LEFT JOIN w USING (key)""")
 def ttl_as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Time left at 5000: -1 for keys that don't expire, -2 for those that have."""
-    entries = log(spark, sf, _EXP)
-    at = entries.select("key").distinct().join(Keyspace.from_log(entries).expiries(), "key", "left")
-    ttl = F.when(F.col("expire_at").isNull(), -1).when(F.col("expire_at") > 5000, F.col("expire_at") - 5000).otherwise(-2)
-    return at.select("key", ttl.cast("long").alias("ttl"))
+    """Time left at 5000: -1 for keys that don't expire, -2 for those that have or aren't there."""
+    return Keyspace.from_log(log(spark, sf, _EXP)).ttl(5000)
 
 
 @R.add("SELECT o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS member, o_totalprice AS weight FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
@@ -385,17 +390,17 @@ def sort_limit(spark: SparkSession, sf: str) -> DataFrame:
     return o.withColumn("r", F.row_number().over(w)).where("r <= 2").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("member"), F.col("o_totalprice").alias("weight"))
 
 
-@R.add("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 4 ORDER BY n_nationkey LIMIT 10")
+@R.add("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey > 400 ORDER BY o_orderkey LIMIT 1000")
 def scan_page(spark: SparkSession, sf: str) -> DataFrame:
-    """A page of a keyset scan: the limit is the feature."""
-    return table(spark, sf, "nation").where("n_nationkey > 4").orderBy("n_nationkey").limit(10).select("n_nationkey", "n_name")
+    """A page of a scan of all orders after a cursor: the limit, 1000 keys by default, is the feature."""
+    return table(spark, sf, "orders").where("o_orderkey > 400").orderBy("o_orderkey").limit(1000).select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))
 
 
-@R.add()
+@R.add(f"WITH {ZSET_SQL} SELECT key, arg_min(member, row(md5('42:' || key || ':' || member), member)) AS member FROM z GROUP BY key")
 def random_member(spark: SparkSession, sf: str) -> DataFrame:
-    """One member a key, chosen by a seeded hash, so that replays agree."""
+    """One member a key, chosen by a seeded hash, so that replays agree; an aggregate, so a hot key's members don't meet."""
     z = orders_zset(spark, sf)
-    return z.groupBy("key").agg(F.min_by("member", F.xxhash64(F.lit(42), "key", "member")).alias("member"))
+    return z.groupBy("key").agg(F.min_by("member", F.struct(F.md5(F.concat_ws(":", F.lit("42"), "key", "member")), "member")).alias("member"))
 
 
 @R.add(f"""WITH {LOG}, ordered AS (SELECT *, sum(CASE WHEN cmd = 'DEL' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY idx) AS ep FROM log WHERE cmd IN ('SET', 'INCRBY', 'DEL')),
