@@ -101,14 +101,17 @@ def pipeline_steps(events: DataFrame) -> DataFrame:
     """events (idx, key, step) with `state` after each: a key goes through LOCK, DUMP, IMPORT, DELETE_UNLOCK in this order.
 
     A step that doesn't follow the step before it is refused and leaves a key as it is; LOCK begins anew. A key whose import failed
-    (step FAILED) stays locked. Keys are independent, so one window a key is enough.
+    (step FAILED) stays as it was. Keys are independent, so windows by key and run are enough.
     """
     by = W.partitionBy("key").orderBy("idx")
-    runs = events.withColumn("__run", F.count_if(F.col("step") == "LOCK").over(by))
-    own = W.partitionBy("key", "__run").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    order = F.array(*[F.lit(x) for x in STEPS])
-    # the steps of a run so far, each once, in order of first appearance; a prefix of the four is what was reached
-    seen = F.collect_list(F.when(F.col("step").isin(*STEPS), F.col("step"))).over(own)
-    reached = F.aggregate("__seen", F.lit(0), lambda n, x: F.when(F.get(order, n) == x, n + 1).otherwise(n))
-    kept = runs.withColumn("__seen", F.slice(F.array_distinct(seen), 1, len(STEPS))).withColumn("__n", F.when(F.col("__run") == 0, 0).otherwise(reached))
-    return kept.select("idx", "key", "step", F.coalesce(F.get(F.array(F.lit("FREE"), F.lit("LOCKED"), F.lit("DUMPED"), F.lit("IMPORTED"), F.lit("MOVED")), F.col("__n")), F.lit("FREE")).alias("state"))
+    rows = events.withColumn("__run", F.count_if(F.col("step") == "LOCK").over(by))
+    run = W.partitionBy("key", "__run")
+    state, before, reached = F.when(F.col("__run") == 0, "FREE"), F.lit(-1), []
+    for k, name in enumerate(STEPS[1:]):
+        # the first such step of the run that comes after the step before it
+        rows = rows.withColumn(f"__{k}", F.min(F.when((F.col("step") == name) & (F.col("idx") > before), F.col("idx"))).over(run))
+        before = F.col(f"__{k}")
+        reached.append(before)
+    for at, name in zip(reversed(reached), ("MOVED", "IMPORTED", "DUMPED")):
+        state = state.when(F.col("idx") >= at, name)
+    return rows.select("idx", "key", "step", state.otherwise("LOCKED").alias("state"))

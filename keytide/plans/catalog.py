@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.plans import clients, cluster, commands, logs, state
+from keytide.plans import clients, cluster, commands, logs, moves, reports, state
 from keytide.plans.views import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (state, commands, cluster, clients, logs):
+for _part in (state, commands, cluster, moves, clients, logs, reports):
     QUERIES |= _part.R.queries
     ORACLE_SQL |= _part.R.sql
 

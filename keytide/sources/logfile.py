@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 LOG_TAG, ENTRY_TAG, VERSION, ID_LENGTH = b"RAFTLOG", b"ENTRY", 1, 32
 HEADER_SCHEMA = "version int, dbid string, node_id int, prev_log_term long, prev_log_idx long, crc long"
-SCHEMA = "idx long, term long, entry_id int, session decimal(20,0), type int, data binary, crc long, offset long"
+SCHEMA = "idx long, term long, entry_id int, session decimal(20,0), type int, data binary, crc long, offset long, page long"
 
 
 def _table() -> list[int]:
@@ -28,12 +30,50 @@ def _table() -> list[int]:
 
 
 _CRC = _table()
+#: What a byte contributes when 1, 2, ... 7 more bytes follow it.
+_FOLD = [_CRC]
+for _ in range(7):
+    _FOLD.append([_CRC[c & 0xFF] ^ (c >> 8) for c in _FOLD[-1]])
+#: Bytes of a stripe, and the effect of one stripe of zeros on each byte of a checksum.
+_STRIPE = 256
+
+
+def _shifted(crc: int, n: int) -> int:
+    for _ in range(n):
+        crc = _CRC[crc & 0xFF] ^ (crc >> 8)
+    return crc
+
+
+_SKIP = [[_shifted(b << 8 * k, _STRIPE) for b in range(256)] for k in range(4)]
 
 
 def crc32c(data: bytes, crc: int = 0) -> int:
-    """CRC-32C, going on from crc."""
+    """CRC-32C, going on from crc.
+
+    Long data is cut into stripes; all stripes go through the table together, a column of bytes at a time, and are then joined,
+    for the checksum of two pieces is that of the first, moved on, and that of the second.
+    """
     crc ^= 0xFFFFFFFF
-    for b in data:
+    n = len(data) // _STRIPE
+    if n >= 8:
+        import numpy as np
+
+        table = np.array(_CRC, np.uint32)
+        stripes = np.frombuffer(data, np.uint8, n * _STRIPE).reshape(n, _STRIPE)
+        sums = np.zeros(n, np.uint32)
+        for column in stripes.T:
+            sums = table[(sums ^ column) & 0xFF] ^ (sums >> 8)
+        a, b, c, d = _SKIP
+        for x in sums.tolist():
+            crc = a[crc & 0xFF] ^ b[crc >> 8 & 0xFF] ^ c[crc >> 16 & 0xFF] ^ d[crc >> 24] ^ x
+        data = data[n * _STRIPE :]
+    at, end = 0, len(data) - 7
+    t0, t1, t2, t3, t4, t5, t6, t7 = _FOLD
+    while at < end:
+        x = crc ^ int.from_bytes(data[at : at + 4], "little")
+        crc = t7[x & 0xFF] ^ t6[x >> 8 & 0xFF] ^ t5[x >> 16 & 0xFF] ^ t4[x >> 24] ^ t3[data[at + 4]] ^ t2[data[at + 5]] ^ t1[data[at + 6]] ^ t0[data[at + 7]]
+        at += 8
+    for b in data[at:]:
         crc = _CRC[(crc ^ b) & 0xFF] ^ (crc >> 8)
     return crc ^ 0xFFFFFFFF
 
@@ -134,7 +174,8 @@ def read_entries(data: bytes, header: dict, at: int) -> Iterator[tuple]:
 class LogSource(DataSource):
     """spark.read.format('logpage').load(path): a page, or a folder of pages, each read by one task, for the chain of checksums goes from record to record.
 
-    Pages are read in order of their first index; a page that is empty or doesn't go on where the one before ends is left out.
+    Each page gives its own records up to the first bad one, with `page`, the index before it. recovered() gives the log:
+    pages that go on where the one before ends.
     """
 
     @classmethod
@@ -152,8 +193,8 @@ class LogSource(DataSource):
 
 
 class _Page(InputPartition):
-    def __init__(self, path: str, after: int | None) -> None:
-        self.path, self.after = path, after
+    def __init__(self, path: str) -> None:
+        self.path = path
 
 
 def _open(path: str):
@@ -184,7 +225,7 @@ class LogReader(DataSourceReader):
             with system.open_input_file(p) as f:
                 heads.append((read_header(f.read(4096))[0]["prev_log_idx"], p))
         heads.sort()
-        return [_Page(p, heads[k - 1][0] if k else None) for k, (_, p) in enumerate(heads)]
+        return [_Page(p) for _, p in heads]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         from decimal import Decimal
@@ -194,7 +235,7 @@ class LogReader(DataSourceReader):
             data = f.read()
         header, at = read_header(data)
         for row in read_entries(data, header, at):
-            yield (*row[:3], Decimal(row[3]), *row[4:])
+            yield (*row[:3], Decimal(row[3]), *row[4:], header["prev_log_idx"])
 
 
 class _Written(WriterCommitMessage):
@@ -211,24 +252,30 @@ class LogWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> _Written:
         import uuid
 
-        first, crc, parts, n = None, 0, [], 0
-        for r in rows:
-            if first is None:
-                first = r["idx"]
-                head, crc = header_bytes(self.dbid, self.node, 0, first - 1)
-                parts.append(head)
-            elif r["idx"] != first + n:
-                raise ValueError(f"the log has a hole before {r['idx']}")
-            raw, crc = entry_bytes({k: r[k] for k in ("term", "entry_id", "session", "type", "data")}, crc)
-            parts.append(raw)
-            n += 1
-        if first is None:
-            return _Written("", 0)
+        first, crc, n, out, temporary = None, 0, 0, None, ""
         system, root = _open(self.path)
-        system.create_dir(root, recursive=True)
-        temporary = f"{root}/{first:020d}-{uuid.uuid4().hex}.part"
-        with system.open_output_stream(temporary) as f:
-            f.write(b"".join(parts))
+        try:
+            for r in rows:
+                if first is None:
+                    first = r["idx"]
+                    system.create_dir(root, recursive=True)
+                    temporary = f"{root}/{first:020d}-{uuid.uuid4().hex}.part"
+                    out = system.open_output_stream(temporary)
+                    head, crc = header_bytes(self.dbid, self.node, 0, first - 1)
+                    out.write(head)
+                elif r["idx"] != first + n:
+                    raise ValueError(f"the log has a hole before {r['idx']}")
+                raw, crc = entry_bytes({k: r[k] for k in ("term", "entry_id", "session", "type", "data")}, crc)
+                out.write(raw)
+                n += 1
+        except BaseException:
+            # what was written of a page that failed is taken back
+            if out is not None:
+                out.close()
+                system.delete_file(temporary)
+            raise
+        if out is not None:
+            out.close()
         return _Written(temporary, n)
 
     def commit(self, messages: list) -> None:
@@ -248,6 +295,40 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogSource)
 
 
+def recovered(spark: SparkSession, path: str) -> DataFrame:
+    """The log in a folder of pages: records up to the first bad one of all pages, pages that are empty or leave a gap, and all after them, left out.
+
+    Pages are as many as tasks that wrote them; their order is a window over a row a page, found by one aggregate.
+    """
+    rows = spark.read.format("logpage").load(path)
+    order = W.orderBy("page")
+    pages = rows.groupBy("page").agg(F.max("idx").alias("last"))
+    broken = F.coalesce(F.col("page") != F.lag("last").over(order), F.lit(False))
+    sound = pages.withColumn("__b", broken).withColumn("__n", F.max(F.col("__b").cast("int")).over(order)).where("__n = 0").agg(F.max("last").alias("__end"))
+    return rows.crossJoin(F.broadcast(sound)).where("idx <= __end").drop("__end", "page")
+
+
+def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, dbid, node_id, term, vote) of metadata files."""
+    read = spark.read.format("binaryFile").load(paths)
+
+    @F.pandas_udf("dbid string, node_id int, term long, vote int")
+    def parsed(data):
+        import pandas as pd
+
+        return pd.DataFrame([read_metadata(bytes(x)) for x in data], columns=["dbid", "node_id", "term", "vote"])
+
+    return read.select("path", parsed("content").alias("m")).select("path", "m.*")
+
+
+def publish_metadata(path: str, **fields) -> None:
+    """Writes a metadata file under another name first, so that a reader sees the old one or the new one."""
+    system, at = _open(path)
+    with system.open_output_stream(f"{at}.part") as f:
+        f.write(metadata_bytes(**fields))
+    system.move(f"{at}.part", at)
+
+
 def metadata_bytes(dbid: str, node_id: int, term: int, vote: int) -> bytes:
     """One record of six strings: tag, version, database id, node id, term, vote."""
     return b"*6\r\n" + b"".join(map(_string, (b"METADATA", 1, dbid.encode(), node_id, term, vote)))
