@@ -106,3 +106,8 @@ def glob_column(pattern: Column) -> Column:
     """Globs of * and ? as regular expressions, inside the JVM."""
     quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
     return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+
+def addresses_joined(a: Column, b: Column) -> Column:
+    """Two lists of addresses as one, each address at its first place."""
+    return F.array_union(a, b)

@@ -93,13 +93,6 @@ def route_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return _routed(spark, sf).select("idx", "exist", "outcome")
 
 
-@R.add("""WITH k AS (SELECT l_orderkey AS txn, count(*) AS n, count(DISTINCT o_custkey) AS e, sum(CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END) AS locked FROM lineitem LEFT JOIN orders ON o_orderkey = l_partkey GROUP BY 1)
-SELECT txn, CASE WHEN locked > 0 THEN 'LOCKED' ELSE 'FREE' END AS exist FROM k""")
-def key_locks(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("txn")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("l_partkey") % 50 == 0, 1).otherwise(0)).alias("locked"))
-    return li.select("txn", F.when(topology.existence(F.col("n"), F.col("n"), F.col("locked")) == "LOCKED", "LOCKED").otherwise("FREE").alias("exist"))
-
-
 @R.add("""WITH e AS (SELECT l_orderkey AS txn, count(*) AS n, count(*) FILTER (l_partkey % 3 = 0) AS x FROM lineitem GROUP BY 1)
 SELECT txn, CASE WHEN x = n THEN 'ALL' WHEN x = 0 THEN 'NONE' ELSE 'SOME' END AS exist FROM e""")
 def key_existence(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,10 +108,10 @@ def crossslot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _proposed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select(F.format_string("n%02d", "n_nationkey").alias("group_id"), (F.col("n_nationkey") * 800).alias("start"), (F.col("n_nationkey") * 800 + 9).alias("end")).where(F.col("end") < slots.N_SLOTS)
+    return table(spark, sf, "nation").select(F.format_string("n%02d", "n_nationkey").alias("group_id"), (F.col("n_nationkey") * 650).alias("start"), (F.col("n_nationkey") * 650 + 9).alias("end"))
 
 
-@R.add(f"""WITH {RANGES_SQL}, p AS (SELECT printf('n%02d', n_nationkey) AS group_id, n_nationkey * 800 + i AS slot FROM nation, range(0, 10) r(i) WHERE n_nationkey * 800 + 9 < 16384)
+@R.add(f"""WITH {RANGES_SQL}, p AS (SELECT printf('n%02d', n_nationkey) AS group_id, n_nationkey * 650 + i AS slot FROM nation, range(0, 10) r(i))
 SELECT DISTINCT p.group_id, p.slot FROM p JOIN ranges r ON r.type = 1 AND p.slot BETWEEN r.start AND r."end" """)
 def slot_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return topology.overlaps(_proposed(spark, sf), ranges(spark, sf).where("type = 1"))
@@ -192,11 +185,15 @@ def import_replace(spark: SparkSession, sf: str) -> DataFrame:
     return merge_keys(state, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value")))
 
 
-@R.add("SELECT n_regionkey AS group_id, arg_max(n_name, n_nationkey) AS nodes FROM nation WHERE n_regionkey <> 0 GROUP BY 1")
+@R.add("SELECT n_regionkey AS group_id, CASE WHEN n_regionkey = 0 THEN arg_min(n_name, n_nationkey) ELSE arg_max(n_name, n_nationkey) END AS nodes FROM nation GROUP BY 1")
 def shard_group_update(spark: SparkSession, sf: str) -> DataFrame:
-    """The last update of each group's nodes; the local group's is ignored."""
-    n = table(spark, sf, "nation").where("n_regionkey <> 0")
-    return n.groupBy(F.col("n_regionkey").alias("group_id")).agg(F.max_by("n_name", "n_nationkey").alias("nodes"))
+    """The last update of each group's nodes; the local group keeps those it was added with."""
+    n = table(spark, sf, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("f"))
+    entries = n.join(first, "n_regionkey").select(
+        F.col("n_nationkey").alias("idx"), F.when(F.col("n_nationkey") == F.col("f"), "ADD").otherwise("UPDATE").alias("kind"), F.col("n_regionkey").alias("group_id"), F.array("f").alias("slot_ranges"), F.col("n_name").alias("nodes"),
+    )
+    return topology.fold_groups(entries, "0").select("group_id", "nodes")
 
 
 @R.add("""WITH a AS (SELECT n_regionkey AS g, n_name AS addr, n_nationkey AS k FROM nation), r AS (SELECT g, addr, min(k) AS k FROM (SELECT g, addr, k FROM a UNION ALL SELECT g, addr, k + 100 FROM a) GROUP BY 1, 2)
@@ -204,4 +201,4 @@ SELECT g AS group_id, string_agg(addr, ',' ORDER BY k) AS addresses FROM r GROUP
 def address_union(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of addresses joined, first places kept."""
     n = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("a"))
-    return n.select("group_id", F.array_join(F.array_union("a", F.reverse("a")), ",").alias("addresses"))
+    return n.select("group_id", F.array_join(slots.addresses_joined(F.col("a"), F.reverse("a")), ",").alias("addresses"))

@@ -24,6 +24,13 @@ def latest(spark: SparkSession, path: str) -> tuple[int, dict[str, DataFrame]]:
     return row["last_idx"], {t: spark.read.parquet(f"{path}/idx={row['last_idx']}/{t}") for t in row["tables"]}
 
 
+def latest_or_none(spark: SparkSession, path: str) -> tuple[int, dict[str, DataFrame]]:
+    """The last published index and its tables; -1 and none before the first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return latest(spark, path) if there else (-1, {})
+
+
 def restore_counters(base: DataFrame, suffix: DataFrame) -> DataFrame:
     """Counters (key, value) of a snapshot after the log suffix: the base is a SET before all of it."""
     from keytide.operators.keyspace import Keyspace

@@ -5,10 +5,11 @@ Batch operators are the meaning; each stream gives the same rows. Timeouts are e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructType
@@ -19,18 +20,25 @@ def apply_once(batch: DataFrame, applied: int) -> DataFrame:
     return batch.where(batch["idx"] > applied)
 
 
+#: What a counter command does to a value with its number.
+STEPS: dict[str, Callable[[int | None, int], int | None]] = {
+    "SET": lambda value, n: n, "INCR": lambda value, n: (value or 0) + 1, "DECR": lambda value, n: (value or 0) - 1, "INCRBY": lambda value, n: (value or 0) + n, "DECRBY": lambda value, n: (value or 0) - n,
+    "DEL": lambda value, n: None, "UNLINK": lambda value, n: None,
+}
+
+
 def counters(log: DataFrame) -> DataFrame:
-    """Stream of (key, idx, value) after each batch's last change of a key; rows of a batch are put in order by idx."""
+    """Stream of (key, idx, value) after each batch's last change of a key; rows of a batch are put in order by idx, other commands are left out."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values("idx")
         for cmd, num in zip(rows["cmd"], rows["num"]):
-            value = None if cmd in ("DEL", "UNLINK") else int(num) if cmd == "SET" else (value or 0) + int(num)
+            value = STEPS[cmd](value, 0 if pd.isna(num) else int(num))
         state.update((value,))
         yield pd.DataFrame({"key": [key[0]], "idx": [int(rows["idx"].iloc[-1])], "value": [value]})
 
-    return log.groupBy("key").applyInPandasWithState(step, "key string, idx long, value long", "value long", "update", GroupStateTimeout.NoTimeout)
+    return log.where(F.col("cmd").isin(*STEPS)).groupBy("key").applyInPandasWithState(step, "key string, idx long, value long", "value long", "update", GroupStateTimeout.NoTimeout)
 
 
 class Waiters(StatefulProcessor):
@@ -76,7 +84,47 @@ def waiters(events: DataFrame) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(Waiters(), schema, "append", "none")
 
 
-def deliveries(messages: DataFrame, subscriptions: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Stream of messages (ts, channel, message) to subscriptions (channel, client, since, until), both streams or the latter a table."""
+def deliveries(messages: DataFrame, subscriptions: DataFrame, late: str = "10 minutes", longest: str = "1 day") -> DataFrame:
+    """Stream of messages (ts, channel, message) to subscriptions (channel, client, since, until), both streams or the latter a table.
+
+    Where both are streams, both have watermarks and a subscription is renewed at least once in `longest`, so state is bounded:
+    a message joins subscriptions that began up to that long before it.
+    """
     m = messages.withWatermark("ts", late) if messages.isStreaming else messages
-    return m.join(subscriptions, "channel").where((m["ts"] >= subscriptions["since"]) & (subscriptions["until"].isNull() | (m["ts"] < subscriptions["until"])))
+    s = subscriptions.withWatermark("since", late) if subscriptions.isStreaming else subscriptions
+    inside = (m["ts"] >= s["since"]) & (s["until"].isNull() | (m["ts"] < s["until"]))
+    if messages.isStreaming and subscriptions.isStreaming:
+        inside = inside & (m["ts"] <= s["since"] + F.expr(f"interval {longest}"))
+    return m.join(s, (m["channel"] == s["channel"]) & inside).drop(s["channel"])
+
+
+def publish_once(messages: DataFrame, path: str, checkpoint: str):
+    """Starts a sink of messages that writes each row of (idx, ...) once: batches that come again after a restart are told by their index."""
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is tried again overwrites what it wrote before
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def apply_state(log: DataFrame, state_path: str, checkpoint: str):
+    """Starts a sink that keeps counters with the index they hold, so that every entry is applied exactly once.
+
+    Each batch reads the last published state (key, value) and its index, applies entries beyond it, and publishes a new snapshot;
+    a batch that comes again finds its entries applied.
+    """
+    from keytide.sources import snapshot
+
+    def apply(batch: DataFrame, _number: int) -> None:
+        from keytide.operators.keyspace import Keyspace
+
+        spark = batch.sparkSession
+        last, tables = snapshot.latest_or_none(spark, state_path)
+        fresh = apply_once(batch, last)
+        top = fresh.agg(F.max("idx")).first()[0]
+        if top is None:
+            return
+        state = snapshot.restore_counters(tables["counters"], fresh) if tables else Keyspace(fresh).counters()
+        snapshot.write(spark, state_path, {"counters": state}, top)
+
+    return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()

@@ -69,6 +69,18 @@ def test_command_array_bytes():
     assert codecs.decode_commands(GOLDEN) == {"asking": False, "cmd_flags": 0, "acl": "hello", "commands": COMMANDS}
 
 
+def test_command_array_without_access_list():
+    data = GOLDEN.replace(b"$5\nhello\n", b"$0\n\n", 1)
+    assert codecs.encode_commands(COMMANDS) == data and codecs.decode_commands(data)["acl"] is None
+
+
+def test_payload_columns(spark):
+    group = {"id": "g", "slot_ranges": [{"start": 1, "end": 2, "type": 1, "session_key": 3}], "nodes": [{"node_id": "n", "host": "h", "port": 4}]}
+    df = spark.createDataFrame([(7, True, ["b", "a", "b"], [("k", "v")], group)], "i long, e boolean, k array<string>, p array<struct<key:string,payload:string>>, g struct<id:string,slot_ranges:array<struct<start:int,end:int,type:int,session_key:long>>,nodes:array<struct<node_id:string,host:string,port:int>>>")
+    row = df.select(codecs.timeout_column(F.col("i"), F.col("e")), codecs.lock_keys_column(F.col("k")), codecs.import_column(F.col("i"), F.lit(9), F.col("p")), codecs.shard_group_column(F.col("g"))).first()
+    assert bytes(row[0]) == codecs.encode_timeout(7, True) and bytes(row[1]) == codecs.encode_lock_keys([b"b", b"a"]) and bytes(row[2]) == codecs.encode_import(7, 9, [(b"k", b"v")]) and row[3] == codecs.encode_shard_group(group)
+
+
 @pytest.mark.parametrize("data", [b"", b"*1\n", b"*2\n*3\n:0\n:0\n$-1\n*0\n", GOLDEN[:-1], GOLDEN + b"x", GOLDEN.replace(b"$5\nvalue", b"$9\nvalue"), b"*0\n" + GOLDEN])
 def test_bad_command_arrays(data):
     with pytest.raises(codecs.Bad):

@@ -75,3 +75,48 @@ def test_snapshot_and_suffix(spark, tmp_path):
         assert last == cut
         got = snapshot.restore_counters(tables["counters"], snapshot.compacted(log, last))
         assert {r.key: r.value for r in got.collect()} == whole
+
+
+def pages(tmp_path, *parts, damage=None):
+    """Pages of (previous index, number of entries) as files; damage: (page, entry) whose bytes are spoilt."""
+    for k, (prev, n) in enumerate(parts):
+        data = bytearray(logfile.page_bytes({"dbid": DBID, "node_id": 1, "prev_log_term": 1, "prev_log_idx": prev}, [entry(prev + i + 1) for i in range(n)]))
+        if damage and damage[0] == k:
+            data[load(bytes(data))[damage[1]][7] + 30] ^= 1
+        (tmp_path / f"{k}.log").write_bytes(bytes(data))
+
+
+@pytest.mark.parametrize(("parts", "damage", "want"), [
+    ([(0, 3), (3, 2), (5, 2)], None, 7), ([(0, 3), (50, 3)], None, 3), ([(0, 3), (3, 3), (6, 2)], (1, 1), 4), ([(0, 3), (3, 2)], (0, 2), 2), ([(0, 3), (3, 0), (3, 2)], None, 5), ([(0, 3), (3, 2), (5, 1)], (1, 0), 3), ([(0, 4)], (0, 0), 0),
+])
+def test_the_log_ends_at_damage_or_a_gap(spark, tmp_path, parts, damage, want):
+    logfile.register(spark)
+    pages(tmp_path, *parts, damage=damage)
+    assert sorted(r.entry_id for r in logfile.recovered(spark, str(tmp_path)).collect()) == list(range(1, want + 1))
+
+
+def test_long_checksums():
+    import os
+
+    table = logfile._CRC
+    for n in (0, 7, 8, 9, 2047, 2048, 2049, 9000):
+        data, crc = os.urandom(n), 99 ^ 0xFFFFFFFF
+        for b in data:
+            crc = table[(crc ^ b) & 0xFF] ^ (crc >> 8)
+        assert logfile.crc32c(data, 99) == crc ^ 0xFFFFFFFF
+
+
+def test_a_failed_page_is_taken_back(spark, tmp_path):
+    logfile.register(spark)
+    rows = [(i, 2, i, Decimal(i), 0, bytearray(b"v")) for i in (1, 2, 4)]
+    df = spark.createDataFrame(rows, "idx long, term long, entry_id int, session decimal(20,0), type int, data binary").coalesce(1).sortWithinPartitions("idx")
+    with pytest.raises(Exception, match="hole"):
+        df.write.format("logpage").option("dbid", DBID).mode("append").save(str(tmp_path / "x"))
+    assert not [p for p in (tmp_path / "x").glob("*")]
+
+
+def test_metadata_is_published_whole(spark, tmp_path):
+    for term in (5, 6):
+        logfile.publish_metadata(str(tmp_path / "m"), dbid=DBID, node_id=1002, term=term, vote=6)
+    row = logfile.metadata(spark, [str(tmp_path / "m")]).first()
+    assert (row.dbid, row.node_id, row.term, row.vote) == (DBID, 1002, 6, 6) and [p.name for p in tmp_path.iterdir()] == ["m"]

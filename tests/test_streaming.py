@@ -37,3 +37,43 @@ def test_waiters(spark, tmp_path):
 def test_applied_once(spark):
     df = spark.range(10).withColumnRenamed("id", "idx")
     assert tail.apply_once(df, 6).count() == 3
+
+
+def test_counters_leave_other_commands_out(spark, tmp_path):
+    rows = [(i, "k", c, None, None, 5) for i, c in enumerate(("SET", "DECRBY", "HINCRBY", "RPUSH", "INCR", "DECR", "DECR"))]
+    log = spark.createDataFrame(rows, "idx long, key string, cmd string, field string, value string, num long")
+    log.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    out = run(spark, tail.counters(spark.readStream.schema(log.schema).parquet(str(tmp_path))), "mixed_stream", "update")
+    assert [r.value for r in out] == [-1] == [r.value for r in Keyspace(log).counters().collect()]
+
+
+def test_state_is_applied_once(spark, tmp_path):
+    rows = [(i, f"k{i % 3}", ("SET", "INCRBY", "INCRBY", "DEL", "INCRBY")[i * 7 % 5], None, None, i) for i in range(90)]
+    log = spark.createDataFrame(rows, "idx long, key string, cmd string, field string, value string, num long")
+    source, state = str(tmp_path / "log"), str(tmp_path / "state")
+    from keytide.sources import snapshot
+
+    for k, checkpoint in enumerate(("a", "a", "b")):
+        # the third run has lost its checkpoint, and sees every entry again
+        log.where(f"idx >= {k * 30} and idx < {k * 30 + 30}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        q = tail.apply_state(stream, state, str(tmp_path / checkpoint))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        last, tables = snapshot.latest(spark, state)
+        want = {r.key: r.value for r in Keyspace(log).as_of(k * 30 + 29).counters().collect()}
+        assert last == k * 30 + 29 and {r.key: r.value for r in tables["counters"].collect()} == want
+
+
+def test_messages_are_published_once(spark, tmp_path):
+    df = spark.range(20).withColumnRenamed("id", "idx")
+    df.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        q = tail.publish_once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
