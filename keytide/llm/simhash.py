@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.llm import similar
 from keytide.llm.common import delete, named_rows, stored
 
 BITS = 64
@@ -174,26 +175,58 @@ def components(pairs: DataFrame, ties: DataFrame | None = None) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, segments: int = 32,
-    distance: int = 2, heavy: int = 2048, keep_rows: bool = False,
+    distance: int = 2, heavy: int = 2048, similarity: float | None = None, bands: int = 32, rows: int = 8, keep_rows: bool = False,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), and `rid` with keep_rows.
 
+    Links are fingerprints within distance; with similarity, texts whose sets of shingles are at least that alike (Jaccard), which
+    fingerprints and bands of minima find and an exact comparison decides (see llm.similar). Then texts without words are one class.
+
     With keep_rows the struct `row` has all columns of docs, and `first` marks one row of each component: the
     smallest doc_id, and of rows that repeat it, one.
     """
     docs, name = named_rows(docs)
     keep = [name.alias("rid"), docs[id_col].alias("doc_id")]
-    marked, _ = stored(with_fingerprints(docs, keep, docs[text_col], shingle, seed), "fingerprints")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid"))).alias("least")
-    classes, _ = stored(marked.groupBy("fp").agg(smallest), "classes")
-    pairs, ties = links(classes.select("fp"), segments, distance, heavy)
-    found = components(pairs, ties)
-    rooted = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if similarity is None:
+        marked, _ = stored(with_fingerprints(docs, keep, docs[text_col], shingle, seed), "fingerprints")
+        classes, _ = stored(marked.groupBy("fp").agg(smallest).withColumn("cid", F.col("fp")), "classes")
+        found, by = components(*links(classes.select("fp"), segments, distance, heavy)), "fp"
+    else:
+        both = with_fingerprints(docs, [*keep, docs[text_col].cast("string").alias("__text")], docs[text_col], shingle, seed)
+        marked, _ = stored(similar.with_signatures(both, [F.col("rid"), F.col("doc_id"), F.col("fp")], F.col("__text"), shingle, bands, rows, seed, _UPPER), "fingerprints", "lz4")
+        named = marked.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id())
+        classes, _ = stored(named, "classes")
+        found, by = _similar(classes, marked, segments, distance, heavy, similarity), "key"
+    rooted = classes.join(found.select(F.col("node").alias("cid"), "root").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    named = rooted.join(best.hint("merge"), "root").select("fp", "best")
-    out = marked.join(named.hint("merge"), "fp").select(
+    named = rooted.join(best.hint("merge"), "root").select(by, "best")
+    out = marked.join(named.hint("merge"), by).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), "rid", (F.col("rid") == F.col("best.rid")).alias("first"),
     )
     if not keep_rows:
         return out.drop("rid", "first")
     return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).hint("merge"), "rid")
+
+
+def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int, heavy: int, similarity: float) -> DataFrame:
+    """(node, root) over classes (cid, key, fp, bands) of texts with the same words."""
+    keyed = classes.select("cid", F.explode("bands").alias("h"))
+    shared = keyed.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("h")
+    members, _ = stored(keyed.join(shared.hint("merge"), "h", "left_semi"), "buckets")
+    # fingerprints that are close, and texts that share one: a star of each fingerprint, and a pair for each link
+    full = classes.where(F.size("bands") > 0).select("cid", "fp")
+    heads, _ = stored(full.groupBy("fp").agg(F.min("cid").alias("head")), "heads")
+    pairs, ties = links(heads.select("fp"), segments, distance, heavy)
+    near = pairs.select("a", "b")
+    if not ties.isEmpty():
+        hubs = ties.groupBy("b").agg(F.min("a").alias("low"))
+        near = near.unionByName(ties.join(hubs.hint("merge"), "b").select(F.col("a").alias("x"), "low").select(F.col("x").alias("a"), F.col("low").alias("b")))
+    at = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")).hint("merge")
+    close = near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    same = full.join(heads.hint("merge"), "fp").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    first, _ = stored(close.unionByName(same).where("a <> b"), "close")
+    asked = members.select("cid").unionByName(first.select(F.col("a").alias("cid"))).unionByName(first.select(F.col("b").alias("cid"))).distinct()
+    wanted = classes.select("cid", "key").join(asked.hint("merge"), "cid", "left_semi")
+    sets, _ = stored(marked.select("key", "grams").join(wanted.hint("merge"), "key").groupBy("cid").agg(F.first("grams").alias("grams")), "sets", "lz4")
+    return similar.linked(members, sets, first, similarity, components)

@@ -38,7 +38,7 @@ def crc(ids):
 
 OPERATORS = {
     "quality": lambda d: linefreq.judge(d), "quality rows": lambda d: linefreq.judge(d, keep_rows=True), "media": interleave.of_documents,
-    "near": lambda d: simhash.near_duplicates(d), "near rows": lambda d: simhash.near_duplicates(d, keep_rows=True), "substring": lambda d: blockdedup.remove_repeats(d),
+    "near": lambda d: simhash.near_duplicates(d), "near rows": lambda d: simhash.near_duplicates(d, keep_rows=True), "similar": lambda d: simhash.near_duplicates(d, shingle=5, similarity=0.8), "similar rows": lambda d: simhash.near_duplicates(d, shingle=5, similarity=0.8, keep_rows=True), "substring": lambda d: blockdedup.remove_repeats(d),
     "substring rows": lambda d: blockdedup.remove_repeats(d, keep_rows=True), "mix": lambda d: mixture.mix(d), "mix rows": lambda d: mixture.mix(d, keep_rows=True), "count": tokcount.token_counts,
     "pack": lambda d: packing.pack(d), "licenses": licenses.scan, "ids": lambda d: idpack.read_ids(*idpack.write_ids(d)),
 }
@@ -173,6 +173,70 @@ def test_links_are_all_found(spark, segments, heavy):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def alike(texts, size=5, least=0.8):
+    """Smallest place of each text's component under the exact similarity of its sets of shingles, by all pairs."""
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if words[i] == words[j] or (a and b and len(a & b) >= least * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts(spark, odd, docs_schema):
+    import random
+
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(2000)]
+    texts = [x["text"] for x in rows_of(odd)]
+    for n, changes in ((60, 1), (200, 2), (200, 4), (400, 6), (400, 12), (400, 40), (30, 3)):
+        base = [r.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            copy = list(base)
+            for k in r.sample(range(n), changes):
+                copy[k] = r.choice(vocabulary)
+            texts.append(" ".join(copy))
+    # a chain whose ends are far apart, and a crowd around a text that only its centre joins
+    chain = [r.choice(vocabulary) for _ in range(300)]
+    for k in range(10):
+        chain = [*chain[6:], *(r.choice(vocabulary) for _ in range(6))]
+        texts.append(" ".join(chain).upper())
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], docs_schema).repartition(3)
+    want = alike(texts)
+    got = rows_of(simhash.near_duplicates(df, shingle=5, similarity=0.8, keep_rows=True))
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(want))
+    assert Counter(x["component_id"] for x in got if x["first"]) == Counter(set(want)) and len(set(want)) < len(texts) - 20
+
+
+def test_sets_and_band_keys():
+    from keytide.llm import similar
+
+    r = np.random.default_rng(1)
+    a = similar.shingles([b"w%d" % x for x in r.integers(0, 999, 3000)], 5)
+    assert (similar.unpacked(similar.packed(a)) == a).all() and len(similar.shingles([], 5)) == 0 and len(similar.shingles([b"x"], 5)) == 1
+    seeds = similar._seeds(256, 42)
+    shared = []
+    for s in (0.8, 0.5):
+        n = 2000
+        both = r.integers(0, 1 << 48, n, dtype=np.uint64)
+        rest = int(n * (1 - s) / (2 * s))
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 48, rest, dtype=np.uint64)])) for _ in range(2))
+        assert similar.jaccard(x, y) == pytest.approx(s, abs=0.01)
+        shared.append(sum(p == q for p, q in zip(similar.band_keys(x, 256, 1, seeds), similar.band_keys(y, 256, 1, seeds))) / 256)
+    assert abs(shared[0] - 0.8) < 0.1 and abs(shared[1] - 0.5) < 0.12
+
+
 def test_points_are_bit_counts(spark):
     from pyspark.sql import functions as F
 

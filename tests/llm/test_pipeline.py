@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from test_documents import WORD, classes, fingerprint, ids_of, rows_of
+from test_documents import WORD, alike, ids_of, rows_of
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -14,10 +14,9 @@ from keytide.llm import linefreq
 def plain_pipeline(rows, judged):
     """(doc_id, ids) of what is packed. judged: kept and clean text by (doc_id, text), which test_documents holds against brute force."""
     rows = [r | {"text": judged[r["doc_id"], r["text"]][1]} for r in rows if judged[r["doc_id"], r["text"]][0]]
-    named = classes([(r["doc_id"], fingerprint(r["text"])) for r in rows])
     first = {}
-    for r, (d, _, c) in zip(rows, named):
-        if d == c and c not in first:
+    for r, c in zip(rows, alike([r["text"] for r in rows])):
+        if c not in first or r["doc_id"] < first[c]["doc_id"]:
             first[c] = r
     rows = list(first.values())
     docs = [WORD.findall(r["text"] or "") for r in rows]
