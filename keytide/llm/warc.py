@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from keytide.llm.common import new_path, stored
 from keytide.llm.markup import plain_text
@@ -69,7 +69,10 @@ def derive(source: tuple) -> Iterator[tuple]:
 def serialize(record: tuple) -> bytes:
     page_id, kind, rid, refers, target, date, content, length, block_digest, payload_digest, block = record
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}"]
-    lines += [f"WARC-Refers-To: {refers}"] * bool(refers) + [f"WARC-Payload-Digest: {payload_digest}"] * bool(payload_digest)
+    if refers:
+        # a derivative has its source's target and date
+        lines += [f"WARC-Refers-To: {refers}", f"WARC-Refers-To-Target-URI: {target}", f"WARC-Refers-To-Date: {date}"]
+    lines += [f"WARC-Payload-Digest: {payload_digest}"] * bool(payload_digest)
     lines += [f"WARC-Block-Digest: {block_digest}", *[f"WARC-Page-ID: {page_id}"] * (page_id is not None), f"Content-Type: {content}", f"Content-Length: {length}"]
     return "\r\n".join(lines).encode() + CRLF * 2 + block + CRLF * 2
 
@@ -83,12 +86,14 @@ def parse(data: bytes) -> tuple:
     h = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
     length = int(h["content-length"])
     block = rest[:length]
-    if len(block) != length or digest(block) != h["warc-block-digest"]:
+    # other writers may leave digests out or use another function: what can be checked is checked
+    given = h.get("warc-block-digest", "")
+    if len(block) != length or (given.lower().startswith("sha1:") and digest(block).lower() != given.lower()):
         raise ValueError(f"damaged record {h.get('warc-record-id')}")
     page = h.get("warc-page-id")
     return (
-        int(page) if page is not None else None, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"], h["content-type"], length,
-        h["warc-block-digest"], h.get("warc-payload-digest"), block,
+        int(page) if page is not None else None, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"], h.get("content-type", "application/octet-stream"), length,
+        given or digest(block), h.get("warc-payload-digest"), block,
     )
 
 
@@ -200,3 +205,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path").repartition(n).mapInArrow(run, RECORD + ", file string, member_offset long, member_length long")
+
+
+def read_archive(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of .warc.gz files of other writers (URIs, each gzip member a record): responses to give to derivatives()."""
+    manifest = spark.createDataFrame([(fs.FileSystem.from_uri(p)[1],) for p in paths], "path string")
+    return read_files(manifest, paths[0].rpartition("/")[0])

@@ -38,6 +38,23 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     assert [small.encode(t) for t in texts] == want
 
 
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}])
+def test_other_files_are_given_whole_to_the_library(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    own, library = Encoder(str(path), "spaces"), Tokenizer.from_file(str(path))
+    for text in odd_texts(200):
+        assert list(np.frombuffer(own.encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids, text
+    with pytest.raises(ValueError):
+        tokcount.Counter(str(path))
+
+
 def test_heap_counts_are_the_librarys():
     from tokenizers import Tokenizer
 
@@ -250,3 +267,78 @@ def test_warc_members_by_offset():
         assert gzip.decompress(data[offset : offset + length]) == raw
     with pytest.raises(ValueError):
         warc.parse(warc.serialize(records[0])[:-40])
+
+
+def records_in(folder):
+    """(headers, block) of every record of the .warc.gz files in a folder, by the format's rules alone."""
+    import gzip
+    from pathlib import Path
+
+    out = []
+    for path in sorted(Path(folder).glob("*.warc.gz")):
+        data = gzip.decompress(path.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            headers = dict(x.split(": ", 1) for x in lines)
+            n = int(headers["Content-Length"])
+            assert first == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
+            out.append((headers, rest[:n]))
+            data = rest[n + 4 :]
+    return out
+
+
+def test_warc_files_by_other_means(spark):
+    """Pages whose text, title and links are known as they are made; records read without this package."""
+    import base64
+    import hashlib
+
+    r = random.Random(2)
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    pages, want = [], {}
+    for k in range(40):
+        paragraphs = [" ".join(r.choice(["alpha", "béta", "&amp;", "gamma", "δ"]) for _ in range(r.randint(1, 40 if k else 60_000))) for _ in range(r.randint(1, 5))]
+        links = [f"/l{k}/{j}" for j in range(r.randint(0, 3))]
+        page = f"<html><head><title>Title {k}</title><script>var x = '<p>no</p>';</script></head><body>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "".join(f"<a href='{x}'></a>" for x in links) + "</body></html>"
+        pages.append((k, f"http://h/{k}", page))
+        want[f"http://h/{k}"] = ("\n".join(p.replace("&amp;", "&") for p in paragraphs), f"Title {k}", links, page.encode())
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    manifest, folder = warc.write_files(warc.derivatives(warc.responses(df)))
+    found = records_in(folder.removeprefix("file:").replace("//", "/"))
+    assert len(found) == 2 * len(pages) == sum(x.n_records for x in manifest.collect()) and len({h["WARC-Record-ID"] for h, _ in found}) == len(found)
+    sources = {x.target_uri: x for x in warc.responses(df).collect()}
+    for headers, block in found:
+        text, title, links, page = want[headers["WARC-Target-URI"]]
+        source = sources[headers["WARC-Target-URI"]]
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(page) + page
+        assert bytes(source.block) == http and source.block_digest == sha(http) and source.payload_digest == sha(page)
+        assert headers["WARC-Refers-To"] == source.record_id and headers["WARC-Refers-To-Target-URI"] == source.target_uri and headers["WARC-Refers-To-Date"] == headers["WARC-Date"] == source.warc_date
+        assert headers["WARC-Block-Digest"] == sha(block)
+        if headers["WARC-Type"] == "conversion":
+            assert block.decode() == text and headers["Content-Type"].startswith("text/plain")
+        else:
+            fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if x]
+            held = lambda k: [v for n, v in fields if n == k]
+            assert held("source-record-id") == [source.record_id] and held("source-block-digest") == [sha(http)] and held("source-payload-digest") == [sha(page)]
+            assert held("title") == [title] and held("outlink") == links and held("source-http-header") == http.decode().split("\r\n\r\n")[0].split("\r\n")
+
+
+def test_warc_odd_tables(spark):
+    schema = "page_id long, url string, html string"
+    empty = spark.createDataFrame([], schema)
+    assert warc.read_files(*warc.write_files(warc.derivatives(warc.responses(empty)))).collect() == []
+    pages = spark.createDataFrame([*PAGES, *PAGES], schema)
+    clash = pages.selectExpr("*", *[f"'x' AS {c}" for c in ("record_id", "block", "target_uri", "path", "offset", "text", "refers_to")])
+    plain, other = (sorted(map(str, warc.read_files(*warc.write_files(warc.derivatives(warc.responses(d)))).select(*warc.FIELDS).collect())) for d in (pages, clash))
+    assert plain == other and len(plain) == 4 * len(PAGES)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\nX-A: b\r\n\r\n<p>hello</p>"
+    lines = ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:x>", "WARC-Date: 2020-01-01T00:00:00Z", "WARC-Target-URI: http://t/", "Content-Type: application/http", f"Content-Length: {len(block)}"]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:y>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"))
+    made = {x.record_type: x for x in warc.derivatives(warc.read_archive(spark, [f"file://{tmp_path}/a.warc.gz"])).collect()}
+    assert bytes(made["conversion"].block) == b"hello" and made["metadata"].refers_to == "<urn:x>" and b"source-http-header: X-A: b" in bytes(made["metadata"].block)
