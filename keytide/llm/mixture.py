@@ -8,8 +8,10 @@ words taken differ from the target by half a document at most. A place in that o
 sizes are summed by (source, leading digits of the md5), those sums are accumulated, and only rows that share the
 leading digits are sorted together, so a source with a third of all rows is spread over `16 ** digits` groups.
 
+Sources are ranked by ranges, so as many as there may be (hosts, say), no task sees them all.
+
 Defined results: a null text has size 0; null is a source of its own, last in order; sources without words get
-target 0; repeated rows are documents of their own, equal keys are ordered by size. Reruns agree.
+target 0; repeated rows are documents of their own, equal keys are ordered by size, then by a hash of the text. Reruns agree.
 """
 
 from __future__ import annotations
@@ -48,6 +50,17 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float = 2.0) -> Dat
         state, _ = stored(state.withColumn("capped", F.col("capped") | over), "sources")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, ...) with `rank` from 0 in code-point order, null last: a count a range, and places inside each range."""
+    order = F.col("source").asc_nulls_last()
+    dealt, _ = stored(sources.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranked")
+    before = F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    # a row a range: as many as shuffle partitions
+    ranges = dealt.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("n")
+    inside = F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1
+    return dealt.withColumn("__in", inside).join(ranges, "__p").withColumn("rank", F.col("__before") + F.col("__in")).drop("__p", "__before", "__in")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "42", digits: int = 3, keep_rows: bool = False,
@@ -59,11 +72,11 @@ def mix(
     docs, name = named_rows(docs)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[source_col], F.lit(""))))
     sized, _ = stored(
-        docs.select(name.alias("rid"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(docs[text_col]).alias("size"), key.alias("k")), "sizes",
+        docs.select(name.alias("rid"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(docs[text_col]).alias("size"), key.alias("k"), F.xxhash64(docs[text_col]).alias("t")), "sizes",
     )
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    listed = sums.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    listed = ranked(sums).withColumn("weight", weight).drop("rank")
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     targets = water_fill(listed, share * total, max_epochs)
     head = F.substring("k", 1, digits)
@@ -72,8 +85,8 @@ def mix(
     # At most 16 ** digits rows a source.
     starts = groups.withColumn("start", F.coalesce(before, F.lit(0))).drop("words")
     plan = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.head", "a.start", "b.source_size", "b.target")
-    within = F.sum("size").over(W.partitionBy("source", "head").orderBy("k", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    narrow = sized.select("rid", "doc_id", "source", "size", "k", head.alias("head"))
+    within = F.sum("size").over(W.partitionBy("source", "head").orderBy("k", "doc_id", "size", "t").rowsBetween(W.unboundedPreceding, -1))
+    narrow = sized.select("rid", "doc_id", "source", "size", "k", "t", head.alias("head"))
     placed = narrow.withColumn("inside", F.coalesce(within, F.lit(0)))
     joined = placed.alias("d").join(plan.alias("p"), (F.col("d.head") == F.col("p.head")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     whole = F.floor(F.col("target") / F.col("source_size"))
