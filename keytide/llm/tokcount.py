@@ -5,7 +5,8 @@ list; a heap holds its adjacent pairs by rank, then place. The lowest is popped,
 passed over, the pair is merged, and its two new neighbours are pushed. Each merge takes one symbol away, so the count is
 the bytes less the merges. Counts of short pieces are kept by the worker, at most CACHE of them.
 
-Defined results: a null text is empty and has no tokens; special strings of the file count as one token each.
+Defined results: a null text is empty and has no tokens; special strings of the file count as one token each; a file with
+other settings than a byte-level vocabulary's is refused.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from keytide.llm.tokens import byte_letters, pieces_spaces, vocabulary
+from keytide.llm.tokens import byte_letters, pieces_spaces, shape, vocabulary
 
 CACHE = 600_000
 #: Longest piece that is kept.
@@ -33,6 +34,8 @@ class Counter:
 
         with open(vocabulary(name), encoding="utf-8") as f:
             file = json.load(f)
+        if shape(file) != "spaces":
+            raise ValueError("counts need a byte-level vocabulary with the usual split pattern and no normalizer")
         code = {v: bytes([k]) for k, v in byte_letters().items()}
         raw = lambda s: b"".join(code[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"])
@@ -40,6 +43,7 @@ class Counter:
         self.split = regex.compile(public_tokenizers.PATTERN)
         special = sorted((t["content"] for t in file["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.firsts = sorted({t[0] for t in special})
         self.known: dict[str, int] = {}
 
     def merged(self, data: bytes) -> int:
@@ -74,7 +78,7 @@ class Counter:
         return sum(self.merged(x.encode()) for x in self.split.findall(text))
 
     def count(self, text: str) -> int:
-        if self.special is not None and "<" in text:
+        if self.special is not None and any(c in text for c in self.firsts):
             found = self.special.findall(text)
             if found:
                 return len(found) + sum(map(self.segment, self.special.split(text)))

@@ -6,11 +6,13 @@ split pattern, they are that pattern's own white-space rule with all other chara
 space with the one space before it, a run of white space less its last character, and that character. Special strings
 are cut out first, for white space before them is split in another way. A piece that is one word of Latin letters goes to
 the library's model directly, past its normalizer and splitter, which would not change it. A worker keeps the ids
-of the pieces it has seen, at most CACHE of them, and then begins anew.
+of the pieces it has seen, at most CACHE of them, and then begins anew. All that holds for files with the settings below, which
+shape() compares; texts are given whole to the library for any other file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -36,6 +38,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Settings of the two kinds of file that may be called on pieces.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORD_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+)
+
+
+def shape(file: dict) -> str | None:
+    """How texts may be cut for a tokenizer file: spaces, words, or not at all."""
+    model = file["model"]
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    exact = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in file["added_tokens"])
+    rules, suffix = (file["normalizer"], file["pre_tokenizer"]), model.get("end_of_word_suffix") or ""
+    if plain and exact and file.get("post_processor") is None:
+        if rules == (None, _BYTE_LEVEL) and not suffix:
+            return "spaces"
+        if rules == _WORD_RULES and suffix == "</w>":
+            return "words"
+    return None
+
+
 def pieces_words(text: str) -> list[bytes]:
     return text.encode().split()
 
@@ -61,12 +86,16 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary(name))
         self.library.no_truncation()
         self.library.no_padding()
+        with open(vocabulary(name), encoding="utf-8") as f:
+            self.whole = shape(json.load(f)) != pieces
         self.kind = pieces
         self.pieces: Callable[[str], list] = {"words": pieces_words, "spaces": pieces_spaces}[pieces]
         self.model, self.letters = self.library.model, byte_letters()
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # special strings are looked for in texts that hold the first letter of one
+        self.firsts = sorted({t[0] for t in special})
         self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
         self.known: dict[bytes | str, bytes] = {}
 
@@ -92,7 +121,9 @@ class Encoder:
             known[piece] = array("I", got.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.kind == "spaces" and self.cut is not None and "<" in text:
+        if self.whole:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.kind == "spaces" and self.cut is not None and any(c in text for c in self.firsts):
             parts = self.cut.split(text)
             if len(parts) > 1:
                 return b"".join(self.special.get(x) or self.plain(x) for x in parts if x)

@@ -340,6 +340,38 @@ def test_mix(odd):
     assert bag(rows, ["doc_id", "taken"]) == bag(rows_of(mixture.mix(odd.repartition(7))), ["doc_id", "taken"])
 
 
+def test_many_sources_are_ranked(spark):
+    names = [f"s{k:04d}" for k in range(500)] + ["é", "z" * 50, "", None]
+    got = mixture.ranked(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)).collect()
+    assert [x.source for x in sorted(got, key=lambda x: x["rank"])] == sorted(n for n in names if n is not None) + [None] and [x["rank"] for x in sorted(got, key=lambda x: x["rank"])] == list(range(len(names)))
+
+
+def test_long_texts(spark, docs_schema):
+    """Texts of over a megabyte beside short ones, through every operator, against the plain versions."""
+    import random
+
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    long = " ".join(r.choice(vocabulary) + "." * (r.random() < 0.1) + "\n" * (r.random() < 0.05) for _ in range(200_000))
+    middle = long.split("\n")[40]
+    texts = [long, long[: len(long) // 2] + " mit license " + long[len(long) // 2 :], "x" * 1_200_000, middle * 3, "short"]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], docs_schema)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in blockdedup.remove_repeats(df).collect()} == dict(enumerate(cut_repeats(texts)))
+    assert bag(rows_of(simhash.near_duplicates(df)), ["doc_id", "fingerprint", "component_id"]) == Counter(classes([(k, fingerprint(t)) for k, t in enumerate(texts)]))
+    assert {x["doc_id"]: x["component_id"] for x in rows_of(simhash.near_duplicates(df, shingle=5, similarity=0.8))} == dict(enumerate(alike(texts))) and alike(texts)[1] == 0
+    ids = ids_of("byte_bpe_50k.json", texts)
+    assert {x["doc_id"]: x["n_tokens"] for x in rows_of(tokcount.token_counts(df))} == {k: len(i) for k, i in enumerate(ids)}
+    pieces = sorted(rows_of(packing.pack(df)), key=lambda x: (x["doc_id"], x["start"]))
+    for k, i in enumerate(ids):
+        assert np.concatenate([np.frombuffer(x["ids"], "<u4") for x in pieces if x["doc_id"] == k]).tolist() == [*i, 0]
+    words = [i + [2] for i in ids_of("word_bpe_49k.json", texts)]
+    assert {x["doc_id"]: (x["n_tokens"], x["ids_crc32"]) for x in rows_of(idpack.read_ids(*idpack.write_ids(df, shards=2)))} == {k: (len(i), crc(i)) for k, i in enumerate(words)}
+    assert {x["doc_id"]: x["size"] for x in rows_of(mixture.mix(df))} == {k: len(WORD.findall(t)) for k, t in enumerate(texts)} == {x["doc_id"]: x["n_words"] for x in rows_of(linefreq.judge(df))}
+    assert {x["doc_id"]: x["payload_sha256"] for x in rows_of(interleave.of_documents(df))} == {k: hashlib.sha256(t.encode() + b" " * (-len(t.encode()) % 192)).hexdigest() for k, t in enumerate(texts)}
+    got = {x["doc_id"]: x for x in rows_of(licenses.scan(df))}
+    assert [got[k]["labels"] for k in range(5)] == ["", "mit", "", "", ""] and got[1]["n_base"] == 1
+
+
 def test_token_counts(odd):
     rows = rows_of(odd)
     ids = ids_of("byte_bpe_50k.json", [r["text"] or "" for r in rows])
