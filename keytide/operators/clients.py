@@ -78,6 +78,12 @@ def with_asking(log: DataFrame, client: str = "client", order: str = "arrival")
     return log.withColumn("asking", F.coalesce(previous == "ASKING", F.lit(False)))
 
 
+def asking_entries(judged: DataFrame, client: str = "client", order: str = "arrival") -> DataFrame:
+    """(client, txn, asking) of transactions (transactions() of a log): an entry asks where one of its commands was sent right after ASKING."""
+    sent = with_asking(judged, client, order)
+    return sent.where("txn is not null and role in ('begin', 'queued')").groupBy(client, "txn").agg(F.bool_or("asking").alias("asking"))
+
+
 def lock_intervals(events: DataFrame) -> DataFrame:
     """(key, locked, unlocked) from (idx, key, event LOCK | UNLOCK): from each first LOCK to the next UNLOCK (null: still held)."""
     by = W.partitionBy("key").orderBy("idx")

@@ -114,6 +114,11 @@ def fsync_metrics(times: DataFrame, value: str = "micros") -> DataFrame:
     return times.agg(n.alias("count"), total.alias("total"), F.coalesce(F.max(value), F.lit(0)).alias("max"), average.cast("long").alias("average"))
 
 
+def cache_bytes(cache: DataFrame, by: str, size: Column, overhead: int = 56) -> DataFrame:
+    """(by, n, cached): entries of a cache and the bytes they take, an entry's own and its data's."""
+    return cache.groupBy(by).agg(F.count("*").alias("n"), F.sum(size.cast("long") + overhead).alias("cached"))
+
+
 def quorum_index(matches: DataFrame, group: str = "group_id") -> DataFrame:
     """(group, committed): the largest index that a majority of nodes holds; nodes of a group are few."""
     held = F.sort_array(F.collect_list("match_idx"), asc=False)

@@ -187,6 +187,18 @@ def as_of(events: DataFrame, configs: DataFrame, value: str = "config") -> DataF
     return found.where("__e = 1").select("idx", F.col("__found").alias(value))
 
 
+def scan_page(keys: DataFrame, wanted: DataFrame, cursor: str = "", count: int = 1000) -> DataFrame:
+    """(cursor, keys): a page of a scan of keys (key, slot) in byte order after a cursor, with the keys in wanted slots (slot) as 'key slot'.
+
+    The page is cut before slots are looked at, so it may be empty while keys follow; the cursor is its last key, or empty at the end.
+    """
+    page = keys.where(F.col("key") > cursor).orderBy("key").limit(count + 1).select("key", "slot", F.row_number().over(W.orderBy("key")).alias("__k"))
+    held = page.join(F.broadcast(wanted.select("slot").distinct().withColumn("__w", F.lit(True))), "slot", "left")
+    shown = F.array_sort(F.collect_list(F.when(F.col("__w") & (F.col("__k") <= count), F.struct("key", "slot"))))
+    last = F.max(F.when(F.col("__k") <= count, F.col("key")))
+    return held.agg(F.when(F.max("__k") > count, last).otherwise("").alias("cursor"), F.transform(shown, lambda x: F.concat_ws(" ", x["key"], x["slot"])).alias("keys"))
+
+
 # log entries that change the topology
 
 

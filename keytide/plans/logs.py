@@ -94,8 +94,8 @@ def fsync_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("SELECT event_type AS cmd, count(*) AS n, CAST(sum(strlen(props) + 56) AS BIGINT) AS cached FROM events GROUP BY 1")
 def info_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    return e.groupBy(F.col("event_type").alias("cmd")).agg(F.count("*").alias("n"), F.sum(F.octet_length("props").cast("long") + 56).alias("cached"))
+    e = table(spark, sf, "events").withColumnRenamed("event_type", "cmd")
+    return logops.cache_bytes(e, "cmd", F.octet_length("props"))
 
 
 @R.add("SELECT l_orderkey AS v, CASE WHEN length(CAST(l_orderkey AS VARCHAR)) > 7 THEN 22 ELSE length(CAST(l_orderkey AS VARCHAR)) + 2 END AS n FROM lineitem")

@@ -289,3 +289,19 @@ def import_payload(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.array(F.struct(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("payload")))
     payload = codecs.import_column(F.col("c_custkey") % 9 + 1, F.col("c_nationkey"), entries)
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), F.decode(payload, "UTF-8").alias("text"))
+
+
+@R.add(f"""WITH k AS (SELECT c_name AS key, CAST({SLOT_SQL.format(k='c_name')} AS INTEGER) AS slot, row_number() OVER (ORDER BY c_name) AS r FROM customer WHERE c_name > 'Customer#000000020')
+SELECT CASE WHEN max(r) > 100 THEN max(CASE WHEN r <= 100 THEN key END) ELSE '' END AS cursor, string_agg(key || ' ' || slot, ',' ORDER BY key) FILTER (r <= 100 AND slot < 8000) AS keys FROM k""")
+def scan_slots_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a hundred keys after a cursor, of which those in the first 8000 slots are shown."""
+    keys = table(spark, sf, "customer").select(F.col("c_name").alias("key"), _slot(F.col("c_name")).alias("slot"))
+    wanted = spark.range(8000).select(F.col("id").cast("int").alias("slot"))
+    return topology.scan_page(keys, wanted, "Customer#000000020", 100).select("cursor", F.array_join("keys", ",").alias("keys"))
+
+
+@R.add("SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey * 90 - 100 BETWEEN 0 AND 16383 AND l_partkey * 90 BETWEEN 0 AND 16383 AND l_linenumber IN (1, 2, 3) AND l_suppkey - 2 >= 0 AS good FROM lineitem")
+def slot_range_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges, types and session keys, many of them out of bounds."""
+    end = F.col("l_partkey") * 90
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), topology.valid_range(end - 100, end, F.col("l_linenumber"), F.col("l_suppkey") - 2).alias("good"))

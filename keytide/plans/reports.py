@@ -345,3 +345,15 @@ def waiters_cancelled(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "events").where("event_id % 97 = 0").select(F.col("event_id").alias("idx"))
     served = waits.where("idx % 3 = 0").select(F.col("idx").alias("waiter"), (F.col("idx") + 40).alias("served_by"), F.concat(F.lit("v"), "idx").alias("value"))
     return clients.cancel(waits, terms, served)
+
+
+_TXN = {"signup": "MULTI", "click": "SET", "view": "ASKING", "purchase": "EXEC", "error": "GET"}
+
+
+@R.add(f"""WITH {log_sql(_TXN)}, s AS (SELECT *, coalesce(sum(CASE WHEN cmd = 'EXEC' THEN 1 ELSE 0 END) OVER (PARTITION BY client ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg, coalesce(lag(cmd) OVER (PARTITION BY client ORDER BY idx) = 'ASKING', false) AS asks FROM log),
+o AS (SELECT *, min(CASE WHEN cmd = 'MULTI' THEN idx END) OVER (PARTITION BY client, seg) AS opened FROM s)
+SELECT client, CAST(seg AS BIGINT) AS txn, bool_or(asks) AS asking FROM o WHERE idx >= opened AND cmd <> 'EXEC' AND (cmd <> 'MULTI' OR idx = opened) GROUP BY 1, 2""")
+def txn_asking(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions that ask: ASKING before one of their commands."""
+    entries = log(spark, sf, _TXN).select("client", F.col("idx").alias("arrival"), "cmd")
+    return clients.asking_entries(clients.transactions(entries))
