@@ -24,6 +24,7 @@ occur. Rows of one fingerprint are one class; null ids are compared last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,7 @@ def components(pairs: DataFrame, ties: DataFrame | None = None) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, segments: int = 32,
-    distance: int = 2, heavy: int = 2048, similarity: float | None = None, bands: int = 32, rows: int = 8, keep_rows: bool = False,
+    distance: int = 2, heavy: int = 2048, similarity: float | None = None, bands: int = 20, rows: int = 6, keep_rows: bool = False,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), and `rid` with keep_rows.
 
@@ -193,8 +194,8 @@ def near_duplicates(
         classes, _ = stored(marked.groupBy("fp").agg(smallest).withColumn("cid", F.col("fp")), "classes")
         found, by = components(*links(classes.select("fp"), segments, distance, heavy)), "fp"
     else:
-        both = with_fingerprints(docs, [*keep, docs[text_col].cast("string").alias("__text")], docs[text_col], shingle, seed)
-        marked, _ = stored(similar.with_signatures(both, [F.col("rid"), F.col("doc_id"), F.col("fp")], F.col("__text"), shingle, bands, rows, seed, _UPPER), "fingerprints", "lz4")
+        signed = similar.with_signatures(docs, keep, docs[text_col], partial(fingerprint, shingle=shingle, seed=seed), shingle, bands, rows, seed, _UPPER)
+        marked, _ = stored(signed, "fingerprints", "lz4")
         named = marked.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id())
         classes, _ = stored(named, "classes")
         found, by = _similar(classes, marked, segments, distance, heavy, similarity), "key"

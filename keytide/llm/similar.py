@@ -3,16 +3,17 @@
 SimHash fingerprints within 2 of 64 bits miss most pairs at a Jaccard similarity of 0.8 (there they differ in 10 bits on average,
 where segment counts prune nothing), so they are joined by a second search: `bands` keys a text, each the hash of `rows`
 minima of its shingles under seeded hashes. A pair at similarity s shares a key with chance 1 - (1 - s^rows)^bands:
-0.997 at 0.8 and over 0.9999 from 0.85 on, with 32 bands of 8. Whatever is found is compared exactly, set against set.
+0.998 at 0.8 and over 0.9999 from 0.85 on, with 20 bands of 6. Whatever is found is compared exactly, set against set.
 
 Pairs inside a bucket are never listed. In each round every component of a bucket is stood for by one of its texts, chosen
-by a hash of the round, and compared with the bucket's hub, chosen likewise; what is alike becomes one component. Texts of a
-crowd are so compared a few times each, not with each other; rounds end when nothing is left to compare, or when two in a row bring no link.
+by a hash of the round, and compared with HUBS texts of the bucket's largest component and with one of another, chosen likewise; what is
+alike becomes one component. Texts of a crowd are so compared a few times each, not with each other; rounds end when nothing is
+left to compare, or when two in a row bring no link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from keytide.llm.common import stored
 
 #: Bytes of a shingle's hash in a stored set, and shingles hashed at once.
 WIDTH = 6
-CHUNK = 1 << 10
+CHUNK = 1 << 9
+HUBS = 3
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -38,21 +40,27 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
 
 def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+    return r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def band_keys(grams: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """A key a band, as signed longs; none without shingles."""
+    """A key a band, as signed longs; none without shingles. Minima of 32 bits are enough, for they only bring candidates."""
     if not len(grams):
         return []
     a, b = seeds
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        mixed = (grams ^ (grams >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
-        for at in range(0, len(grams), CHUNK):
-            np.minimum(least, (mixed[at : at + CHUNK, None] * a + b).min(axis=0), out=least)
-    raw = least.astype("<u8").tobytes()
-    return [xxhash.xxh3_64_intdigest(raw[8 * rows * k : 8 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
+        mixed = ((grams ^ (grams >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(mixed), CHUNK):
+            held = mixed[at : at + CHUNK, None] * a
+            held += b
+            # the product's low bits follow the low bits of the hash alone, so high bits are turned into them
+            held ^= held >> np.uint32(15)
+            held *= np.uint32(0x2C1B3C6D)
+            held ^= held >> np.uint32(12)
+            np.minimum(least, held.min(axis=0), out=least)
+    raw = least.astype("<u4").tobytes()
+    return [xxhash.xxh3_64_intdigest(raw[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -70,32 +78,34 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def _signatures(shingle: int, bands: int, rows: int, seed: int, upper: bytes):
+def _signatures(fingerprint: Callable[[list[bytes]], int], shingle: int, bands: int, rows: int, seed: int, upper: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(bands * rows, seed)
         for batch in batches:
             rest = [c for c in batch.schema.names if c != "text"]
             # few texts at a time, so that a batch of long ones stays small
             for at in range(0, batch.num_rows, 256):
-                part, names, keys, sets = batch.slice(at, 256), [], [], []
+                part, names, keys, sets, fps = batch.slice(at, 256), [], [], [], []
                 for x in part.column("text").cast(pa.large_binary()).to_pylist():
                     words = (x or b"").translate(upper).split()
                     grams = shingles(words, shingle)
                     names.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                     keys.append(band_keys(grams, bands, rows, seeds))
                     sets.append(packed(grams))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [*rest, "key", "bands", "grams"])
+                    fps.append(fingerprint(words))
+                signed = pa.array(np.array(fps, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], signed, pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [*rest, "fp", "key", "bands", "grams"])
 
     return run
 
 
-def with_signatures(docs: DataFrame, keep: list[Column], text: Column, shingle: int, bands: int, rows: int, seed: int, upper: bytes) -> DataFrame:
-    """The columns of keep, key (of the words, lower-cased), bands and grams."""
+def with_signatures(docs: DataFrame, keep: list[Column], text: Column, fingerprint: Callable[[list[bytes]], int], shingle: int, bands: int, rows: int, seed: int, upper: bytes) -> DataFrame:
+    """The columns of keep, fp (fingerprint of the words), key (of the words, lower-cased), bands and grams: one pass over the text."""
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     narrow = docs.select(*keep, text.cast("string").alias("text"))
-    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("key", "string").add("bands", ArrayType(LongType())).add("grams", "binary")
-    return narrow.mapInArrow(_signatures(shingle, bands, rows, seed, upper), schema)
+    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("fp", "long").add("key", "string").add("bands", ArrayType(LongType())).add("grams", "binary")
+    return narrow.mapInArrow(_signatures(fingerprint, shingle, bands, rows, seed, upper), schema)
 
 
 def _alike(similarity: float):
@@ -128,10 +138,14 @@ def linked(members: DataFrame, sets: DataFrame, first: DataFrame, similarity: fl
     labels, turn, idle = components(links), 0, 0
     while idle < 2:
         held = members.join(labels.select(F.col("node").alias("cid"), "root").hint("merge"), "cid", "left").select("h", "cid", F.coalesce("root", "cid").alias("root"))
-        stands = held.groupBy("h", "root").agg(F.min_by("cid", _chance("cid", turn)).alias("rep"))
-        stands, _ = stored(stands, "stands")
-        hubs = stands.groupBy("h").agg(F.min_by(F.struct("root", "rep"), _chance("root", turn)).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        asked = stands.join(hubs.select("h", "hub").hint("merge"), "h").where(F.col("root") != F.col("hub.root")).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
+        reps = [F.min_by("cid", _chance("cid", turn * HUBS + k)) for k in range(HUBS)]
+        stands, _ = stored(held.groupBy("h", "root").agg(F.array_distinct(F.array(*reps)).alias("reps"), F.count("*").alias("n")), "stands")
+        best = F.max_by(F.struct("root", "reps"), F.struct("n", F.xxhash64(F.lit(turn), "root"), "root")).alias("best")
+        other = F.min_by(F.struct("root", "reps"), _chance("root", turn)).alias("other")
+        hubs = stands.groupBy("h").agg(best, other, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        facing = F.when(F.col("root") != F.col("best.root"), F.col("best.reps")).otherwise(F.array().cast("array<long>"))
+        facing = F.concat(facing, F.when(F.col("root") != F.col("other.root"), F.slice("other.reps", 1, 1)).otherwise(F.array().cast("array<long>")))
+        asked = stands.join(hubs.select("h", "best", "other").hint("merge"), "h").select(F.get("reps", F.lit(0)).alias("a"), F.explode(facing).alias("b"))
         new, _ = stored(ordered(asked).join(tested.hint("merge"), ["a", "b"], "left_anti"), "asked")
         if new.isEmpty():
             break

@@ -57,47 +57,50 @@ def test_clashing_columns(name, odd, clashing):
     assert Counter(map(str, plain.drop(*drop).collect())) == Counter(map(str, other.drop(*drop).collect()))
 
 
-def test_quality_counts(odd):
-    def counts(text):
-        w = WORD.findall(text or "")
-        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-        windows = defaultdict(list)
-        for i in range(len(w) - 4):
-            windows[tuple(w[i : i + 5])].append(i)
-        again = {i + k for v in windows.values() if len(v) > 1 for i in v for k in range(5)}
-        n = len(w)
-        return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), n < 10 or 100 * len(again) > 20 * n
+def base_counts(text):
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = defaultdict(list)
+    for i in range(len(w) - 4):
+        windows[tuple(w[i : i + 5])].append(i)
+    again = {i + k for v in windows.values() if len(v) > 1 for i in v for k in range(5)}
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), n < 10 or 100 * len(again) > 20 * n
+
+
+def plain_quality(rows, copies_once):
+    """(n_frequent_lines, n_words_left, kept, clean text) of each row, by dictionaries."""
+    norm = lambda x: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x.lower()).strip(" ")
+    held, total = defaultdict(set), defaultdict(set)
+    for k, r in enumerate(rows):
+        document = (r["text"] or "") if copies_once else k
+        total[r["source"]].add(document)
+        for line in filter(None, map(norm, (r["text"] or "").split("\n"))):
+            held[r["source"], line].add(document)
+    out = []
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        gone = [bool(norm(x)) and len(held[r["source"], norm(x)]) > max(5, 0.05 * len(total[r["source"]])) for x in lines]
+        n, *_, failed = base_counts(r["text"])
+        left = n - sum(len(norm(x).split(" ")) for x, g in zip(lines, gone) if g)
+        clean = r["text"] if not any(gone) else "\n".join(x for x, g in zip(lines, gone) if not g)
+        out.append((sum(gone), left, not failed and not (any(gone) and (left < 10 or left < 0.3 * n)), clean))
+    return out
 
+
+def test_quality_counts(odd):
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = rows_of(linefreq.judge(odd))
-    assert bag(got, names) == Counter((r["doc_id"], *counts(r["text"])) for r in rows_of(odd))
+    assert bag(got, names) == Counter((r["doc_id"], *base_counts(r["text"])) for r in rows_of(odd))
 
 
 @pytest.mark.parametrize("copies_once", [True, False])
 def test_frequent_lines(odd, copies_once):
-    texts = {r["doc_id"]: r["text"] for r in rows_of(odd)}
-    hosts = {r["doc_id"]: r["source"] for r in rows_of(odd)}
-    norm = lambda x: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x.lower()).strip(" ")
-    held, total = defaultdict(set), defaultdict(set)
-    for k, r in enumerate(rows_of(odd)):
-        document = (r["text"] or "") if copies_once else k
-        total[r["source"]].add(document)
-        for line in map(norm, (r["text"] or "").split("\n")):
-            if line:
-                held[r["source"], line].add(document)
-    cut = lambda d, x: len(held.get((hosts[d], norm(x)), ())) > max(5, 0.05 * len(total[hosts[d]]))
-    for r in rows_of(linefreq.judge(odd, copies_once=copies_once, keep_rows=True)):
-        d = r["doc_id"]
-        if d is None:
-            continue
-        lines = (texts[d] or "").split("\n")
-        gone = [x for x in lines if norm(x) and cut(d, x)]
-        left = r["n_words"] - sum(len(norm(x).split(" ")) for x in gone)
-        assert (r["n_frequent_lines"], r["n_words_left"]) == (len(gone), left)
-        assert r["kept"] == (not r["base_failed"] and not (gone and (left < 10 or left < 0.3 * r["n_words"])))
-        assert r["clean_text"] == (texts[d] if not gone else "\n".join(x for x in lines if x not in gone))
-        assert r["row"]["doc_id"] == d
-    assert sum(r["n_frequent_lines"] for r in rows_of(linefreq.judge(odd, copies_once=copies_once))) >= 12
+    rows = rows_of(odd)
+    want = Counter((r["doc_id"], *x) for r, x in zip(rows, plain_quality(rows, copies_once)))
+    got = rows_of(linefreq.judge(odd, copies_once=copies_once, keep_rows=True))
+    assert bag(got, ["doc_id", "n_frequent_lines", "n_words_left", "kept", "clean_text"]) == want and all(r["row"]["doc_id"] == r["doc_id"] for r in got)
+    assert sum(r["n_frequent_lines"] for r in got) >= 12
 
 
 def fingerprint(text):

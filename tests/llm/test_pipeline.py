@@ -4,16 +4,15 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from test_documents import WORD, alike, ids_of, rows_of
+from test_documents import WORD, alike, ids_of, plain_quality, rows_of
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from keytide.llm import linefreq
 
 
-def plain_pipeline(rows, judged):
-    """(doc_id, ids) of what is packed. judged: kept and clean text by (doc_id, text), which test_documents holds against brute force."""
-    rows = [r | {"text": judged[r["doc_id"], r["text"]][1]} for r in rows if judged[r["doc_id"], r["text"]][0]]
+def plain_pipeline(rows):
+    """(doc_id, ids) of what is packed, without any code of the package."""
+    rows = [r | {"text": clean} for r, (_, _, kept, clean) in zip(rows, plain_quality(rows, True)) if kept]
     first = {}
     for r, c in zip(rows, alike([r["text"] for r in rows])):
         if c not in first or r["doc_id"] < first[c]["doc_id"]:
@@ -64,8 +63,7 @@ def plain_pipeline(rows, judged):
 def test_pipeline(spark, odd, tmp_path):
     docs = odd.where("doc_id is not null").coalesce(2)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    judged = {(r["row"]["doc_id"], r["row"]["text"]): (r["kept"], r["clean_text"]) for r in rows_of(linefreq.judge(docs, copies_once=True, keep_rows=True))}
-    want = plain_pipeline(rows_of(docs), judged)
+    want = plain_pipeline(rows_of(docs))
     parts = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     sequences = defaultdict(list)
     for r in parts:
