@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.operators.logops import BUCKET, _meet, last_before, running_sum
+from keytide.operators.logops import AT, BUCKET, bucketed, last_before, running_sum
 
 DELETES = ("DEL", "UNLINK")
 
@@ -23,11 +23,10 @@ def after_last(changes: DataFrame, keys: list[str], barrier: Column, inclusive:
 
     The barrier goes to a row a key and bucket, and from there to the changes, so a hot key's changes are joined bucket by bucket.
     """
-    at = [*keys, "__b"]
-    rows = changes.withColumn("__b", F.floor(F.col("idx") / width))
-    ends = rows.groupBy(*at).agg(F.max(F.when(barrier, F.col("idx"))).alias("__l")).withColumn("__last", F.max("__l").over(W.partitionBy(*keys))).drop("__l")
+    rows = bucketed(changes, "idx", tuple(keys), width)
+    ends = rows.groupBy(*AT).agg(F.max(F.when(barrier, F.col("idx"))).alias("__l")).withColumn("__last", F.max("__l").over(W.partitionBy("__k"))).drop("__l")
     kept = F.col("__last").isNull() | ((F.col("idx") >= F.col("__last")) if inclusive else (F.col("idx") > F.col("__last")))
-    return _meet(rows, ends, at).where(kept).drop("__last", "__b")
+    return rows.join(ends, AT).where(kept).drop(*AT, "__last")
 
 
 def step(cmd: Column, num: Column) -> Column:

@@ -13,63 +13,59 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 16
 
 
-def _bucket(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / width)
+#: Columns by which rows and the sums of their bucket meet: the keys as one struct, in which nulls are equal, and the bucket.
+AT = ["__k", "__b"]
 
 
-def running_sum(log: DataFrame, value: Column, out: str, order: str = "idx", inclusive: bool = True, keys: tuple[str, ...] = (), total: str | None = None, width: int = BUCKET) -> DataFrame:
+def bucketed(log: DataFrame, order: str, keys: tuple[str, ...], width: int) -> DataFrame:
+    return log.withColumn("__k", F.struct(F.lit(0).alias("all"), *[F.col(k) for k in keys])).withColumn("__b", F.floor(F.col(order) / width))
+
+
+def running_sum(
+    log: DataFrame, value: Column, out: str, order: str = "idx", inclusive: bool = True, keys: tuple[str, ...] = (), total: str | None = None, levels: int = 1, width: int = BUCKET,
+) -> DataFrame:
     """log with the sum of value over rows of its keys up to its own (or before it), by order; with total, also the sum of all.
 
-    Only rows of one bucket of `width` places meet in a task, whatever key they have; the sums of buckets are a row a key and bucket.
+    Only rows of one bucket of `width` places meet in a task, whatever key they have, and rows are shuffled once. The sums of buckets,
+    a row a key and bucket, are added up by key: one task for width * width places of a key, and again by buckets with more levels.
     """
-    at = [*keys, "__b"]
-    rows = log.withColumn("__b", _bucket(order, width)).withColumn("__v", value)
-    sums = rows.groupBy(*at).agg(F.sum("__v").alias("__s"))
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = sums.withColumn("__base", F.coalesce(F.sum("__s").over(over.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    if total:
-        before = before.withColumn(total, F.sum("__s").over(over))
-    inside = F.sum("__v").over(W.partitionBy(*at).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    summed = _meet(rows.withColumn("__in", F.coalesce(inside, F.lit(0))), before.drop("__s"), at)
+    rows = bucketed(log, order, keys, width).withColumn("__v", value)
+    sums = rows.groupBy(*AT).agg(F.sum("__v").alias("__s"))
+    over = W.partitionBy("__k")
+    if levels > 1:
+        held = sums.select(F.col("__k").alias("__key"), F.col("__b").alias("__place"), "__s")
+        before = running_sum(held, F.col("__s"), "__base", "__place", False, ("__key",), "__total", levels - 1, width=width).select(F.col("__key").alias("__k"), F.col("__place").alias("__b"), "__base", F.col("__total"))
+    else:
+        before = sums.select(*AT, F.coalesce(F.sum("__s").over(over.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__s").over(over).alias("__total"))
+    inside = F.sum("__v").over(W.partitionBy(*AT).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    summed = rows.withColumn("__in", F.coalesce(inside, F.lit(0))).join(before, AT)
     gone = F.lit(0) if inclusive else F.coalesce("__v", F.lit(0))
-    return summed.withColumn(out, F.col("__base") + F.col("__in") - gone).drop("__b", "__v", "__base", "__in")
-
-
-def _meet(rows: DataFrame, buckets: DataFrame, at: list[str]) -> DataFrame:
-    """rows with the columns of their key and bucket; null keys meet too."""
-    renamed = buckets
-    for c in at:
-        renamed = renamed.withColumnRenamed(c, f"__m_{c}")
-    same = F.lit(True)
-    for c in at:
-        same = same & F.col(c).eqNullSafe(F.col(f"__m_{c}"))
-    return rows.join(renamed, same).drop(*[f"__m_{c}" for c in at])
+    found = summed.withColumn(out, F.col("__base") + F.col("__in") - gone)
+    return (found.withColumn(total, F.col("__total")) if total else found).drop(*AT, "__v", "__base", "__in", "__total")
 
 
 def last_before(log: DataFrame, flag: Column, value: Column, out: str, order: str = "idx", keys: tuple[str, ...] = (), width: int = BUCKET) -> DataFrame:
     """log with `out`: value at the last row before its own, of its keys, that is flagged (null: none). Two levels, as running_sum."""
-    at = [*keys, "__b"]
-    rows = log.withColumn("__b", _bucket(order, width)).withColumn("__v", F.when(flag, F.struct(value.alias("v"))))
-    ends = rows.groupBy(*at).agg(F.max_by("__v", F.when(flag, F.col(order))).alias("__l"))
-    over = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    rows = bucketed(log, order, keys, width).withColumn("__v", F.when(flag, F.struct(value.alias("v"))))
+    ends = rows.groupBy(*AT).agg(F.max_by("__v", F.when(flag, F.col(order))).alias("__l"))
+    over = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.withColumn("__carry", F.last("__l", True).over(over)).drop("__l")
-    inside = F.last("__v", True).over(W.partitionBy(*at).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return _meet(rows.withColumn("__in", inside), carried, at).withColumn(out, F.coalesce("__in", "__carry")["v"]).drop("__b", "__v", "__in", "__carry")
+    inside = F.last("__v", True).over(W.partitionBy(*AT).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("__in", inside).join(carried, AT).withColumn(out, F.coalesce("__in", "__carry")["v"]).drop(*AT, "__v", "__in", "__carry")
 
 
 def max_before(log: DataFrame, value: Column, out: str, order: str = "idx", keys: tuple[str, ...] = (), width: int = BUCKET) -> DataFrame:
     """log with the largest value of the rows of its keys before its own (null: none). Two levels, as running_sum."""
-    at = [*keys, "__b"]
-    rows = log.withColumn("__b", _bucket(order, width)).withColumn("__v", value)
-    over = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    carried = rows.groupBy(*at).agg(F.max("__v").alias("__l")).withColumn("__carry", F.max("__l").over(over)).drop("__l")
-    inside = F.max("__v").over(W.partitionBy(*at).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return _meet(rows.withColumn("__in", inside), carried, at).withColumn(out, F.greatest("__in", "__carry")).drop("__b", "__v", "__in", "__carry")
+    rows = bucketed(log, order, keys, width).withColumn("__v", value)
+    over = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(*AT).agg(F.max("__v").alias("__l")).withColumn("__carry", F.max("__l").over(over)).drop("__l")
+    inside = F.max("__v").over(W.partitionBy(*AT).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("__in", inside).join(carried, AT).withColumn(out, F.greatest("__in", "__carry")).drop(*AT, "__v", "__in", "__carry")
 
 
-def offsets(log: DataFrame, size: Column, header: int = 0) -> DataFrame:
-    """log with `offset`: where each record begins."""
-    return running_sum(log, size, "offset", inclusive=False).withColumn("offset", F.col("offset") + header)
+def offsets(log: DataFrame, size: Column, header: int = 0, levels: int = 1) -> DataFrame:
+    """log with `offset`: where each record begins. levels as in running_sum: 2 from some 10^9 entries on."""
+    return running_sum(log, size, "offset", inclusive=False, levels=levels).withColumn("offset", F.col("offset") + header)
 
 
 def batch_by_bytes(log: DataFrame, start: int, limit: int, size: str = "data_len") -> DataFrame:

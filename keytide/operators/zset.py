@@ -11,16 +11,28 @@ def order(reverse: bool = False) -> list[Column]:
     return [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")]
 
 
-def ranks(z: DataFrame, reverse: bool = False) -> DataFrame:
-    """z with rank from 0."""
-    return z.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*order(reverse))) - 1)
+def ranks(z: DataFrame, reverse: bool = False, bands: int = 64) -> DataFrame:
+    """z with rank from 0.
+
+    Members are counted by key and band of scores (`bands` to each doubling of the score), and ranked inside their band, so
+    a key that holds a third of all members is spread over its bands; members are shuffled once.
+    """
+    size = F.least(F.log2(F.abs(F.col("score").cast("double")) + 1), F.lit(1100.0)) * bands
+    banded = z.withColumn("__b", F.floor(F.when(F.col("score") < 0, -size).otherwise(size)))
+    counts = banded.groupBy("key", "__b").agg(F.count("*").alias("__n"))
+    over = W.partitionBy("key").orderBy(F.desc("__b") if reverse else F.asc("__b")).rowsBetween(W.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).drop("__n")
+    inside = F.row_number().over(W.partitionBy("key", "__b").orderBy(*order(reverse))) - 1
+    placed = banded.withColumn("__in", inside).join(before, ["key", "__b"])
+    return placed.select(*z.columns, (F.col("__before") + F.col("__in")).cast("int").alias("rank"))
 
 
 def page(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
-    """Members of ranks start..stop, both in, negative from the end. Non-negative bounds plan a group limit."""
-    ranked = ranks(z, reverse)
+    """Members of ranks start..stop, both in, negative from the end. Non-negative bounds plan a group limit, which cuts before the shuffle."""
     if start >= 0 and stop >= 0:
-        return ranked.where(F.col("rank").between(start, stop))
+        numbered = z.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*order(reverse))) - 1)
+        return numbered.where(F.col("rank").between(start, stop))
+    ranked = ranks(z, reverse)
     sizes = z.groupBy("key").agg(F.count("*").alias("__n"))
     bound = lambda v: F.col("__n") + v if v < 0 else F.lit(v)
     return ranked.join(sizes, "key").where((F.col("rank") >= bound(start)) & (F.col("rank") <= bound(stop))).drop("__n")
