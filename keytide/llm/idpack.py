@@ -147,11 +147,11 @@ def _write(folder: str, tokenizer: str, pieces: str, end: int, bits: int):
         system, root = fs.FileSystem.from_uri(folder)
         path, writer, ids_of = f"{root}/{shard:08d}-{uuid.uuid4().hex}.ids", None, encoder(tokenizer, pieces)
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode_all(batch.column("text"))):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     writer = Writer(system.open_output_stream(path, compression=None), bits)
-                writer.add(key, np.append(np.frombuffer(ids_of.encode(text or ""), "<u4"), np.uint32(end)))
+                writer.add(key, np.append(ids, np.uint32(end)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([path]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])

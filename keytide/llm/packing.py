@@ -51,24 +51,26 @@ def cut(places: np.ndarray, prices: np.ndarray, length: int = 1024) -> list[int]
     before, stops = _by_powers(places, length)
     where, price = places.tolist(), prices.tolist()
     n = len(where)
-    best, came = [0.0] * n, [0] * n
+    best, came = [0.0], [0]
     # numbers of places in the window with ascending cost + place, and that sum; the first is the window's minimum
     queue, keys, head = [0], [0.0], 0
     j, low_key, leaves = 0, 0.0, length
     c = stops[0]
-    for i in range(1, n):
-        at = where[i]
+    for i, (at, stop, fee) in enumerate(zip(where[1:], stops[1:], price[1:]), 1):
         while leaves < at:
             head += 1
             j, low_key = queue[head], keys[head]
             leaves = where[j] + length
-        low, source, stop = low_key + length - at, j, stops[i]
-        for k in before[c:stop]:
-            if best[k] < low:
-                low, source = best[k], k
-        c = stop
-        low += price[i]
-        best[i], came[i], key = low, source, low + at
+        low, source = low_key + length - at, j
+        if stop != c:
+            for k in before[c:stop]:
+                if best[k] < low:
+                    low, source = best[k], k
+            c = stop
+        low += fee
+        best.append(low)
+        came.append(source)
+        key = low + at
         while keys[-1] >= key:
             queue.pop()
             keys.pop()
@@ -124,13 +126,12 @@ def _packer(name: str, end: int, length: int, stride: int, sentence_price: float
             _tables[name] = _sentence_ids(name)
         ends_sentence, ids_of = _tables[name], encoder(name, "spaces")
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        stop = np.array([end], "<u4").tobytes()
 
         def packed(held: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
             """held: (doc_id, first id's place in the document, ids, ids of the whole document)."""
             nonlocal number
-            stream = np.frombuffer(b"".join(x[2] for x in held), "<u4")
-            edges = np.cumsum([len(x[2]) // 4 for x in held])
+            stream = np.concatenate([x[2] for x in held])
+            edges = np.cumsum([len(x[2]) for x in held])
             places, prices = candidates(edges, np.flatnonzero(ends_sentence[stream]) + 1, stride, sentence_price, cut_price)
             cuts = np.array(cut(places, prices, length))
             marks = _merged(cuts, [0], edges)
@@ -138,7 +139,7 @@ def _packer(name: str, end: int, length: int, stride: int, sentence_price: float
             doc, seq = np.searchsorted(edges, a, "right"), np.searchsorted(cuts, a, "right") - 1
             firsts = np.concatenate([[0], edges[:-1]])
             start = a - firsts[doc] + np.array([x[1] for x in held], np.int64)[doc]
-            raw = memoryview(stream.tobytes())
+            raw = memoryview(stream.astype("<u4").tobytes())
             spans = [raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())]
             columns = [pa.array([held[d][0] for d in doc], id_type), pa.array(start), pa.array(b - a), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
             columns += [pa.array(np.array([x[3] for x in held], np.int64)[doc]), pa.array(seq + number), pa.array(a - cuts[seq])]
@@ -151,12 +152,12 @@ def _packer(name: str, end: int, length: int, stride: int, sentence_price: float
         held, size, kind = [], 0, pa.int64()
         for batch in batches:
             kind = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_of.encode(text or "") + stop
-                total, at = len(ids) // 4, 0
+            for key, found in zip(batch.column(0).to_pylist(), ids_of.encode_all(batch.column(1))):
+                ids = np.append(found, np.uint32(end))
+                total, at = len(ids), 0
                 while at < total:
                     take = min(total - at, BLOCK - size)
-                    held.append((key, at, ids[4 * at : 4 * (at + take)], total))
+                    held.append((key, at, ids[at : at + take], total))
                     at, size = at + take, size + take
                     if size >= BLOCK:
                         yield packed(held, kind)

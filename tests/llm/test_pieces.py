@@ -27,15 +27,40 @@ def test_ids_by_pieces_are_the_librarys(name, pieces):
         assert list(np.frombuffer(own.encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids, text
 
 
-def test_a_full_cache_changes_nothing(monkeypatch):
+@pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", "spaces"), ("word_bpe_49k.json", "words")])
+def test_ids_of_many_texts_are_the_librarys(monkeypatch, name, pieces):
+    """Short texts of white space, marks and special strings, every run of up to five white spaces, and prose, by slices of 500 bytes."""
+    import itertools
+
+    from tokenizers import Tokenizer
+
+    from keytide.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 500)
+    r = random.Random(5)
+    spaces = [" ", "\n", "\t", "\x85", "\u3000", "\x1c"]
+    texts = odd_texts(3000) + ["".join(x) for n in range(1, 5) for x in itertools.product(["a", " ", "\n"], repeat=n)] + [f"a{''.join(x)}b" for n in range(1, 5) for x in itertools.product(spaces[:4], repeat=n)]
+    texts += ["".join(r.choice(["word", " ", " ", "  ", "\n", "é.", "<|endoftext|>", "'s", *spaces]) for _ in range(r.randint(0, 80))) for _ in range(400)] + [None, "", " ", "x" * 2000]
+    library = Tokenizer.from_file(vocabulary(name))
+    got = list(Encoder(name, pieces).encode_all(pa.array(texts)))
+    assert len(got) == len(texts)
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("pieces", ["spaces", "words"])
+def test_a_full_cache_changes_nothing(monkeypatch, pieces):
     from keytide.llm import tokens
 
+    name = {"spaces": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}[pieces]
     texts = odd_texts(400, 60)
-    plain = Encoder("byte_bpe_50k.json", "spaces")
+    plain = Encoder(name, pieces)
     want = [plain.encode(t) for t in texts]
     monkeypatch.setattr(tokens, "CACHE", 8)
-    small = Encoder("byte_bpe_50k.json", "spaces")
+    small = Encoder(name, pieces)
     assert [small.encode(t) for t in texts] == want
+    monkeypatch.setattr(tokens, "SLICE", 300)
+    assert [x.astype("<u4").tobytes() for x in small.encode_all(pa.array(texts))] == want
 
 
 @pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}])
