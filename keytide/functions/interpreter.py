@@ -7,6 +7,7 @@ of a slot. Keys, fields and values are text; replies are None, integers, text or
 from __future__ import annotations
 
 import inspect
+import json
 import math
 import random
 import re
@@ -974,5 +975,64 @@ def _bitfield(s: Store, key, *steps):
     return out
 
 
-#: Every command the store applies.
+#: Every command the store applies, and those that wait where there is nothing to pop.
 COMMANDS = frozenset(_ACTIONS)
+BLOCKING = frozenset(("BLPOP", "BRPOP", "BLMOVE", "BRPOPLPUSH", "BLMPOP", "BZPOPMIN", "BZPOPMAX", "BZMPOP"))
+
+
+class BlockingStore(Store):
+    """A store whose blocking commands wait, in order, until another command brings what they pop.
+
+    Timeouts are entries of the log: TIMEOUT idx ends a waiter with none, UNBLOCK idx with an error, TERM cancels all of them.
+    A command inside a transaction (its argument vector begins with MULTI) never waits.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[tuple[int, list[str]]] = []
+
+    def entry(self, idx: int, argv: list[str], now: int = 0) -> list[tuple[int, int, object]]:
+        """(index of the command, index of the entry that settled it, reply) of all that this entry settles."""
+        name = argv[0].upper()
+        if name in ("TIMEOUT", "UNBLOCK"):
+            ended = [w for w in self.waiting if w[0] == int(argv[1])]
+            self.waiting = [w for w in self.waiting if w[0] != int(argv[1])]
+            return [(i, idx, None if name == "TIMEOUT" else "UNBLOCKED client unblocked via CLIENT UNBLOCK") for i, _ in ended]
+        if name == "TERM":
+            ended, self.waiting = self.waiting, []
+            return [(i, idx, "CANCELLED") for i, _ in ended]
+        in_multi = name == "MULTI"
+        argv = argv[1:] if in_multi else argv
+        reply = self.apply(idx, argv, now)
+        if reply is None and argv[0].upper() in BLOCKING and not in_multi:
+            self.waiting.append((idx, argv))
+            return []
+        return [(idx, idx, reply), *self.serve(idx, now)]
+
+    def serve(self, idx: int, now: int) -> list[tuple[int, int, object]]:
+        out, at = [], 0
+        while at < len(self.waiting):
+            waiter, argv = self.waiting[at]
+            reply = self.apply(waiter, argv, now)
+            if reply is None:
+                at += 1
+            else:
+                # what it moved may be what an earlier one waits for
+                del self.waiting[at]
+                out.append((waiter, idx, reply))
+                at = 0
+        return out
+
+    def dump(self) -> str:
+        """Everything as text, for a state that outlives a batch."""
+        plain = {k: [kind, sorted(v) if isinstance(v, set) else v] for k, (kind, v) in self.data.items()}
+        return json.dumps({"data": plain, "expire": self.expire, "waiting": self.waiting})
+
+    @classmethod
+    def load(cls, text: str) -> BlockingStore:
+        found, store = json.loads(text), cls()
+        for k, (kind, v) in found["data"].items():
+            store.data[k] = (kind, set(v) if kind in ("set", "distinct") else {m: tuple(x) for m, x in v.items()} if kind == "geo" else v)
+        store.expire = found["expire"]
+        store.waiting = [(i, argv) for i, argv in found["waiting"]]
+        return store

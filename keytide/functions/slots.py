@@ -26,17 +26,14 @@ def hash_tag(key: Column) -> Column:
 
 
 def crc16(data: Column) -> Column:
-    """CRC-16 of a binary column, a table step a byte."""
+    """CRC-16 of a binary column, a table step a byte; read as Latin-1, each byte is a letter with its number as code."""
     table = F.lit(_crc16_table())
-    text = F.hex(data)
-    n = F.octet_length(data)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    letters = F.filter(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: c != "")
 
-    def step(crc: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFF00)).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(byte).bitwiseAND(F.lit(0xFF))))
+    def step(crc: Column, letter: Column) -> Column:
+        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFF00)).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(F.ascii(letter)).bitwiseAND(F.lit(0xFF))))
 
-    return F.aggregate(places, F.lit(0), step)
+    return F.aggregate(letters, F.lit(0), step)
 
 
 def hash_slot(key: Column) -> Column:

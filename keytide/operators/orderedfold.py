@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.functions.interpreter import Store
+from keytide.functions.interpreter import BlockingStore, Store
 
 
 def text_of(reply: object) -> str | None:
@@ -58,3 +58,28 @@ def fold(log: DataFrame, group: str = "slot") -> DataFrame:
 def replies(log: DataFrame, group: str = "slot") -> DataFrame:
     """(group, idx, reply): what each command answers."""
     return _dealt(log, group).mapInPandas(_run("replies"), "group string, idx long, reply string")
+
+
+def _settled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    group, store = None, BlockingStore()
+    columns = ["group", "idx", "settled_by", "reply"]
+
+    def waiting() -> pd.DataFrame:
+        return pd.DataFrame([(group, i, None, "WAITING") for i, _ in store.waiting], columns=columns)
+
+    for part in parts:
+        out = []
+        for g, idx, argv, now in zip(part["group"], part["idx"], part["argv"], part["now"]):
+            if g != group:
+                if store.waiting:
+                    yield waiting()
+                group, store = g, BlockingStore()
+            out += [(g, i, by, text_of(reply)) for i, by, reply in store.entry(int(idx), [str(x) for x in argv], int(now))]
+        yield pd.DataFrame(out, columns=columns)
+    if store.waiting:
+        yield waiting()
+
+
+def settled(log: DataFrame, group: str = "slot") -> DataFrame:
+    """(group, idx, settled_by, reply) of each command where blocking ones wait: the entry that settled it, or none and WAITING."""
+    return _dealt(log, group).mapInPandas(_settled, "group string, idx long, settled_by long, reply string")

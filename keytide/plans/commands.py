@@ -321,6 +321,30 @@ def brpoplpush(spark: SparkSession, sf: str) -> DataFrame:
     return replies.join(entries.where("cmd = 'POP'").select("idx"), "idx").select("idx", "reply")
 
 
+_BLOCK = _map(purchase="RPUSH", click="WAIT")
+#: Nothing times out, so the k-th waiter of a key gets its k-th element, when both are there.
+_BLOCK_SQL = f"""WITH {log_sql(_BLOCK)}, w AS (SELECT key, idx, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'WAIT'), p AS (SELECT key, idx AS at, value, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'RPUSH')
+SELECT w.idx, CASE WHEN at IS NULL THEN NULL ELSE greatest(w.idx, at) END AS settled_by, CASE WHEN at IS NULL THEN 'WAITING' ELSE @@ END AS reply FROM w LEFT JOIN p USING (key, k)"""
+
+
+def _blocked(spark: SparkSession, sf: str, argv: Column) -> DataFrame:
+    entries = log(spark, sf, _BLOCK).where("cmd in ('RPUSH', 'WAIT')")
+    argv = F.when(F.col("cmd") == "RPUSH", F.array("cmd", "key", "value")).otherwise(argv)
+    out = orderedfold.settled(entries.select("idx", "key", argv.alias("argv")), "key")
+    return out.join(entries.where("cmd = 'WAIT'").select("idx"), "idx").select("idx", "settled_by", "reply")
+
+
+@R.add(_BLOCK_SQL.replace("@@", "'[' || w.key || ',' || value || ']'"))
+def blpop_waits(spark: SparkSession, sf: str) -> DataFrame:
+    """Who waits for a list, which entry serves it, and with what."""
+    return _blocked(spark, sf, F.array(F.lit("BLPOP"), F.col("key"), F.lit("0")))
+
+
+@R.add(_BLOCK_SQL.replace("@@", "value"))
+def blmove_waits(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocked(spark, sf, F.array(F.lit("BLMOVE"), F.col("key"), F.concat(F.col("key"), F.lit("done")), F.lit("LEFT"), F.lit("RIGHT"), F.lit("0")))
+
+
 # sets: the types of events a user has
 
 _SETS_SQL = "s AS (SELECT DISTINCT 'e' || CAST(user_id % 50 AS VARCHAR) AS key, CAST(event_id % 400 AS VARCHAR) AS member FROM events)"

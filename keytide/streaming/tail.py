@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructType
 
+from keytide.functions.interpreter import BlockingStore
+from keytide.operators.orderedfold import text_of
+
 
 def apply_once(batch: DataFrame, applied: int) -> DataFrame:
     """Rows of a micro-batch that weren't applied before; for foreachBatch sinks that keep the last index with their state."""
@@ -41,6 +44,54 @@ def counters(log: DataFrame) -> DataFrame:
     return log.where(F.col("cmd").isin(*STEPS)).groupBy("key").applyInPandasWithState(step, "key string, idx long, value long", "value long", "update", GroupStateTimeout.NoTimeout)
 
 
+def settled(log: DataFrame) -> DataFrame:
+    """Stream of (group, idx, settled_by, reply) as commands (group, idx, argv) are settled, blocking ones by a later entry.
+
+    The state of a group, its waiters with it, is kept with the stream's checkpoint, so a restart goes on where it stopped.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        store = BlockingStore.load(state.get[0]) if state.exists else BlockingStore()
+        rows = pd.concat(list(parts)).sort_values("idx")
+        out = [(key[0], i, by, text_of(reply)) for idx, argv in zip(rows["idx"], rows["argv"]) for i, by, reply in store.entry(int(idx), [str(x) for x in argv])]
+        state.update((store.dump(),))
+        yield pd.DataFrame(out, columns=["group", "idx", "settled_by", "reply"])
+
+    return log.groupBy("group").applyInPandasWithState(step, "group string, idx long, settled_by long, reply string", "store string", "append", GroupStateTimeout.NoTimeout)
+
+
+class Sessions(StatefulProcessor):
+    """Per client: opens at WATCH, closes at END or at a NO_OP that is sent to every client; emits (client, opened, closed)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.opened = handle.getValueState("opened", StructType().add("idx", LongType()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("idx")
+        held = self.opened.get()
+        opened, out = held[0] if held is not None else None, []
+        for idx, event in zip(frame["idx"], frame["event"]):
+            if event == "WATCH":
+                opened = int(idx) if opened is None else opened
+            elif opened is not None:
+                out.append((key[0], opened, int(idx)))
+                opened = None
+        if opened is None:
+            self.opened.clear()
+        else:
+            self.opened.update((opened,))
+        yield pd.DataFrame(out, columns=["client", "opened", "closed"])
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """Stream of sessions (client, opened, closed) that have ended, from (client, idx, event); needs the RocksDB state store."""
+    schema = StructType().add("client", LongType()).add("opened", LongType()).add("closed", LongType())
+    return events.groupBy("client").transformWithStateInPandas(Sessions(), schema, "append", "none")
+
+
 class Waiters(StatefulProcessor):
     """Per key: waiting clients in order and elements in order; emits (key, waiter, served_by, value).
 

@@ -1,3 +1,4 @@
+from keytide.operators import orderedfold
 from keytide.operators.keyspace import Keyspace
 from keytide.streaming import tail
 
@@ -77,3 +78,52 @@ def test_messages_are_published_once(spark, tmp_path):
         finally:
             q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+BLOCKED = [
+    # two waiters on a list, then three pushes
+    ("a", 1, ["BLPOP", "x", "0"]), ("a", 2, ["BLPOP", "x", "0"]), ("a", 3, ["RPUSH", "x", "1"]), ("a", 4, ["RPUSH", "x", "2"]), ("a", 5, ["RPUSH", "x", "3"]), ("a", 6, ["LRANGE", "x", "0", "-1"]),
+    # two waiters on a sorted set that comes at once, from either end
+    ("b", 1, ["BZPOPMIN", "z", "0"]), ("b", 2, ["BZPOPMIN", "z", "0"]), ("b", 3, ["ZADD", "z", "0", "a", "1", "b", "2", "c"]), ("c", 1, ["BZPOPMAX", "z", "0"]), ("c", 2, ["BZPOPMAX", "z", "0"]), ("c", 3, ["ZADD", "z", "0", "a", "1", "b", "2", "c"]),
+    # the first waiter times out, one is unblocked, one is cancelled by a new term, one is served
+    ("d", 1, ["BLPOP", "x", "1"]), ("d", 2, ["BRPOP", "x", "0"]), ("d", 3, ["TIMEOUT", "1"]), ("d", 4, ["LPUSH", "x", "1"]), ("d", 5, ["BLPOP", "x", "0"]), ("d", 6, ["UNBLOCK", "5"]), ("d", 7, ["BLPOP", "x", "0"]), ("d", 8, ["TERM"]), ("d", 9, ["RPUSH", "x", "9"]),
+    # a move serves a waiter of its target, which came before; inside MULTI nothing waits
+    ("e", 1, ["BLPOP", "y", "0"]), ("e", 2, ["BLMOVE", "x", "y", "LEFT", "RIGHT", "0"]), ("e", 3, ["MULTI", "BLPOP", "x", "0"]), ("e", 4, ["RPUSH", "x", "7"]), ("e", 5, ["BZMPOP", "0", "1", "z", "MAX"]),
+]
+SETTLED = {
+    ("a", 1, 3, "[x,1]"), ("a", 2, 4, "[x,2]"), ("a", 6, 6, "[3]"), ("b", 1, 3, "[z,a,0]"), ("b", 2, 3, "[z,b,1]"), ("c", 1, 3, "[z,c,2]"), ("c", 2, 3, "[z,b,1]"), ("d", 1, 3, None), ("d", 2, 4, "[x,1]"),
+    ("d", 5, 6, "UNBLOCKED client unblocked via CLIENT UNBLOCK"), ("d", 7, 8, "CANCELLED"), ("e", 2, 4, "7"), ("e", 1, 4, "[y,7]"), ("e", 3, 3, None),
+}
+
+
+def blocked(spark):
+    return spark.createDataFrame(BLOCKED, "group string, idx long, argv array<string>")
+
+
+def test_blocking_commands_wait(spark):
+    got = {(r.group, r.idx, r.settled_by, r.reply) for r in orderedfold.settled(blocked(spark), "group").collect()}
+    assert SETTLED <= got and {g for g in got if g[3] == "WAITING"} == {("e", 5, None, "WAITING")}
+
+
+def test_waiters_outlive_a_restart(spark, tmp_path):
+    df = blocked(spark)
+    for k in range(0, 9, 2):
+        df.where(f"idx > {k} and idx <= {k + 2}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = tail.settled(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).outputMode("append").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    out = {(r.group, r.idx, r.settled_by, r.reply) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out == {(r.group, r.idx, r.settled_by, r.reply) for r in orderedfold.settled(df, "group").collect() if r.reply != "WAITING"}
+
+
+def test_sessions_stream(spark, tmp_path):
+    rows = [(1, 1, "WATCH"), (1, 3, "WATCH"), (2, 4, "WATCH"), (1, 5, "END"), (1, 6, "END"), (2, 7, "NO_OP"), (1, 7, "NO_OP"), (2, 8, "WATCH")]
+    df = spark.createDataFrame(rows, "client long, idx long, event string")
+    for k in (4, 8):
+        df.where(f"idx > {k - 4} and idx <= {k}").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    out = run(spark, tail.sessions(stream), "sessions_stream", "append")
+    assert {tuple(r) for r in out} == {(1, 1, 5), (2, 4, 7)}
