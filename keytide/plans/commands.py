@@ -323,8 +323,8 @@ def brpoplpush(spark: SparkSession, sf: str) -> DataFrame:
 
 _BLOCK = _map(purchase="RPUSH", click="WAIT")
 #: Nothing times out, so the k-th waiter of a key gets its k-th element, when both are there.
-_BLOCK_SQL = f"""WITH {log_sql(_BLOCK)}, w AS (SELECT key, idx, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'WAIT'), p AS (SELECT key, idx AS at, value, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'RPUSH')
-SELECT w.idx, CASE WHEN at IS NULL THEN NULL ELSE greatest(w.idx, at) END AS settled_by, CASE WHEN at IS NULL THEN 'WAITING' ELSE @@ END AS reply FROM w LEFT JOIN p USING (key, k)"""
+_BLOCK_SQL = f"""WITH {log_sql(_BLOCK)}, w AS (SELECT key, idx, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'WAIT'), p AS (SELECT key, idx AS pushed, value, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log WHERE cmd = 'RPUSH')
+SELECT w.idx, CASE WHEN pushed IS NULL THEN NULL ELSE greatest(w.idx, pushed) END AS settled_by, CASE WHEN pushed IS NULL THEN 'WAITING' ELSE @@ END AS reply FROM w LEFT JOIN p USING (key, k)"""
 
 
 def _blocked(spark: SparkSession, sf: str, argv: Column) -> DataFrame:
