@@ -196,9 +196,9 @@ def near_duplicates(
     else:
         signed = similar.with_signatures(docs, keep, docs[text_col], partial(fingerprint, shingle=shingle, seed=seed), shingle, bands, rows, seed, _UPPER)
         marked, _ = stored(signed, "fingerprints", "lz4")
-        named = marked.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id())
+        named = marked.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
         classes, _ = stored(named, "classes")
-        found, by = _similar(classes, marked, segments, distance, heavy, similarity), "key"
+        found, by = _similar(classes, marked, segments, distance, heavy, similarity, bands * rows), "key"
     rooted = classes.join(found.select(F.col("node").alias("cid"), "root").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     named = rooted.join(best.hint("merge"), "root").select(by, "best")
@@ -210,7 +210,7 @@ def near_duplicates(
     return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).hint("merge"), "rid")
 
 
-def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int, heavy: int, similarity: float) -> DataFrame:
+def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int, heavy: int, similarity: float, size: int) -> DataFrame:
     """(node, root) over classes (cid, key, fp, bands) of texts with the same words."""
     keyed = classes.select("cid", F.explode("bands").alias("h"))
     shared = keyed.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("h")
@@ -230,4 +230,4 @@ def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int
     asked = members.select("cid").unionByName(first.select(F.col("a").alias("cid"))).unionByName(first.select(F.col("b").alias("cid"))).distinct()
     wanted = classes.select("cid", "key").join(asked.hint("merge"), "cid", "left_semi")
     sets, _ = stored(marked.select("key", "grams").join(wanted.hint("merge"), "key").groupBy("cid").agg(F.first("grams").alias("grams")), "sets", "lz4")
-    return similar.linked(members, sets, first, similarity, components)
+    return similar.linked(members, classes.select("cid", "sketch"), sets, first, similarity, size, components)

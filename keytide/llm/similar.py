@@ -5,10 +5,11 @@ where segment counts prune nothing), so they are joined by a second search: `ban
 minima of its shingles under seeded hashes. A pair at similarity s shares a key with chance 1 - (1 - s^rows)^bands:
 0.998 at 0.8 and over 0.9999 from 0.85 on, with 20 bands of 6. Whatever is found is compared exactly, set against set.
 
-Pairs inside a bucket are never listed. In each round every component of a bucket is stood for by one of its texts, chosen
-by a hash of the round, and compared with HUBS texts of the bucket's largest component and with one of another, chosen likewise; what is
-alike becomes one component. Texts of a crowd are so compared a few times each, not with each other; rounds end when nothing is
-left to compare, or when two in a row bring no link.
+Pairs inside a bucket are never listed. A bucket holds its components, each with its number of texts and REPS of them, chosen by a hash of
+the bucket's own. In a round every component faces its bucket's largest one and one other; sketches (a byte of each minimum) leave out pairs whose
+similarity is below the wanted one by over four standard deviations, and of each two components that face each other the pair with the best
+sketches is compared exactly. What is alike becomes one component, so a crowd shrinks to one row a bucket. Rounds end when IDLE in
+a row bring no link.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from keytide.llm.common import stored
 #: Bytes of a shingle's hash in a stored set, and shingles hashed at once.
 WIDTH = 6
 CHUNK = 1 << 9
-HUBS = 3
+#: Texts that stand for a component in a bucket.
+REPS = 3
+#: Rounds in a row without a link after which the search ends.
+IDLE = 4
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -43,10 +47,10 @@ def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def band_keys(grams: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """A key a band, as signed longs; none without shingles. Minima of 32 bits are enough, for they only bring candidates."""
+def band_keys(grams: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], bytes]:
+    """A key a band, as signed longs, and the sketch; none without shingles. Minima of 32 bits are enough, for they only bring candidates."""
     if not len(grams):
-        return []
+        return [], b""
     a, b = seeds
     least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
@@ -60,7 +64,7 @@ def band_keys(grams: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarray,
             held ^= held >> np.uint32(12)
             np.minimum(least, held.min(axis=0), out=least)
     raw = least.astype("<u4").tobytes()
-    return [xxhash.xxh3_64_intdigest(raw[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
+    return [xxhash.xxh3_64_intdigest(raw[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)], raw[::4]
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -85,26 +89,29 @@ def _signatures(fingerprint: Callable[[list[bytes]], int], shingle: int, bands:
             rest = [c for c in batch.schema.names if c != "text"]
             # few texts at a time, so that a batch of long ones stays small
             for at in range(0, batch.num_rows, 256):
-                part, names, keys, sets, fps = batch.slice(at, 256), [], [], [], []
+                part, names, keys, sketches, sets, fps = batch.slice(at, 256), [], [], [], [], []
                 for x in part.column("text").cast(pa.large_binary()).to_pylist():
                     words = (x or b"").translate(upper).split()
                     grams = shingles(words, shingle)
                     names.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                    keys.append(band_keys(grams, bands, rows, seeds))
+                    found, sketch = band_keys(grams, bands, rows, seeds)
+                    keys.append(found)
+                    sketches.append(sketch)
                     sets.append(packed(grams))
                     fps.append(fingerprint(words))
                 signed = pa.array(np.array(fps, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], signed, pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [*rest, "fp", "key", "bands", "grams"])
+                columns = [signed, pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *columns], [*rest, "fp", "key", "bands", "sketch", "grams"])
 
     return run
 
 
 def with_signatures(docs: DataFrame, keep: list[Column], text: Column, fingerprint: Callable[[list[bytes]], int], shingle: int, bands: int, rows: int, seed: int, upper: bytes) -> DataFrame:
-    """The columns of keep, fp (fingerprint of the words), key (of the words, lower-cased), bands and grams: one pass over the text."""
+    """The columns of keep, fp (fingerprint of the words), key (of the words, lower-cased), bands, sketch and grams: one pass over the text."""
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     narrow = docs.select(*keep, text.cast("string").alias("text"))
-    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("fp", "long").add("key", "string").add("bands", ArrayType(LongType())).add("grams", "binary")
+    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("fp", "long").add("key", "string").add("bands", ArrayType(LongType())).add("sketch", "binary").add("grams", "binary")
     return narrow.mapInArrow(_signatures(fingerprint, shingle, bands, rows, seed, upper), schema)
 
 
@@ -130,32 +137,57 @@ def _chance(name: str, turn: int) -> Column:
     return F.struct(F.xxhash64(F.lit(turn), F.col(name)), F.col(name))
 
 
-def linked(members: DataFrame, sets: DataFrame, first: DataFrame, similarity: float, components) -> DataFrame:
-    """(node, root) of texts that are linked, directly or over others: members (h, cid) of buckets, and pairs (a, b) found otherwise."""
+def _promising(least: int):
+    """Pairs whose sketches agree in at least so many bytes, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            same = (x == y).sum(axis=1)
+            out = batch.select(["ra", "a", "rb", "b"]).append_column("same", pa.array(same, pa.int64()))
+            yield out.filter(pa.array(same >= least))
+
+    return run
+
+
+def linked(members: DataFrame, sketches: DataFrame, sets: DataFrame, first: DataFrame, similarity: float, size: int, components) -> DataFrame:
+    """(node, root) of texts that are linked, directly or over others: members (h, cid) of buckets, sketches (cid, sketch) of size bytes, and pairs (a, b) found otherwise."""
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    least = int(size * similarity - 4 * (size * similarity * (1 - similarity)) ** 0.5)
     tested, _ = stored(ordered(first), "tested")
     links, _ = stored(compared(tested, sets, similarity), "links")
-    labels, turn, idle = components(links), 0, 0
-    while idle < 2:
-        held = members.join(labels.select(F.col("node").alias("cid"), "root").hint("merge"), "cid", "left").select("h", "cid", F.coalesce("root", "cid").alias("root"))
-        reps = [F.min_by("cid", _chance("cid", turn * HUBS + k)) for k in range(HUBS)]
-        stands, _ = stored(held.groupBy("h", "root").agg(F.array_distinct(F.array(*reps)).alias("reps"), F.count("*").alias("n")), "stands")
+    one = F.struct(F.col("cid"), F.col("sketch"))
+    stands = members.join(sketches.hint("merge"), "cid").select("h", F.col("cid").alias("root"), F.array(one).alias("reps"), F.lit(1).cast("long").alias("n"))
+    joined, turn, idle = links, 0, 0
+    while True:
+        if turn == 0 or not joined.isEmpty():
+            # components that were linked become one in each bucket, with REPS of their texts
+            names = components(joined).select(F.col("node").alias("root"), F.col("root").alias("into"))
+            merged = stands.join(names.hint("merge"), "root", "left").select("h", F.coalesce("into", "root").alias("root"), F.get("reps", F.pmod(F.lit(turn), F.size("reps"))).alias("rep"), "n")
+            chosen = [F.min_by("rep", F.xxhash64(F.lit(turn * REPS + k), "h", F.col("rep.cid"))) for k in range(REPS)]
+            stands, _ = stored(merged.groupBy("h", "root").agg(F.array_distinct(F.array(*chosen)).alias("reps"), F.sum("n").alias("n")), "stands")
         best = F.max_by(F.struct("root", "reps"), F.struct("n", F.xxhash64(F.lit(turn), "root"), "root")).alias("best")
-        other = F.min_by(F.struct("root", "reps"), _chance("root", turn)).alias("other")
-        hubs = stands.groupBy("h").agg(best, other, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        facing = F.when(F.col("root") != F.col("best.root"), F.col("best.reps")).otherwise(F.array().cast("array<long>"))
-        facing = F.concat(facing, F.when(F.col("root") != F.col("other.root"), F.slice("other.reps", 1, 1)).otherwise(F.array().cast("array<long>")))
-        asked = stands.join(hubs.select("h", "best", "other").hint("merge"), "h").select(F.get("reps", F.lit(0)).alias("a"), F.explode(facing).alias("b"))
-        new, _ = stored(ordered(asked).join(tested.hint("merge"), ["a", "b"], "left_anti"), "asked")
-        if new.isEmpty():
-            break
-        found, _ = stored(compared(new, sets, similarity), "links")
-        tested, _ = stored(tested.unionByName(new), "tested")
-        if found.isEmpty():
-            idle += 1
-        else:
-            idle = 0
-            links, _ = stored(links.unionByName(found), "links")
-            labels = components(links)
+        other = F.min_by(F.struct("root", F.slice("reps", 1, 1).alias("reps")), _chance("root", turn)).alias("other")
+        hubs = stands.groupBy("h").agg(best, other, F.count("*").alias("m")).where("m > 1").drop("m")
+        faced = stands.join(hubs.hint("merge"), "h").select(
+            F.col("root").alias("ra"), F.get("reps", F.pmod(F.lit(turn), F.size("reps"))).alias("u"),
+            F.explode(F.flatten(F.transform(F.array("best", "other"), lambda o: F.transform(o["reps"], lambda r: F.struct(o["root"].alias("rb"), r.alias("v")))))).alias("o"),
+        ).where("ra <> o.rb")
+        flat = faced.select("ra", F.col("u.cid").alias("a"), F.col("u.sketch").alias("x"), F.col("o.rb").alias("rb"), F.col("o.v.cid").alias("b"), F.col("o.v.sketch").alias("y"))
+        likely = flat.mapInArrow(_promising(least), "ra long, a long, rb long, b long, same long")
+        swapped = F.col("a") > F.col("b")
+        turned = likely.select(*[F.when(swapped, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("ra", "rb"), ("a", "b"), ("rb", "ra"), ("b", "a"))], "same").distinct()
+        fresh = turned.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pair = F.struct(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
+        new = fresh.groupBy(pair.alias("p")).agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("w")).select("w.a", "w.b", F.col("p.low").alias("low"), F.col("p.high").alias("high"))
+        asked, _ = stored(new, "asked")
+        found, _ = stored(compared(asked.select("a", "b"), sets, similarity), "links")
+        joined, _ = stored(asked.join(found.hint("merge"), ["a", "b"], "left_semi").select(F.col("low").alias("a"), F.col("high").alias("b")), "joined")
+        idle = idle + 1 if found.isEmpty() else 0
+        if idle == IDLE:
+            return components(links)
+        tested, _ = stored(tested.unionByName(asked.select("a", "b")), "tested")
+        links, _ = stored(links.unionByName(found), "links")
         turn += 1
-    return labels
