@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import codecs
 from keytide.operators import logops
 from keytide.plans.views import Registry, log, log_sql
-from keytide.session import table
+from keytide.session import shared_folder, table
 
 R = Registry()
 _SIZED = "l AS (SELECT event_id AS idx, strlen(props) AS data_len FROM events)"
@@ -81,6 +83,20 @@ def snapshot_plus_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return restore_counters(Keyspace.from_log(entries).as_of(5000).counters(), entries.where("idx > 5000"))
 
 
+@R.add(f"""WITH {log_sql()}, s AS (SELECT * FROM log WHERE cmd IN ('SET', 'INCRBY', 'DEL')), t AS (SELECT *, coalesce((SELECT max(b.idx) FROM s b WHERE b.key = s.key AND b.cmd = 'DEL'), -1) AS gone, coalesce((SELECT max(b.idx) FROM s b WHERE b.key = s.key AND b.cmd = 'SET'), -1) AS base FROM s)
+SELECT key, CAST(sum(num) AS BIGINT) AS value FROM t WHERE idx > gone AND (idx >= base OR base < gone) GROUP BY key""")
+def snapshot_restore(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot of the counters in the middle of the log, written, published, read back, and brought up to date by the entries it doesn't hold."""
+    from keytide.operators.keyspace import Keyspace
+    from keytide.sources import snapshot
+
+    entries, path = log(spark, sf), f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    middle = entries.agg(F.floor(F.max("idx") / 2)).first()[0] or 0
+    snapshot.write(spark, path, {"counters": Keyspace.from_log(entries).as_of(middle).counters()}, middle)
+    last, tables = snapshot.latest(spark, path)
+    return snapshot.restore_counters(tables["counters"], snapshot.compacted(entries, last))
+
+
 @R.add("SELECT n_regionkey AS group_id, list_sort(list(n_nationkey), 'DESC')[count(*) // 2 + 1] AS committed FROM nation GROUP BY 1")
 def quorum_commit(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("match_idx"))

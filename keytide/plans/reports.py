@@ -165,7 +165,7 @@ def script_guard(spark: SparkSession, sf: str) -> DataFrame:
 # scripts and functions
 
 _CALLS = {"signup": "EVAL", "click": "EVALSHA", "view": "EVALSHA", "purchase": "SCRIPT LOAD", "error": "SCRIPT FLUSH"}
-_BODIES = ("return KEYS[1]", "return ARGV[1]", "return redis.call('set', KEYS[1], ARGV[1])")
+_BODIES = ("return KEYS[1]", "return ARGV[1]", "return call('set', KEYS[1], ARGV[1])")
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
