@@ -173,14 +173,20 @@ def decode_commands_column(data: Column) -> Column:
     return run(data)
 
 
-def encode_commands_column(commands: Column) -> Column:
-    """Bytes of an array<array<binary>> column, without flags or access list."""
-
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else encode_commands([[bytes(a) for a in c] for c in x]) for x in s], dtype=object)
-
-    return run(commands)
+def _line(prefix: str, number: Column) -> Column:
+    return F.encode(F.concat(F.lit(prefix), number.cast("string"), F.lit("\n")), "UTF-8")
+
+
+def encode_commands_column(commands: Column, asking: Column | None = None, flags: Column | None = None, acl: Column | None = None) -> Column:
+    """Bytes of an array<array<binary>> column, inside the JVM; without an access list the empty one is written."""
+    end, none = F.lit(b"\n"), F.lit(b"")
+    listed = F.coalesce(F.encode(acl, "UTF-8"), none) if acl is not None else none
+    head = F.concat(
+        F.lit(b"*2\n*3\n"), _line(":", asking.cast("int") if asking is not None else F.lit(0)), _line(":", flags if flags is not None else F.lit(0)),
+        _line("$", F.octet_length(listed)), listed, end, _line("*", F.size(commands)),
+    )
+    words = lambda c: F.aggregate(c, _line("*", F.size(c)), lambda a, x: F.concat(a, _line("$", F.octet_length(x)), x, end))
+    return F.aggregate(commands, head, lambda a, c: F.concat(a, words(c)))
 
 
 def _text(value: Column) -> Column:

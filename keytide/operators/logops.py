@@ -34,7 +34,8 @@ def running_sum(
     over = W.partitionBy("__k")
     if levels > 1:
         held = sums.select(F.col("__k").alias("__key"), F.col("__b").alias("__place"), "__s")
-        before = running_sum(held, F.col("__s"), "__base", "__place", False, ("__key",), "__total", levels - 1, width=width).select(F.col("__key").alias("__k"), F.col("__place").alias("__b"), "__base", F.col("__total"))
+        deeper = running_sum(held, F.col("__s"), "__sofar", "__place", False, ("__key",), "__whole", levels - 1, width=width)
+        before = deeper.select(F.col("__key").alias("__k"), F.col("__place").alias("__b"), F.col("__sofar").alias("__base"), F.col("__whole").alias("__total"))
     else:
         before = sums.select(*AT, F.coalesce(F.sum("__s").over(over.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__s").over(over).alias("__total"))
     inside = F.sum("__v").over(W.partitionBy(*AT).orderBy(order).rowsBetween(W.unboundedPreceding, 0))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.interpreter import Store
-from keytide.operators import clients, commands, keyspace, logops, migration, scripts, topology, values
+from keytide.operators import clients, commands, keyspace, logops, migration, scripts, topology, values, zset
 from keytide.operators.keyspace import Keyspace
 
 LOG = "idx long, key string, cmd string, field string, value string, num long"
@@ -94,6 +94,22 @@ def test_scans_equal_plain_windows(spark):
     assert [x.idx for x in page.collect()] == [597]
 
 
+def test_ranks_by_bands_equal_a_plain_window(spark):
+    r = random.Random(6)
+    scores = [0.0, -0.0, 1.0, -1.0, 1e300, -1e300, float("inf"), float("-inf"), 0.5, 2.0**53, 2.0**53 + 2]
+    rows = [("hot" if r.random() < 0.6 else f"k{r.randrange(5)}", f"m{i}", r.choice(scores) if r.random() < 0.3 else r.uniform(-1, 1) * 10 ** r.randrange(-5, 12)) for i in range(1500)]
+    z = spark.createDataFrame(rows, "key string, member string, score double")
+    for reverse in (False, True):
+        want = z.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*zset.order(reverse))) - 1)
+        assert sorted(map(str, zset.ranks(z, reverse).collect())) == sorted(map(str, want.collect()))
+
+
+def test_sums_in_three_levels(spark):
+    df = spark.range(5000).select((F.col("id") * 7).alias("idx"), (F.col("id") % 3).alias("k"), (F.col("id") % 11).alias("v"))
+    plain, deep = (sorted(map(tuple, logops.running_sum(df, F.col("v"), "s", keys=("k",), total="t", levels=n, width=10).collect())) for n in (1, 3))
+    assert plain == deep
+
+
 def test_store_options():
     s = Store()
     do = lambda line, now=0: s.apply(7, line.split(" "), now)

@@ -74,6 +74,14 @@ def test_command_array_without_access_list():
     assert codecs.encode_commands(COMMANDS) == data and codecs.decode_commands(data)["acl"] is None
 
 
+def test_command_array_columns(spark):
+    rows = [([[b"SET", b"", b"\xff\n"], [b"GET"]], True, 7, "u"), (COMMANDS, False, 0, None)]
+    df = spark.createDataFrame([([[bytearray(x) for x in c] for c in cs], a, f, u) for cs, a, f, u in rows], "c array<array<binary>>, a boolean, f long, u string")
+    got = [bytes(r[0]) for r in df.select(codecs.encode_commands_column(F.col("c"), F.col("a"), F.col("f"), F.col("u"))).collect()]
+    assert got == [codecs.encode_commands(cs, a, f, u and u.encode()) for cs, a, f, u in rows]
+    assert [bytes(r[0]) for r in df.select(codecs.encode_commands_column(F.col("c"))).collect()] == [codecs.encode_commands(cs) for cs, *_ in rows]
+
+
 def test_payload_columns(spark):
     group = {"id": "g", "slot_ranges": [{"start": 1, "end": 2, "type": 1, "session_key": 3}], "nodes": [{"node_id": "n", "host": "h", "port": 4}]}
     df = spark.createDataFrame([(7, True, ["b", "a", "b"], [("k", "v")], group)], "i long, e boolean, k array<string>, p array<struct<key:string,payload:string>>, g struct<id:string,slot_ranges:array<struct<start:int,end:int,type:int,session_key:long>>,nodes:array<struct<node_id:string,host:string,port:int>>>")
