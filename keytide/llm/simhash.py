@@ -195,10 +195,13 @@ def near_duplicates(
         found, by = components(*links(classes.select("fp"), segments, distance, heavy)), "fp"
     else:
         signed = similar.with_signatures(docs, keep, docs[text_col], partial(fingerprint, shingle=shingle, seed=seed), shingle, bands, rows, seed, _UPPER)
-        marked, _ = stored(signed, "fingerprints", "lz4")
-        named = marked.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
+        wide, wide_path = stored(signed, "signatures", "lz4")
+        named = wide.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
         classes, _ = stored(named, "classes")
-        found, by = _similar(classes, marked, segments, distance, heavy, similarity, bands * rows), "key"
+        found, by = _similar(classes, wide, segments, distance, heavy, similarity, bands * rows), "key"
+        # the sets are as large as the texts: only what names a row and its class stays
+        marked, _ = stored(wide.select("rid", "doc_id", "fp", "key"), "fingerprints")
+        delete(docs.sparkSession, wide_path)
     rooted = classes.join(found.select(F.col("node").alias("cid"), "root").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     named = rooted.join(best.hint("merge"), "root").select(by, "best")
@@ -210,11 +213,11 @@ def near_duplicates(
     return out.join(docs.select(name.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).hint("merge"), "rid")
 
 
-def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int, heavy: int, similarity: float, size: int) -> DataFrame:
+def _similar(classes: DataFrame, wide: DataFrame, segments: int, distance: int, heavy: int, similarity: float, size: int) -> DataFrame:
     """(node, root) over classes (cid, key, fp, bands) of texts with the same words."""
     keyed = classes.select("cid", F.explode("bands").alias("h"))
     shared = keyed.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("h")
-    members, _ = stored(keyed.join(shared.hint("merge"), "h", "left_semi"), "buckets")
+    members, members_path = stored(keyed.join(shared.hint("merge"), "h", "left_semi"), "buckets")
     # fingerprints that are close, and texts that share one: a star of each fingerprint, and a pair for each link
     full = classes.where(F.size("bands") > 0).select("cid", "fp")
     heads, _ = stored(full.groupBy("fp").agg(F.min("cid").alias("head")), "heads")
@@ -228,6 +231,10 @@ def _similar(classes: DataFrame, marked: DataFrame, segments: int, distance: int
     same = full.join(heads.hint("merge"), "fp").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     first, _ = stored(close.unionByName(same).where("a <> b"), "close")
     asked = members.select("cid").unionByName(first.select(F.col("a").alias("cid"))).unionByName(first.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.select("cid", "key").join(asked.hint("merge"), "cid", "left_semi")
-    sets, _ = stored(marked.select("key", "grams").join(wanted.hint("merge"), "key").groupBy("cid").agg(F.first("grams").alias("grams")), "sets", "lz4")
-    return similar.linked(members, classes.select("cid", "sketch"), sets, first, similarity, size, components)
+    # the sets of one row of each class that has anything to be compared with
+    wanted = classes.select("cid", F.col("least.rid").alias("rid")).join(asked.hint("merge"), "cid", "left_semi")
+    sets, sets_path = stored(wide.select("rid", "grams").join(wanted.hint("merge"), "rid").select("cid", "grams"), "sets", "lz4")
+    found = similar.linked(members, classes.select("cid", "sketch"), sets, first, similarity, size, components)
+    for path in (members_path, sets_path):
+        delete(wide.sparkSession, path)
+    return found

@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import stored
+from keytide.llm.common import delete, stored
 
-#: Bytes of a shingle's hash in a stored set, and shingles hashed at once.
-WIDTH = 6
+#: Bytes of a shingle's hash in a stored set (two sets of 10^5 shingles share one by chance in a hundred pairs), and shingles hashed at once.
+WIDTH = 5
 CHUNK = 1 << 9
 #: Texts that stand for a component in a bucket.
 REPS = 3
@@ -160,14 +160,16 @@ def linked(members: DataFrame, sketches: DataFrame, sets: DataFrame, first: Data
     links, _ = stored(compared(tested, sets, similarity), "links")
     one = F.struct(F.col("cid"), F.col("sketch"))
     stands = members.join(sketches.hint("merge"), "cid").select("h", F.col("cid").alias("root"), F.array(one).alias("reps"), F.lit(1).cast("long").alias("n"))
-    joined, turn, idle = links, 0, 0
+    joined, turn, idle, path = links, 0, 0, ""
     while True:
         if turn == 0 or not joined.isEmpty():
             # components that were linked become one in each bucket, with REPS of their texts
             names = components(joined).select(F.col("node").alias("root"), F.col("root").alias("into"))
             merged = stands.join(names.hint("merge"), "root", "left").select("h", F.coalesce("into", "root").alias("root"), F.get("reps", F.pmod(F.lit(turn), F.size("reps"))).alias("rep"), "n")
             chosen = [F.min_by("rep", F.xxhash64(F.lit(turn * REPS + k), "h", F.col("rep.cid"))) for k in range(REPS)]
-            stands, _ = stored(merged.groupBy("h", "root").agg(F.array_distinct(F.array(*chosen)).alias("reps"), F.sum("n").alias("n")), "stands")
+            old, (stands, path) = path, stored(merged.groupBy("h", "root").agg(F.array_distinct(F.array(*chosen)).alias("reps"), F.sum("n").alias("n")), "stands")
+            if old:
+                delete(links.sparkSession, old)
         best = F.max_by(F.struct("root", "reps"), F.struct("n", F.xxhash64(F.lit(turn), "root"), "root")).alias("best")
         other = F.min_by(F.struct("root", F.slice("reps", 1, 1).alias("reps")), _chance("root", turn)).alias("other")
         hubs = stands.groupBy("h").agg(best, other, F.count("*").alias("m")).where("m > 1").drop("m")
@@ -187,6 +189,7 @@ def linked(members: DataFrame, sketches: DataFrame, sets: DataFrame, first: Data
         joined, _ = stored(asked.join(found.hint("merge"), ["a", "b"], "left_semi").select(F.col("low").alias("a"), F.col("high").alias("b")), "joined")
         idle = idle + 1 if found.isEmpty() else 0
         if idle == IDLE:
+            delete(links.sparkSession, path)
             return components(links)
         tested, _ = stored(tested.unionByName(asked.select("a", "b")), "tested")
         links, _ = stored(links.unionByName(found), "links")
