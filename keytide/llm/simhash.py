@@ -181,7 +181,7 @@ def near_duplicates(
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), and `rid` with keep_rows.
 
     Links are fingerprints within distance; with similarity, texts whose sets of shingles are at least that alike (Jaccard), which
-    fingerprints and bands of minima find and an exact comparison decides (see llm.similar). Then texts without words are one class.
+    fingerprints, bands of minima and, for all that these leave, first shingles find and an exact comparison decides (see llm.similar). Then texts without words are one class.
 
     With keep_rows the struct `row` has all columns of docs, and `first` marks one row of each component: the
     smallest doc_id, and of rows that repeat it, one.
@@ -230,11 +230,23 @@ def _similar(classes: DataFrame, wide: DataFrame, segments: int, distance: int,
     close = near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     same = full.join(heads.hint("merge"), "fp").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     first, _ = stored(close.unionByName(same).where("a <> b"), "close")
-    asked = members.select("cid").unionByName(first.select(F.col("a").alias("cid"))).unionByName(first.select(F.col("b").alias("cid"))).distinct()
-    # the sets of one row of each class that has anything to be compared with
-    wanted = classes.select("cid", F.col("least.rid").alias("rid")).join(asked.hint("merge"), "cid", "left_semi")
-    sets, sets_path = stored(wide.select("rid", "grams").join(wanted.hint("merge"), "rid").select("cid", "grams"), "sets", "lz4")
-    found = similar.linked(members, classes.select("cid", "sketch"), sets, first, similarity, size, components)
+    chosen = members.select("cid").unionByName(first.select(F.col("a").alias("cid"))).unionByName(first.select(F.col("b").alias("cid")))
+    sets, sets_path = _sets(classes, wide, chosen)
+    quick = similar.linked(members, classes.select("cid", "sketch"), sets, first, similarity, size, components)
     for path in (members_path, sets_path):
         delete(wide.sparkSession, path)
-    return found
+    # what is alike and not linked yet: found without exception, and compared
+    rooted = classes.join(quick.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select(F.xxhash64("key").alias("kid"), "cid", F.coalesce("root", "cid").alias("root"))
+    names, _ = stored(rooted, "names")
+    left = similar.left_over(wide.select(F.xxhash64("key").alias("kid"), "grams"), names, similarity)
+    sets, sets_path = _sets(classes, wide, left.select(F.col("a").alias("cid")).union(left.select("b")))
+    alike, _ = stored(similar.compared(left.select("a", "b"), sets, similarity).join(left.hint("merge"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "joined")
+    delete(wide.sparkSession, sets_path)
+    into = components(alike).select(F.col("node").alias("root"), F.col("root").alias("into"))
+    return names.join(into.hint("merge"), "root", "left").select(F.col("cid").alias("node"), F.coalesce("into", "root").alias("root"))
+
+
+def _sets(classes: DataFrame, wide: DataFrame, chosen: DataFrame) -> tuple[DataFrame, str]:
+    """(cid, grams) of one row of each chosen class, and the table's path."""
+    wanted = classes.select("cid", F.col("least.rid").alias("rid")).join(chosen.distinct().hint("merge"), "cid", "left_semi")
+    return stored(wide.select("rid", "grams").join(wanted.hint("merge"), "rid").select("cid", "grams"), "sets", "lz4")

@@ -10,6 +10,12 @@ the bucket's own. In a round every component faces its bucket's largest one and
 similarity is below the wanted one by over four standard deviations, and of each two components that face each other the pair with the best
 sketches is compared exactly. What is alike becomes one component, so a crowd shrinks to one row a bucket. Rounds end when IDLE in
 a row bring no link.
+
+These searches are quick and may miss links, so a third one, which can't, finds what they left (see left_over). Shingles have one order, rare ones
+first. Two sets of similarity s agree in s of either's shingles at least, so each has one of theirs among its first n - ceil(s n) + 1. All pairs that
+share such a shingle and are in two components yet are listed, and those whose counts alone don't rule the similarity out are compared. Links inside a
+component need no listing, so a crowd costs its rows, and pairs only with what it isn't linked to. The order may be any without loss: it goes
+by the counts of CELLS cells of shingles.
 """
 
 from __future__ import annotations
@@ -29,8 +35,11 @@ WIDTH = 5
 CHUNK = 1 << 9
 #: Texts that stand for a component in a bucket.
 REPS = 3
-#: Rounds in a row without a link after which the search ends.
+#: Rounds in a row without a link after which the search in buckets ends.
 IDLE = 4
+#: Cells in which shingles are counted, and those in a row of counts.
+CELLS = 1 << 18
+CHUNK_CELLS = 1 << 12
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -130,7 +139,7 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     y = sets.select(F.col("cid").alias("b"), F.col("grams").alias("y"))
     joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     low, high = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    return joined.where(low >= F.lit(similarity) * high).select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    return joined.where(low >= F.lit(similarity) * high - 1e-6).select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
 
 
 def _chance(name: str, turn: int) -> Column:
@@ -194,3 +203,115 @@ def linked(members: DataFrame, sketches: DataFrame, sets: DataFrame, first: Data
         tested, _ = stored(tested.unionByName(asked.select("a", "b")), "tested")
         links, _ = stored(links.unionByName(found), "links")
         turn += 1
+
+
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            counts += np.bincount(_cell(unpacked(b"".join(batch.column("grams").slice(at, 256).to_pylist()))), minlength=CELLS)
+    if counts.any():
+        parts = [counts[k : k + CHUNK_CELLS].astype("<i8").tobytes() for k in range(0, CELLS, CHUNK_CELLS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+
+
+def _grades(chunk: pa.Table) -> pa.Table:
+    counts = sum(np.frombuffer(x, "<i8") for x in chunk.column("counts").to_pylist())
+    grades = np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
+    return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "grades": pa.array([grades.tobytes()], pa.binary())})
+
+
+def grades(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each cell are in sets (grams), as a byte: CELLS bytes, whatever the size of the table."""
+    found = sets.select("grams").mapInArrow(_counts, "chunk int, counts binary").groupBy("chunk").applyInArrow(_grades, "chunk int, grades binary").collect()
+    return np.frombuffer(b"".join(bytes(r.grades) for r in sorted(found, key=lambda r: r.chunk)), np.uint8)
+
+
+def common(n: int, similarity: float) -> int:
+    """The least number of n shingles that a set of that similarity or more agrees in."""
+    return int(np.ceil(similarity * n - 1e-6))
+
+
+def first_shingles(grams: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which any set of that similarity has one among its own first ones, in order, each led by its grade."""
+    ranked = (order[_cell(grams)].astype(np.uint64) << np.uint64(8 * WIDTH)) | grams
+    keep = len(grams) - common(len(grams), similarity) + 1
+    return np.sort(np.partition(ranked, keep - 1)[:keep])
+
+
+def _prefixes(order: np.ndarray, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                # copies in sight count once
+                sets = dict(zip(part.column("kid").to_pylist(), part.column("grams").to_pylist()))
+                held = [(kid, unpacked(raw)) for kid, raw in sets.items() if raw]
+                if not held:
+                    continue
+                firsts = [first_shingles(g, order, similarity) for _, g in held]
+                sizes = np.array([len(x) for x in firsts])
+                columns = [
+                    np.concatenate(firsts).view(np.int64), np.repeat(np.array([kid for kid, _ in held], np.int64), sizes),
+                    np.repeat(np.array([len(g) for _, g in held], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "kid", "n", "at"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of token and kid, one of each pair of them, where the token has several kids. One row is held back, never a group."""
+    held, known = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        token, kid = (rows.column(c).to_numpy() for c in ("token", "kid"))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (kid[1:] != kid[:-1])
+        rows, token = rows.filter(pa.array(new)), token[new]
+        same = token[1:] == token[:-1]
+        several = np.zeros(len(token), bool)
+        several[0] = known
+        several[1:] |= same
+        known = bool(several[-1])
+        several[:-1] |= same
+        yield from rows.slice(0, len(token) - 1).filter(pa.array(several[:-1])).to_batches()
+        held = rows.slice(len(token) - 1).combine_chunks().to_batches()[0]
+    if known:
+        yield held
+
+
+def left_over(sets: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """(a, ra, b, rb): pairs of texts of the components ra and rb, all that are alike among them; others are few.
+
+    sets (kid, grams) may repeat a text; names (kid, cid, root) has each once. Two texts with one kid are both asked for.
+    """
+    schema = "token long, kid long, n int, at int"
+    firsts = sets.mapInArrow(_prefixes(grades(sets), similarity), schema)
+    shared = firsts.repartition("token").sortWithinPartitions("token", "kid").mapInArrow(_shared, schema)
+    rows, rows_path = stored(shared.join(names.hint("merge"), "kid").drop("kid"), "firsts")
+    # the component with most rows of a shingle is its home: rows at home face the others, and these each other
+    homes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("home"), F.count("*").alias("m")).where("m > 1").drop("m")
+    open_, open_path = stored(rows.join(homes.hint("merge"), "token"), "open")
+    delete(sets.sparkSession, rows_path)
+    a, b = open_.where("root <> home").alias("a"), open_.alias("b").hint("merge")
+    once = (F.col("b.root") == F.col("b.home")) | (F.col("a.cid") < F.col("b.cid"))
+    size = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & size)
+    swapped = F.col("a.cid") > F.col("b.cid")
+    side = lambda c, x, y: F.when(swapped, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
+    seen = met.select(
+        side("cid", "a", "b").alias("a"), side("root", "a", "b").alias("ra"), side("cid", "b", "a").alias("b"), side("root", "b", "a").alias("rb"),
+        (F.col("a.n") + F.col("b.n")).alias("both"), F.greatest("a.n", "b.n").alias("high"), (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1).alias("rest"),
+    ).groupBy("a", "ra", "b", "rb", "both", "high").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
+    # what they agree in: k so far, and later shingles of both, or those after the first ones of either
+    most = F.col("k") + F.least(F.col("rest"), F.ceil(F.lit(similarity) * F.col("high") - 1e-6) - 1)
+    pairs, _ = stored(seen.where(most >= F.lit(similarity / (1 + similarity)) * F.col("both") - 1e-6).select("a", "ra", "b", "rb"), "left")
+    delete(sets.sparkSession, open_path)
+    return pairs

@@ -222,6 +222,55 @@ def test_similar_texts(spark, odd, docs_schema):
     assert Counter(x["component_id"] for x in got if x["first"]) == Counter(set(want)) and len(set(want)) < len(texts) - 20
 
 
+@pytest.mark.parametrize("buckets", [{}, {"bands": 1, "rows": 40}])
+def test_no_similar_text_is_left(spark, docs_schema, buckets):
+    """Texts that hang on one of a crowd each, and pairs at 0.8 and just below; also with buckets that bring next to nothing."""
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(3000)]
+
+    def changed(base, n):
+        copy = list(base)
+        for k in r.sample(range(len(copy)), n):
+            copy[k] = r.choice(vocabulary)
+        return copy
+
+    centre = [r.choice(vocabulary) for _ in range(200)]
+    crowd = [changed(centre, 4) for _ in range(70)]
+    texts = [" ".join(w) for w in (centre, *crowd, *(changed(w, 4) for w in crowd[:40]))]
+    for _ in range(10):
+        short = [r.choice(vocabulary) for _ in range(12)]
+        texts += [" ".join(short), " ".join([*short, "x", "y"]), " ".join(["a", "b", "c", *short])]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], docs_schema).repartition(3)
+    got = rows_of(simhash.near_duplicates(df, shingle=5, similarity=0.8, **buckets))
+    want = alike(texts)
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(want)) and Counter(want)[0] > 80
+
+
+def test_first_shingles_meet():
+    """Two sets of a similarity share one of their first shingles, in any order; rows come out where a token has several texts."""
+    import pyarrow as pa
+
+    from keytide.llm import similar
+
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        both, only = int(r.integers(1, 60)), int(r.integers(0, 20))
+        ids = r.choice(1 << 40, both + only, replace=False).astype(np.uint64)
+        cut = int(r.integers(0, only + 1))
+        x, y = np.sort(np.concatenate([ids[:both], ids[both : both + cut]])), np.sort(np.concatenate([ids[:both], ids[both + cut :]]))
+        order = r.integers(0, 4, similar.CELLS).astype(np.uint8)
+        met = set(similar.first_shingles(x, order, 0.8)) & set(similar.first_shingles(y, order, 0.8))
+        assert met or both < 0.8 * (both + only)
+    rows = sorted((int(t), int(k)) for t, k in zip(r.integers(0, 40, 120), r.integers(0, 3, 120)))
+    table = pa.table({"token": [t for t, _ in rows], "kid": [k for _, k in rows], "n": [1] * 120, "at": [0] * 120})
+    for size in (1, 2, 7, 200):
+        out = pa.Table.from_batches(list(similar._shared(iter(table.to_batches(max_chunksize=size)))), table.schema)
+        many = {t for t in range(40) if len({k for u, k in rows if u == t}) > 1}
+        assert list(zip(out["token"].to_pylist(), out["kid"].to_pylist())) == sorted({x for x in rows if x[0] in many})
+
+
 def test_sets_and_band_keys():
     from keytide.llm import similar
 
