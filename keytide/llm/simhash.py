@@ -196,7 +196,7 @@ def near_duplicates(
     else:
         signed = similar.with_signatures(docs, keep, docs[text_col], partial(fingerprint, shingle=shingle, seed=seed), shingle, bands, rows, seed, _UPPER)
         wide, wide_path = stored(signed, "signatures", "lz4")
-        named = wide.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
+        named = wide.groupBy("key").agg(smallest, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")).withColumn("cid", F.monotonically_increasing_id())
         classes, _ = stored(named, "classes")
         found, by = _similar(classes, wide, segments, distance, heavy, similarity, bands * rows), "key"
         # the sets are as large as the texts: only what names a row and its class stays
@@ -236,7 +236,7 @@ def _similar(classes: DataFrame, wide: DataFrame, segments: int, distance: int,
     for path in (members_path, sets_path):
         delete(wide.sparkSession, path)
     # what is alike and not linked yet: found without exception, and compared
-    rooted = classes.join(quick.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select(F.xxhash64("key").alias("kid"), "cid", F.coalesce("root", "cid").alias("root"))
+    rooted = classes.join(quick.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select(F.xxhash64("key").alias("kid"), "cid", F.coalesce("root", "cid").alias("root"), "odd")
     names, _ = stored(rooted, "names")
     left = similar.left_over(wide.select(F.xxhash64("key").alias("kid"), "grams"), names, similarity)
     sets, sets_path = _sets(classes, wide, left.select(F.col("a").alias("cid")).union(left.select("b")))

@@ -12,10 +12,13 @@ sketches is compared exactly. What is alike becomes one component, so a crowd sh
 a row bring no link.
 
 These searches are quick and may miss links, so a third one, which can't, finds what they left (see left_over). Shingles have one order, rare ones
-first. Two sets of similarity s agree in s of either's shingles at least, so each has one of theirs among its first n - ceil(s n) + 1. All pairs that
-share such a shingle and are in two components yet are listed, and those whose counts alone don't rule the similarity out are compared. Links inside a
-component need no listing, so a crowd costs its rows, and pairs only with what it isn't linked to. The order may be any without loss: it goes
-by the counts of CELLS cells of shingles.
+first. Two sets of m and n shingles and similarity s agree in o = ceil(s (m + n) / (1 + s)) at least, and the first that they agree in has o - 1 later
+ones in either, so it is among the first n - o + 1 of either: n - ceil(s n) + 1 for the least m that may be alike, far fewer for m near n. All pairs that
+share a shingle that early and are in two components yet are listed. Of these, pairs are compared unless their parities rule the similarity out: a bit for
+each of PARITIES cells, whether the set has an odd number of shingles there, so sets that differ in d shingles differ in d bits at most. Links inside a
+component need no listing, so a crowd costs its rows, and pairs only with what it isn't linked to. A shingle's rows that reach no size of a set that has
+it are dropped before they meet, so texts of one size around a common one, each with over (1 - s) / (1 + s) shingles of its own, bring no rows at all. The
+order may be any without loss: it goes by the counts of CELLS cells of shingles.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ IDLE = 4
 #: Cells in which shingles are counted, and those in a row of counts.
 CELLS = 1 << 18
 CHUNK_CELLS = 1 << 12
+#: Cells whose parities bound the difference of two sets, 64 in a long.
+PARITIES = 512
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -86,6 +91,12 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Longs with a bit a cell: is the number of shingles there odd."""
+    odd = np.bincount((grams & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if both else 0.0
@@ -98,7 +109,7 @@ def _signatures(fingerprint: Callable[[list[bytes]], int], shingle: int, bands:
             rest = [c for c in batch.schema.names if c != "text"]
             # few texts at a time, so that a batch of long ones stays small
             for at in range(0, batch.num_rows, 256):
-                part, names, keys, sketches, sets, fps = batch.slice(at, 256), [], [], [], [], []
+                part, names, keys, sketches, sets, odd, fps = batch.slice(at, 256), [], [], [], [], [], []
                 for x in part.column("text").cast(pa.large_binary()).to_pylist():
                     words = (x or b"").translate(upper).split()
                     grams = shingles(words, shingle)
@@ -107,20 +118,21 @@ def _signatures(fingerprint: Callable[[list[bytes]], int], shingle: int, bands:
                     keys.append(found)
                     sketches.append(sketch)
                     sets.append(packed(grams))
+                    odd.append(parities(grams))
                     fps.append(fingerprint(words))
                 signed = pa.array(np.array(fps, np.uint64).view(np.int64))
-                columns = [signed, pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *columns], [*rest, "fp", "key", "bands", "sketch", "grams"])
+                columns = [signed, pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary()), pa.array(odd, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *columns], [*rest, "fp", "key", "bands", "sketch", "grams", "odd"])
 
     return run
 
 
 def with_signatures(docs: DataFrame, keep: list[Column], text: Column, fingerprint: Callable[[list[bytes]], int], shingle: int, bands: int, rows: int, seed: int, upper: bytes) -> DataFrame:
-    """The columns of keep, fp (fingerprint of the words), key (of the words, lower-cased), bands, sketch and grams: one pass over the text."""
+    """The columns of keep, fp (fingerprint of the words), key (of the words, lower-cased), bands, sketch, grams and odd (parities): one pass over the text."""
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     narrow = docs.select(*keep, text.cast("string").alias("text"))
-    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("fp", "long").add("key", "string").add("bands", ArrayType(LongType())).add("sketch", "binary").add("grams", "binary")
+    schema = StructType([f for f in narrow.schema.fields if f.name != "text"]).add("fp", "long").add("key", "string").add("bands", ArrayType(LongType())).add("sketch", "binary").add("grams", "binary").add("odd", ArrayType(LongType()))
     return narrow.mapInArrow(_signatures(fingerprint, shingle, bands, rows, seed, upper), schema)
 
 
@@ -236,6 +248,11 @@ def common(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-6))
 
 
+def agreed(both: Column, similarity: float) -> Column:
+    """The least number of shingles that two sets of so many in all agree in."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-6)
+
+
 def first_shingles(grams: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
     """The shingles of which any set of that similarity has one among its own first ones, in order, each led by its grade."""
     ranked = (order[_cell(grams)].astype(np.uint64) << np.uint64(8 * WIDTH)) | grams
@@ -287,31 +304,52 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _meeting(similarity: float):
+    """Of rows in order of token, n and kid, one of each pair of token and kid, where several kids may meet: a row's place leaves room for a set as small as the token's least."""
+    ratio = (1 + similarity) / similarity
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, n, at = (batch.column(c).to_numpy() for c in ("token", "n", "at"))
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            least = n[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
+            if last is not None and last[0] == token[0]:
+                least = np.where(token == token[0], last[1], least)
+            last = token[-1], least[-1]
+            yield batch.filter(pa.array((n - at + 2e-6) * ratio - n >= least))
+
+    return lambda batches: _shared(reaching(batches))
+
+
 def left_over(sets: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
     """(a, ra, b, rb): pairs of texts of the components ra and rb, all that are alike among them; others are few.
 
-    sets (kid, grams) may repeat a text; names (kid, cid, root) has each once. Two texts with one kid are both asked for.
+    sets (kid, grams) may repeat a text; names (kid, cid, root, odd) has each once. Two texts with one kid are both asked for.
     """
     schema = "token long, kid long, n int, at int"
     firsts = sets.mapInArrow(_prefixes(grades(sets), similarity), schema)
-    shared = firsts.repartition("token").sortWithinPartitions("token", "kid").mapInArrow(_shared, schema)
-    rows, rows_path = stored(shared.join(names.hint("merge"), "kid").drop("kid"), "firsts")
+    shared = firsts.repartition("token").sortWithinPartitions("token", "n", "kid").mapInArrow(_meeting(similarity), schema)
+    rows, rows_path = stored(shared.join(names.drop("odd").hint("merge"), "kid").drop("kid"), "firsts")
     # the component with most rows of a shingle is its home: rows at home face the others, and these each other
     homes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("home"), F.count("*").alias("m")).where("m > 1").drop("m")
     open_, open_path = stored(rows.join(homes.hint("merge"), "token"), "open")
     delete(sets.sparkSession, rows_path)
     a, b = open_.where("root <> home").alias("a"), open_.alias("b").hint("merge")
     once = (F.col("b.root") == F.col("b.home")) | (F.col("a.cid") < F.col("b.cid"))
-    size = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & size)
+    early = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= agreed(F.col("a.n") + F.col("b.n"), similarity)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & early)
     swapped = F.col("a.cid") > F.col("b.cid")
     side = lambda c, x, y: F.when(swapped, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
     seen = met.select(
-        side("cid", "a", "b").alias("a"), side("root", "a", "b").alias("ra"), side("cid", "b", "a").alias("b"), side("root", "b", "a").alias("rb"),
-        (F.col("a.n") + F.col("b.n")).alias("both"), F.greatest("a.n", "b.n").alias("high"), (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1).alias("rest"),
-    ).groupBy("a", "ra", "b", "rb", "both", "high").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
-    # what they agree in: k so far, and later shingles of both, or those after the first ones of either
-    most = F.col("k") + F.least(F.col("rest"), F.ceil(F.lit(similarity) * F.col("high") - 1e-6) - 1)
-    pairs, _ = stored(seen.where(most >= F.lit(similarity / (1 + similarity)) * F.col("both") - 1e-6).select("a", "ra", "b", "rb"), "left")
+        side("cid", "a", "b").alias("a"), side("root", "a", "b").alias("ra"), side("cid", "b", "a").alias("b"), side("root", "b", "a").alias("rb"), (F.col("a.n") + F.col("b.n")).alias("both"),
+    ).distinct()
+    odd = lambda c, x: names.select(F.col("cid").alias(c), F.col("odd").alias(x)).hint("merge")
+    differ = sum(F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(PARITIES // 64))
+    likely = seen.join(odd("a", "x"), "a").join(odd("b", "y"), "b").where(differ <= F.col("both") - 2 * agreed(F.col("both"), similarity))
+    pairs, _ = stored(likely.select("a", "ra", "b", "rb"), "left")
     delete(sets.sparkSession, open_path)
     return pairs

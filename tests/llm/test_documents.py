@@ -271,6 +271,42 @@ def test_first_shingles_meet():
         assert list(zip(out["token"].to_pylist(), out["kid"].to_pylist())) == sorted({x for x in rows if x[0] in many})
 
 
+@pytest.mark.parametrize("smaller", [False, True])
+def test_crowds_below_the_similarity_meet_in_few_rows(spark, monkeypatch, smaller):
+    """Sets of about one size around a common one: rows and pairs stay few, and none that is alike is lost."""
+    from keytide.llm import similar
+
+    r = np.random.default_rng(9)
+    base = r.choice(1 << 40, 146, replace=False).astype(np.uint64)
+    sets = []
+    for k in range(420):
+        # most have more shingles of their own than two alike sets of that size; the others are near 0.8 of each other
+        own = int(r.integers(18, 29)) if k < 360 else int(r.integers(4, 17))
+        left = r.choice(base, 146 - own, replace=False)
+        sets.append(np.unique(np.concatenate([left, r.choice(1 << 40, own + int(r.integers(-2, 3)), replace=False).astype(np.uint64)])))
+    if smaller:
+        # sizes from 0.8 of the common set on
+        sets += [np.sort(base), *(np.sort(r.choice(base, n, replace=False)) for n in (116, 117, 118, 130, 145))]
+    bits = [similar.parities(x) for x in sets]
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if similar.jaccard(x, y) >= 0.8}
+    apart = lambda x: int(np.bitwise_count(x.view(np.uint64)).sum())
+    assert all(apart(bits[i] ^ bits[j]) <= len(np.setxor1d(sets[i], sets[j])) for i, j in r.integers(0, len(sets), (300, 2)))
+    counts, stored = {}, similar.stored
+
+    def counting(df, label, codec="zstd"):
+        table, path = stored(df, label, codec)
+        counts[label] = table.count()
+        return table, path
+
+    monkeypatch.setattr(similar, "stored", counting)
+    table = spark.createDataFrame([(k, similar.packed(x)) for k, x in enumerate(sets)], "kid long, grams binary").repartition(3)
+    names = spark.createDataFrame([(k, k, k, bits[k].tolist()) for k in range(len(sets))], "kid long, cid long, root long, odd array<long>")
+    left = [(x.a, x.b) for x in similar.left_over(table.union(table), names, 0.8).collect()]
+    assert len(left) == len(set(left)) and want <= set(left) and len(want) > 200
+    # rows by 0.2 of the shingles, whatever the sizes: 3749, which make 447,684 rows in pairs
+    assert len(left) < 1.5 * len(want) and (smaller or counts["open"] < 600)
+
+
 def test_sets_and_band_keys():
     from keytide.llm import similar
 
